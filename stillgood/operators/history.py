@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import largest_group
+from .ranking import bin_of, largest_group
 
 
 def with_halo(
@@ -18,7 +18,7 @@ def with_halo(
     the whole group would: each slice receives the last such rows of the nearest
     ``before`` earlier slices that hold any, and one row each is enough.
     """
-    sliced = df.withColumn("slice", F.floor(F.col(order) / width).cast("long")).withColumn(
+    sliced = df.withColumn("slice", bin_of(F.col(order).cast("long"), width)).withColumn(
         "_src", F.lit(True) if source is None else F.coalesce(source, F.lit(False))
     )
     along = Window.partitionBy(part).orderBy("slice")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import largest_group
+from .ranking import bin_of, largest_group
 
 DAY_US = 86_400_000_000
 
@@ -104,7 +104,7 @@ def _asof_sliced(
     requests: DataFrame, writes: DataFrame, payload: Column, at_us: str, slice_us: int
 ) -> DataFrame:
     def sliced(df: DataFrame) -> DataFrame:
-        return df.withColumn("_slice", F.floor(F.col("_t") / slice_us).cast("long"))
+        return df.withColumn("_slice", bin_of(F.col("_t"), slice_us))
 
     instants = sliced(requests.select("entry_key", F.col(at_us).alias("_t")).distinct())
     written = sliced(

@@ -18,6 +18,11 @@ def largest_group(df: DataFrame, *keys: str | Column) -> int:
     return int(top["n"] or 0)
 
 
+def bin_of(value: Column, width: int) -> Column:
+    """Integer bin of a long, floored, without floating-point division error."""
+    return ((value - F.pmod(value, F.lit(width))) / width).cast("long")
+
+
 def order_hex(value: Column) -> Column:
     """A long as 16 hex digits whose string order is the numeric order."""
     return F.hex(value.cast("long").bitwiseXOR(F.lit(SIGN_BIT)))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import largest_group
+from .ranking import bin_of, largest_group
 
 MICROS = 1_000_000
 
 
 def _binned(df: DataFrame, at: str, width: int) -> DataFrame:
     """Each call also goes to the next bin: a look-back of one width spans two bins."""
-    own = F.floor(F.col(at) / width).cast("long")
+    own = bin_of(F.col(at), width)
     bins = F.when(F.col("_calls") > 0, F.array(own, own + 1)).otherwise(F.array(own))
     return df.withColumn("_own", own).withColumn("_bin", F.explode(bins))
 
@@ -36,7 +36,7 @@ def api_rate(
     """
     width = seconds * MICROS
     log = requests.withColumn("_t", F.col(at_us)).withColumn("_calls", is_call.cast("long"))
-    if largest_group(log, F.floor(F.col("_t") / width)) <= max_group_rows:
+    if largest_group(log, bin_of(F.col("_t"), width)) <= max_group_rows:
         counted = _binned(log, "_t", width).withColumn(
             "rate", F.coalesce(F.sum("_calls").over(_trailing(width)), F.lit(0))
         )
