@@ -78,7 +78,7 @@ def rewrite_prompt(
     query: Column, history: Column, signals: Sequence[str] = C.CONTEXT_SIGNALS
 ) -> Column:
     """Prompt built on the most recent turn only; untouched query otherwise."""
-    last = F.element_at(history_texts(history), -1)
+    last = F.try_element_at(history_texts(history), F.lit(-1))
     prompt = fill_template(C.REWRITE_TEMPLATE, context=last, query=query)
     return F.when(rewrite_applies(query, history, signals), prompt).otherwise(query)
 

@@ -122,4 +122,4 @@ def requests_with_history(
 
 def last_context(history: Column) -> Column:
     """The only turn the rewriter looks at."""
-    return F.element_at(history, -1)
+    return F.try_element_at(history, F.lit(-1))
