@@ -176,7 +176,7 @@ class CacheConfig:
     rate_seconds: int = 60
     max_entries: int = 1000
     expire_semantic: bool = False
-    materialize: bool = False
+    materialize: bool = True
 
     # physical bounds: what may sit in one task, or be sent to every task
     max_group_rows: int = 1_000_000

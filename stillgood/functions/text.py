@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 # Whitespace as Unicode-aware string stripping sees it: wider than Java's \s.
-WHITESPACE = (
-    r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
+WHITESPACE = "[" + BLANKS + "]+"
 
 HISTORY_TYPE = "array<struct<query:string,response:string>>"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WHITESPACE}|{WHITESPACE}\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def cache_key(query: Column) -> Column:

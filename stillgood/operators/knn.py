@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCALE, list_matrix, unit_rows
+from ..session import written
 from .ranking import topk
 
 BLOCK = 512            # request rows per matrix product
@@ -224,7 +225,7 @@ class _Cells:
         self.pivots = self.sc.broadcast(
             np.unique(unit_rows(list_matrix(sample["embedding"])), axis=0) if wanted else np.zeros((0, 0))
         )
-        self.assigned = self._assign()
+        self.assigned = written(self._assign(), "cells")
         self.stats = {
             r["cell"]: (r["n"], r["radius"])
             for r in self.assigned.groupBy("cell")
@@ -362,7 +363,7 @@ class _Cells:
         if not self.stats:
             return self._nothing()
         home = self._home(1)
-        first = _ranked(self._match(self._probe(self.req, home)), self.k)
+        first = written(_ranked(self._match(self._probe(self.req, home)), self.k), "home-cells")
         bound = first.groupBy("req_id").agg(
             F.when(F.count("*") >= self.k, F.min("similarity")).alias("bound")
         )

@@ -48,6 +48,7 @@ def rank_cuts(
     group: Column,
     sort_key: Column,
     ranks: dict,
+    total: int | None = None,
     finish_rows: int = 20_000,
 ) -> list[Cut]:
     """Find exact order statistics of a string sort key, per group.
@@ -55,13 +56,14 @@ def rank_cuts(
     ``ranks`` maps a group value to 1-based ranks.  Each pass counts rows by the
     next few characters below the prefixes still open, so only small histograms
     reach the driver; once the open buckets together hold ``finish_rows`` rows
-    or fewer, their keys are sorted directly.  Keys must be unique, of one
-    length, and drawn from hex digits (plus constant characters).
+    or fewer, their keys are sorted directly; ``total`` says so up front.  Keys
+    must be unique, of one length, and drawn from hex digits (plus constant
+    characters).
     """
     keyed = df.select(group.alias("g"), sort_key.alias("s"))
     open_targets = [(g, r, "", r) for g, rs in ranks.items() for r in rs]
     depth = 0
-    while True:
+    while total is None or total > finish_rows or depth:
         counts = _histogram(keyed, open_targets, depth, depth + CHUNK)
         stepped, remaining = [], {}
         for g, rank, prefix, left in open_targets:
@@ -115,11 +117,11 @@ def _open_keys(keyed: DataFrame, targets: list, depth: int) -> dict:
     return {k: sorted(v) for k, v in out.items()}
 
 
-def smallest(df: DataFrame, sort_key: Column, n: int) -> Column | None:
+def smallest(df: DataFrame, sort_key: Column, n: int, total: int | None = None) -> Column | None:
     """Predicate true for exactly the ``n`` smallest sort keys; None when n <= 0."""
     if n <= 0:
         return None
-    cuts = rank_cuts(df, F.lit(0), sort_key, {0: [n]})
+    cuts = rank_cuts(df, F.lit(0), sort_key, {0: [n]}, total)
     return sort_key <= F.lit(cuts[0].key) if cuts else F.lit(True)
 
 
@@ -155,9 +157,9 @@ def class_counts(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
-def _cut_table(df: DataFrame, label: str, sort_key: Column, ranks: dict) -> DataFrame:
+def _cut_table(df: DataFrame, label: str, sort_key: Column, ranks: dict, total: int) -> DataFrame:
     per_label: dict = {}
-    for cut in rank_cuts(df, F.col(label), sort_key, ranks):
+    for cut in rank_cuts(df, F.col(label), sort_key, ranks, total):
         per_label.setdefault(cut.group, []).append(cut.key)
     kind = df.schema[label].dataType.simpleString()
     rows = [(g, sorted(keys)) for g, keys in per_label.items()]
@@ -169,9 +171,10 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_test``: exactly floor(n_c * test_size + 1/2) rows of each class."""
     key = shuffle_hex(F.col(row_id), seed)
-    held_out = {g: int(n * test_size + 0.5) for g, n in class_counts(df, label).items()}
+    counts = class_counts(df, label)
+    held_out = {g: int(n * test_size + 0.5) for g, n in counts.items()}
     ranks = {g: [n] for g, n in held_out.items() if n >= 1}
-    cuts = _cut_table(df, label, key, ranks)
+    cuts = _cut_table(df, label, key, ranks, sum(counts.values()))
     return (
         df.join(F.broadcast(cuts), label, "left")
         .withColumn("is_test", F.coalesce(key <= F.col("cuts")[0], F.lit(False)))
@@ -188,7 +191,7 @@ def stratified_folds(
     ranks = {
         g: sorted({-(-n * f // folds) for f in range(1, folds)} - {0, n}) for g, n in counts.items()
     }
-    cuts = _cut_table(df, label, key, {g: r for g, r in ranks.items() if r})
+    cuts = _cut_table(df, label, key, {g: r for g, r in ranks.items() if r}, sum(counts.values()))
     below = F.size(F.filter("cuts", lambda c: c < key))
     return (
         df.join(F.broadcast(cuts), label, "left")

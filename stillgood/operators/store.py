@@ -32,10 +32,15 @@ def eviction_size(n: int, max_entries: int) -> int:
     return max(1, n // 10) if n >= max_entries else 0
 
 
+def _oldest(cache: DataFrame, max_entries: int) -> Column | None:
+    n = cache.count()
+    return smallest(cache, eviction_order(), eviction_size(n, max_entries), n)
+
+
 def evicted(cache: DataFrame, max_entries: int = 1000) -> DataFrame:
     """The oldest tenth of a full table, as found before an insert."""
-    oldest = smallest(cache, eviction_order(), eviction_size(cache.count(), max_entries))
-    return cache.limit(0) if oldest is None else cache.filter(oldest)
+    oldest = _oldest(cache, max_entries)
+    return clear(cache) if oldest is None else cache.filter(oldest)
 
 
 def remove_entries(cache: DataFrame, keys: DataFrame) -> DataFrame:
@@ -43,7 +48,12 @@ def remove_entries(cache: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def evict(cache: DataFrame, max_entries: int = 1000) -> DataFrame:
-    oldest = smallest(cache, eviction_order(), eviction_size(cache.count(), max_entries))
+    """The table without its oldest tenth, once it holds ``max_entries``.
+
+    Finding the cut scans two columns of the table a few times, so pass a stored
+    table rather than a long computation.
+    """
+    oldest = _oldest(cache, max_entries)
     return cache if oldest is None else cache.filter(~oldest)
 
 

@@ -20,7 +20,7 @@ from ..operators.admission import admit_and_store
 from ..operators.knn import knn_join, nearest_one
 from ..operators.lookup import asof_lookup, exact_lookup
 from ..operators.ranking import topk
-from ..session import cut_lineage
+from ..session import written
 
 DECISION_COLUMNS = (
     "req_id", "query", "source", "category", "confidence", "answer", "similarity",
@@ -163,8 +163,8 @@ def cascade(
     A volatile request touches neither tier.  Only requests still undecided
     after the exact tier are searched, and only the best reranked candidate of a
     request is verified.  Requests after the exact tier feed both the search and
-    the final join; they are materialised when a model produced them (or on
-    ``config.materialize``), so no model runs twice.
+    the final join, so they are written once (``config.materialize``; always when
+    a model produced them, so that no model runs twice).
     """
     labelled = label_requests(resolve_context(requests, plugins, signals, config.history_turns), plugins)
     keyed = labelled.withColumn("entry_key", cache_key(F.col("query")))
@@ -185,7 +185,7 @@ def cascade(
         .otherwise(F.concat(F.lit("decided:"), F.col("req_id").cast("string"))),
     )
     if config.materialize or plugins.rewriter or plugins.classifier:
-        looked = cut_lineage(looked)
+        looked = written(looked, "looked")
     live = semantic
     if config.expire_semantic:
         newest = looked.agg(F.max("at_us").alias("now")).scalar()

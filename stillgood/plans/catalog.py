@@ -79,10 +79,7 @@ def scan_conversations(spark, sf_dir):
 
 @register
 def scan_cache(spark, sf_dir):
-    path = scratch_path(spark, "cache")
-    store.VersionedTable(spark, path).publish(X.document_cache(spark, sf_dir), 0)
-    cache = store.VersionedTable(spark, path).read()
-    return cache.groupBy("category").agg(
+    return _stored_cache(spark, sf_dir).groupBy("category").agg(
         F.count("*").alias("entries"), F.min("cached_us").alias("oldest_us"), F.max("cached_us").alias("newest_us")
     )
 
@@ -350,6 +347,13 @@ def exact_lookup_snapshot(spark, sf_dir):
     return lookup.exact_lookup(requests, X.document_cache(spark, sf_dir)).select("doc_id", "hit", "answer", "category")
 
 
+def _stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document answers as a table that was written before."""
+    stored = store.VersionedTable(spark, scratch_path(spark, "cache"))
+    stored.publish(X.document_cache(spark, sf_dir), 0)
+    return stored.read()
+
+
 def _ranked(df):
     return df.select("req_id", F.col("rank").cast("long").alias("rank"), "entry_key", "similarity")
 
@@ -394,7 +398,7 @@ def label_vs_prediction(spark, sf_dir):
 
 @register
 def evict_anti_join(spark, sf_dir):
-    cache = X.document_cache(spark, sf_dir)
+    cache = _stored_cache(spark, sf_dir)
     return store.remove_entries(cache, store.evicted(cache, 100)).select("entry_key")
 
 
@@ -570,7 +574,7 @@ def cache_upsert(spark, sf_dir):
 
 @register
 def evict_oldest(spark, sf_dir):
-    return store.evict(X.document_cache(spark, sf_dir), 100).select("entry_key", "cached_us")
+    return store.evict(_stored_cache(spark, sf_dir), 100).select("entry_key", "cached_us")
 
 
 @register
@@ -690,7 +694,7 @@ def admit_and_store(spark, sf_dir):
         (F.lit(X.BASE_US + 30 * X.DAY_US) + (F.col("conv_id") * 1000 + F.col("turn")) * 1_000_000).alias("at_us"),
     )
     _, table = admission.admit_and_store(
-        misses, X.document_cache(spark, sf_dir), X.judge_reply, C.CacheConfig(max_entries=100), X.FIXTURE_PHRASES
+        misses, _stored_cache(spark, sf_dir), X.judge_reply, C.CacheConfig(max_entries=100), X.FIXTURE_PHRASES
     )
     return table.select("entry_key", "category", "cached_us", "expires_us")
 

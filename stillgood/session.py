@@ -56,6 +56,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back.
+
+    For results that feed several branches: each branch then scans only the
+    columns and rows it needs, and lost executors cost no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and continue from there."""
     shared_dir(df.sparkSession)
