@@ -37,7 +37,8 @@ def batch_model(
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = None
-        for columns in batches:
+        for batch in batches:
+            columns = (batch,) if isinstance(batch, pd.Series) else batch
             wanted = pd.concat([c.notna() for c in columns], axis=1).all(axis=1).to_numpy()
             rows = wanted.nonzero()[0]
             out: list = [None] * len(wanted)

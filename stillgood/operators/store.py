@@ -130,4 +130,12 @@ class VersionedTable:
         return self.read(older[-1]) if older else self.spark.createDataFrame([], self.schema)
 
     def publish(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        """Write a version in the table's own column order and types."""
+        fields = self.spark.createDataFrame([], self.schema).schema.fields
+        conformed = df.select(
+            *[
+                (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in fields
+            ]
+        )
+        conformed.write.mode("overwrite").parquet(f"{self.path}/v{version}")
