@@ -313,7 +313,7 @@ class _Cells:
         spark = self.req.sparkSession
         asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
         plan = [
-            (c, ceil(self.stats[c][0] / self.tile), ceil(n / self.tile)) for c, n in asked.items()
+            (c, ceil(self.stats[c][0] / self.tile), ceil(n / (4 * self.tile))) for c, n in asked.items()
         ]
         plan_df = F.broadcast(
             spark.createDataFrame(plan, "cell int, entry_tiles int, request_tiles int")

@@ -64,11 +64,14 @@ def asof_lookup(
     earlier slices is carried in, so a hot key spreads over its slices.
     """
     payload = F.struct("cached_us", "expires_us", "answer", "category")
-    both_sides = requests.select("entry_key").unionAll(writes.select("entry_key"))
+    both_sides = requests.select("entry_key", F.col(at_us).alias("_t")).unionAll(
+        writes.select("entry_key", "cached_us")
+    )
     if largest_group(both_sides, "entry_key") <= max_group_rows:
         looked_up = _asof_whole(requests, writes.select("entry_key", "cached_us", "seq", payload.alias("_w")), at_us)
     else:
-        looked_up = _asof_sliced(requests, writes, payload, at_us, slice_us)
+        width = _slice_width(both_sides, slice_us, max_group_rows)
+        looked_up = _asof_sliced(requests, writes, payload, at_us, width)
     w = F.col("_w")
     hit = F.coalesce(_valid(w["answer"], w["expires_us"], F.col(at_us)), F.lit(False))
     return looked_up.withColumns(
@@ -81,6 +84,20 @@ def asof_lookup(
     ).drop("_w")
 
 
+def _slice_width(timeline: DataFrame, width: int, bound: int) -> int:
+    """Slice length whose fullest slice fits a task.
+
+    At ``bound`` microseconds it fits by construction, since a slice holds each
+    instant once.
+    """
+    while width > bound:
+        fullest = largest_group(timeline, "entry_key", bin_of(F.col("_t"), width))
+        if fullest <= bound:
+            break
+        width = max(bound, width // (fullest // bound + 1))
+    return width
+
+
 def _asof_whole(requests: DataFrame, writes: DataFrame, at_us: str) -> DataFrame:
     kept = F.struct(*[c for c in requests.columns if c != "entry_key"])
     asked = requests.select(

@@ -31,8 +31,8 @@ def api_rate(
     """Adds ``rate``: upstream calls strictly before a request and under ``seconds`` old.
 
     ``is_call`` marks rows that made an upstream call; a request never counts
-    itself.  When one bin is too crowded for a task, calls are first folded per
-    microsecond, which bounds a bin by its width however many rows it holds.
+    itself.  When one bin is too crowded for a task, rows are first folded per
+    microsecond and counted in slices that no amount of rows can overfill.
     """
     width = seconds * MICROS
     log = requests.withColumn("_t", F.col(at_us)).withColumn("_calls", is_call.cast("long"))
@@ -41,10 +41,37 @@ def api_rate(
             "rate", F.coalesce(F.sum("_calls").over(_trailing(width)), F.lit(0))
         )
         return counted.filter("_bin = _own").drop("_t", "_calls", "_own", "_bin")
-    instants = log.groupBy("_t").agg(F.sum("_calls").alias("_calls"))
-    rates = (
-        _binned(instants, "_t", width)
-        .withColumn("rate", F.coalesce(F.sum("_calls").over(_trailing(width)), F.lit(0)))
-        .filter("_bin = _own").select("_t", "rate")
-    )
+    rates = _folded_rates(log.groupBy("_t").agg(F.sum("_calls").alias("n")), width, max_group_rows)
     return log.join(rates, "_t").drop("_t", "_calls")
+
+
+def _folded_rates(instants: DataFrame, width: int, bound: int) -> DataFrame:
+    """Trailing counts per distinct instant, with every window bounded.
+
+    The look-back is a whole number of slices, each at most ``bound``
+    microseconds long.  The count at T is what its own slice holds before T,
+    plus the slices in between, less what lies at or before the cut T - width.
+    """
+    parts = next(m for m in range(-(-width // bound), width + 1) if width % m == 0)
+    slice_us = width // parts
+    marks = instants.select("_t", F.col("_t").alias("at"), "n", F.lit(0).alias("cut")).unionByName(
+        instants.select("_t", (F.col("_t") - width).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("cut"))
+    )
+    marks = marks.withColumn("_slice", bin_of(F.col("at"), slice_us))
+    inside = Window.partitionBy("_slice").orderBy("at", "cut").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("n").over(inside)
+    edges = (
+        marks.withColumn("edge", F.when(F.col("cut") == 0, running - F.col("n")).otherwise(-running))
+        .groupBy("_t").agg(F.sum("edge").alias("edge"))
+        .withColumn("_slice", bin_of(F.col("_t"), slice_us))
+    )
+    totals = instants.groupBy(bin_of(F.col("_t"), slice_us).alias("_slice")).agg(F.sum("n").alias("n"))
+    block = bin_of(F.col("_slice"), max(parts, bound))
+    earlier = Window.partitionBy("_block").orderBy("_slice").rangeBetween(-parts, -1)
+    between = (
+        totals.withColumn("_own", block)
+        .withColumn("_block", F.explode(F.array("_own", F.col("_own") + 1)))
+        .withColumn("between", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .filter("_block = _own").select("_slice", "between")
+    )
+    return edges.join(between, "_slice").select("_t", (F.col("edge") + F.col("between")).alias("rate"))

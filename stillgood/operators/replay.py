@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .lookup import _asof_sliced
 from .ranking import bin_of
 
@@ -180,6 +180,7 @@ def ttl_replay(
     hot = prepared.groupBy("_key").count().filter(F.col("count") > max_group_rows).select("_key")
     if hot.isEmpty():
         return _replay_whole(prepared)
+    hot = written(hot, "hot-keys")
     cold = _replay_whole(prepared.join(hot, "_key", "left_anti").select(*prepared.columns))
     crowded = prepared.join(hot, "_key", "left_semi").select(*prepared.columns)
     return cold.unionByName(_replay_hot(crowded, log.columns, max_group_rows))

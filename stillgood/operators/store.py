@@ -16,11 +16,14 @@ ENTRY_SCHEMA = (
 
 
 def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """Insert entries, replacing those with the same key."""
-    both = cache.withColumn("_new", F.lit(0)).unionByName(
-        entries.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    return topk(both, ["entry_key"], [F.desc("_new"), F.desc_nulls_last("cached_us")], 1).drop("_new", "rank")
+    """Insert entries, replacing those with the same key.
+
+    ``cache`` holds one row per key, so only the entries are deduplicated (newest
+    wins) and a table much larger than the batch need not be shuffled.
+    """
+    fresh = topk(entries, ["entry_key"], [F.desc_nulls_last("cached_us")], 1).drop("rank")
+    kept = remove_entries(cache, fresh)
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def eviction_order() -> Column:
@@ -129,6 +132,13 @@ class VersionedTable:
         older = [v for v in self.versions() if v < version]
         return self.read(older[-1]) if older else self.spark.createDataFrame([], self.schema)
 
+    def prune(self, keep: int = 3) -> None:
+        """Drop all but the newest versions; readers and a retried batch use the last two."""
+        jvm = self.spark._jvm
+        for version in self.versions()[:-keep]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
     def publish(self, df: DataFrame, version: int) -> None:
         """Write a version in the table's own column order and types."""
         fields = self.spark.createDataFrame([], self.schema).schema.fields

@@ -579,7 +579,12 @@ def evict_oldest(spark, sf_dir):
 
 @register
 def cache_clear(spark, sf_dir):
-    return store.table_sizes(store.clear(X.document_cache(spark, sf_dir)), store.clear(X.event_writes(spark, sf_dir)))
+    """Entries of the stored table before and after clearing it."""
+    stored = store.VersionedTable(spark, scratch_path(spark, "cache"))
+    stored.publish(X.document_cache(spark, sf_dir), 0)
+    stored.publish(store.clear(stored.read()), 1)
+    before, after = (stored.read(v).agg(F.count("*").alias("entries")) for v in (0, 1))
+    return before.withColumn("version", F.lit(0)).unionByName(after.withColumn("version", F.lit(1)))
 
 
 @register

@@ -398,7 +398,7 @@ ORACLES: dict[str, str] = {
         WHERE entry_key NOT IN (SELECT entry_key FROM fresh)""",
     "evict_oldest": f"""WITH {ENTRIES} SELECT entry_key, cached_us FROM cache
         QUALIFY row_number() OVER (ORDER BY cached_us, entry_key) > greatest(1, (count(*) OVER ()) // 10)""",
-    "cache_clear": "SELECT count(*) FILTER (false) AS semantic_entries, count(*) FILTER (false) AS exact_entries FROM documents",
+    "cache_clear": f"WITH {ENTRIES} SELECT 0 AS version, count(*) AS entries FROM cache UNION ALL SELECT 1, 0",
     "exact_refresh": f"""WITH {CASCADE}, h AS (SELECT query_key, at_us, CASE source WHEN 'CACHE_HIT_FAST' THEN near_answer ELSE best_answer END AS answer,
         CASE source WHEN 'CACHE_HIT_FAST' THEN near_category ELSE best_category END AS category
         FROM decided WHERE source IN ('CACHE_HIT_FAST', 'CACHE_HIT_VERIFIED'))
@@ -463,3 +463,19 @@ ORACLES["admit_and_store"] = f"""WITH {_PAIRS_JUDGED}, {ENTRIES}, kept AS (SELEC
     QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY cached_us DESC) = 1)
     SELECT entry_key, category, cached_us, {expiry('cached_us', 'category')} AS expires_us FROM fresh
     UNION ALL SELECT entry_key, category, cached_us, expires_us FROM kept WHERE entry_key NOT IN (SELECT entry_key FROM fresh)"""
+
+ORACLES["cascade_stream"] = f"""WITH {DEC}, asked AS (
+    SELECT key AS query, '[LLM placeholder for: ' || key || ']' AS response, user_id, at_us,
+           CASE WHEN k = 13 THEN 'Volatile' ELSE true_category END AS label
+    FROM dec JOIN embeddings ON vec_id = user_id), miss AS (SELECT * FROM asked WHERE label <> 'Volatile'),
+    {_judged('query', 'response', 'miss', any_of('response', C.UNCACHEABLE_PHRASES))}, stored AS (
+    SELECT query, user_id, max(at_us) AS cached_us, max({expiry('at_us', 'label')}) AS expires_us
+    FROM judged WHERE NOT blocked AND combined >= 0.5::DOUBLE GROUP BY query, user_id), again AS (
+    SELECT a.label, a.at_us + {MINUTE} AS at_us, s.cached_us, s.expires_us,
+           a.user_id IN (SELECT user_id FROM stored) AS known
+    FROM asked a LEFT JOIN stored s ON s.query = a.query)
+    SELECT batch::BIGINT AS batch, source, count(*) AS n FROM (
+      SELECT 0 AS batch, CASE label WHEN 'Volatile' THEN 'GEMINI_VOLATILE' ELSE 'GEMINI_API' END AS source FROM asked
+      UNION ALL SELECT 1, CASE WHEN label = 'Volatile' THEN 'GEMINI_VOLATILE'
+        WHEN cached_us <= at_us AND at_us < expires_us THEN 'REDIS_HIT' WHEN known THEN 'CACHE_HIT_FAST'
+        ELSE 'GEMINI_API' END FROM again) GROUP BY batch, source"""

@@ -145,6 +145,7 @@ def cascade_stream(
         if plugins.judge is None:
             semantic.publish(stored, batch_id)
             exact.publish(refreshed, batch_id)
+            semantic.prune(), exact.prune()
             return
         judged = judge_answers(misses(decided), plugins.judge, config.admission_threshold, phrases)
         log = f"{decisions_path}_admissions/batch={batch_id}"
@@ -152,6 +153,7 @@ def cascade_stream(
         admitted = admitted_entries(spark.read.parquet(log))
         semantic.publish(store_entries(stored, admitted, config.max_entries), batch_id)
         exact.publish(upsert(refreshed, admitted), batch_id)
+        semantic.prune(), exact.prune()
 
     return (
         source.writeStream.foreachBatch(step)
