@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIGN_BIT = -(1 << 63)
-CHUNK = 3  # hex digits refined per pass: at most 4096 counts per open prefix
+MAX_COUNTS = 1 << 17  # histogram rows one refinement pass may send to the driver
 
 
 def largest_group(df: DataFrame, *keys: str | Column) -> int:
@@ -64,7 +64,9 @@ def rank_cuts(
     open_targets = [(g, r, "", r) for g, rs in ranks.items() for r in rs]
     depth = 0
     while total is None or total > finish_rows or depth:
-        counts = _histogram(keyed, open_targets, depth, depth + CHUNK)
+        prefixes = len({(g, prefix) for g, _, prefix, _ in open_targets})
+        chunk = next((d for d in (4, 3, 2) if prefixes * 16**d <= MAX_COUNTS), 1)
+        counts = _histogram(keyed, open_targets, depth, depth + chunk)
         stepped, remaining = [], {}
         for g, rank, prefix, left in open_targets:
             for bucket in sorted(counts.get((g, prefix), {})):
@@ -74,7 +76,7 @@ def rank_cuts(
                     remaining[(g, prefix + bucket)] = size
                     break
                 left -= size
-        open_targets, depth = stepped, depth + CHUNK
+        open_targets, depth = stepped, depth + chunk
         if sum(remaining.values()) <= finish_rows or all(n == 1 for n in remaining.values()):
             break
     keys = _open_keys(keyed, open_targets, depth)

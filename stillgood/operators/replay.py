@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from ..session import cut_lineage, written
-from .lookup import _asof_sliced
+from ..session import written
+from .lookup import DAY_US, _asof_sliced, _slice_width
 from .ranking import bin_of
 
 NEVER = (1 << 62) - 1
+SLICE_ROWS = 1_000_000
 
 
 def replay_sorted(at: np.ndarray, ttl: np.ndarray, expiry: int | None):
@@ -94,7 +95,7 @@ def _store_times(instants: DataFrame, slice_us: int) -> DataFrame:
         ),
         F.struct("cached_us"), "at_us", slice_us,
     )
-    hops = cut_lineage(
+    hops = written(
         ahead.select(F.col("entry_key").alias("key"), F.col("t").alias("i"), (-F.col("_w.cached_us")).alias("g"))
     )
     bounds = points.agg(F.min("ttl").alias("ttl"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
@@ -119,13 +120,13 @@ def _store_times(instants: DataFrame, slice_us: int) -> DataFrame:
             entries.join(below, ["key", "i"]).join(onward, ["key", "g"], "left")
             .select("key", "i", F.when(crosses, F.col("g")).otherwise(F.col("_onward")).alias("g"))
         )
-        table.append(cut_lineage(composed))
+        table.append(written(composed))
     reached = firsts
     for level in range(levels - 1, -1, -1):
         steps = reached.join(table[level], ["key", "i"]).filter(
             F.col("g").isNotNull() & ~apart(level + 1)
         )
-        reached = cut_lineage(
+        reached = written(
             reached.unionByName(steps.select("key", F.col("g").alias("i"))).distinct()
         )
     return reached.select("key", F.col("i").alias("t"))
@@ -135,7 +136,7 @@ def _replay_hot(log: DataFrame, columns: list[str], slice_us: int) -> DataFrame:
     instants = log.groupBy(F.col("_key").alias("key"), F.col("_at").alias("t")).agg(
         F.min_by("_ttl", "_id").alias("ttl"), F.min("_id").alias("first_id")
     )
-    instants = cut_lineage(instants)
+    instants = written(instants)
     stores = instants.join(_store_times(instants, slice_us), ["key", "t"]).select(
         F.col("key").alias("entry_key"),
         F.col("t").alias("cached_us"),
@@ -161,14 +162,14 @@ def ttl_replay(
     at_us: str,
     ttl_us: Column,
     row_id: str,
-    max_group_rows: int = 1_000_000,
+    max_group_rows: int = 20_000_000,
 ) -> DataFrame:
     """Adds ``hit`` and ``expires_us`` to each request of the log.
 
     ``ttl_us`` is the lifetime a store made by that request would get; NULL
-    never expires.  Keys with more than ``max_group_rows`` requests take the
-    block-composition route, all others are walked in time order within their
-    partition.
+    never expires.  Keys are walked in time order within their partition, one
+    Arrow batch in memory at a time; a key with more than ``max_group_rows``
+    requests would take too long there and goes the block-composition route.
     """
     prepared = log.select(
         "*",
@@ -183,4 +184,6 @@ def ttl_replay(
     hot = written(hot, "hot-keys")
     cold = _replay_whole(prepared.join(hot, "_key", "left_anti").select(*prepared.columns))
     crowded = prepared.join(hot, "_key", "left_semi").select(*prepared.columns)
-    return cold.unionByName(_replay_hot(crowded, log.columns, max_group_rows))
+    timeline = crowded.select(F.col("_key").alias("entry_key"), F.col("_at").alias("_t"))
+    slice_us = _slice_width(timeline, DAY_US, min(max_group_rows, SLICE_ROWS))
+    return cold.unionByName(_replay_hot(crowded, log.columns, slice_us))

@@ -17,6 +17,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..streaming import streams
 from . import fixtures as X
+from .answer_cache import AnswerCache
 from .cascade import cascade, prototype_cascade, resolve_context
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -675,15 +676,11 @@ def cascade_stream(spark, sf_dir):
         late = requests.withColumn("at_us", F.col("at_us") + part * X.MINUTE_US).withColumn("pass", F.lit(part))
         late.coalesce(1).write.mode("append").parquet(f"{path}/requests")
     source = streams.file_stream(spark, f"{path}/requests", _ddl(late), files_per_batch=1)
-    plugins = Plugins(judge=X.judge_reply)
-    query = streams.cascade_stream(
-        source, f"{path}/semantic", f"{path}/exact", f"{path}/decisions", f"{path}/checkpoint",
-        C.CacheConfig(fixed_threshold=0.99, max_entries=10**9), plugins,
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/decisions").groupBy(F.col("batch").cast("long").alias("batch"), "source").agg(
-        F.count("*").alias("n")
+    cache = AnswerCache(
+        spark, f"{path}/cache", C.CacheConfig(fixed_threshold=0.99, max_entries=10**9), Plugins(judge=X.judge_reply)
     )
+    streams.cascade_stream(source, cache, f"{path}/checkpoint").awaitTermination()
+    return cache.decisions().groupBy(F.col("batch").cast("long").alias("batch"), "source").agg(F.count("*").alias("n"))
 
 
 def _ddl(df: DataFrame) -> str:

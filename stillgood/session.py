@@ -65,9 +65,3 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

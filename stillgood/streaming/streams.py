@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .. import config as C
-from ..functions.plugins import Plugins
 from ..functions.scores import epoch_us
-from ..operators.admission import admitted_entries, judge_answers, store_entries
 from ..operators.replay import NEVER, replay_sorted
-from ..operators.store import VersionedTable, refresh_entries, upsert
-from ..plans.cascade import cascade, misses
+from ..plans.answer_cache import AnswerCache
 
 WATERMARK = "10 minutes"
 
@@ -112,48 +108,11 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     )
 
 
-def cascade_stream(
-    source: DataFrame,
-    semantic_path: str,
-    exact_path: str,
-    decisions_path: str,
-    checkpoint: str,
-    config: C.CacheConfig = C.CacheConfig(),
-    plugins: Plugins = Plugins(),
-    score_candidates: Callable[[DataFrame], DataFrame] | None = None,
-    phrases=C.UNCACHEABLE_PHRASES,
-) -> StreamingQuery:
-    """The cascade per micro-batch; what batch *n* stores, batch *n+1* can serve.
-
-    Each batch decides against the newest table versions older than itself,
-    writes its decisions, then publishes the next versions under its own number.
-    Every write is keyed by the batch number, so a retried batch repeats it.
-    """
+def cascade_stream(source: DataFrame, cache: AnswerCache, checkpoint: str) -> StreamingQuery:
+    """Put every micro-batch to the cache: what batch *n* stores, batch *n+1* can serve."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        semantic, exact = VersionedTable(spark, semantic_path), VersionedTable(spark, exact_path)
-        stored, keyed = semantic.before(batch_id), exact.before(batch_id)
-        decided = cascade(batch, keyed, stored, config, plugins, score_candidates)
-        target = f"{decisions_path}/batch={batch_id}"
-        decided.write.mode("overwrite").parquet(target)
-        decided = spark.read.parquet(target)
-        # entries past their lifetime at the end of this batch are not carried on
-        now = decided.agg(F.max("at_us")).first()[0] or 0
-        alive = keyed.filter(F.col("expires_us").isNull() | (F.col("expires_us") > now))
-        refreshed = upsert(alive, refresh_entries(decided))
-        if plugins.judge is None:
-            semantic.publish(stored, batch_id)
-            exact.publish(refreshed, batch_id)
-            semantic.prune(), exact.prune()
-            return
-        judged = judge_answers(misses(decided), plugins.judge, config.admission_threshold, phrases)
-        log = f"{decisions_path}_admissions/batch={batch_id}"
-        judged.write.mode("overwrite").parquet(log)
-        admitted = admitted_entries(spark.read.parquet(log))
-        semantic.publish(store_entries(stored, admitted, config.max_entries), batch_id)
-        exact.publish(upsert(refreshed, admitted), batch_id)
-        semantic.prune(), exact.prune()
+        cache.ask(batch, batch_id)
 
     return (
         source.writeStream.foreachBatch(step)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from stillgood import config as C
 from stillgood.functions.plugins import Plugins, batch_model, only_where
 from stillgood.functions.text import cache_key
-from stillgood.operators.store import VersionedTable
+from stillgood.plans.answer_cache import AnswerCache
 from stillgood.plans.cascade import cascade, prototype_cascade, resolve_context, store_misses
 from stillgood.streaming.streams import cascade_stream, file_stream
 
@@ -173,12 +173,27 @@ def test_stream_sees_earlier_batches(spark, tmp_path):
     for rows in (first, second, third):
         spark.createDataFrame(rows, REQUEST).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = file_stream(spark, str(tmp_path / "in"), REQUEST, files_per_batch=1)
-    paths = [str(tmp_path / p) for p in ("semantic", "exact", "decisions", "checkpoint")]
-    cascade_stream(source, *paths, plugins=Plugins(judge=judge)).awaitTermination()
-    got = {r.req_id: (r.batch, r.source) for r in spark.read.parquet(paths[2]).collect()}
+    cache = AnswerCache(spark, str(tmp_path / "cache"), plugins=Plugins(judge=judge))
+    cascade_stream(source, cache, str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r.req_id: (r.batch, r.source) for r in cache.decisions().collect()}
     assert got == {
         1: (0, C.GEMINI_API), 2: (0, C.GEMINI_VOLATILE), 3: (1, C.REDIS_HIT), 4: (1, C.CACHE_HIT_FAST),
         5: (1, C.GEMINI_VOLATILE), 6: (2, C.REDIS_HIT),
     }
-    assert [r.query for r in VersionedTable(spark, paths[0]).read().collect()] == ["size of venus"]
-    assert {r.query for r in VersionedTable(spark, paths[1]).read().collect()} == {"size of venus", "venus size"}
+    assert [r.query for r in cache.semantic.read().collect()] == ["size of venus"]
+    assert {r.query for r in cache.exact.read().collect()} == {"size of venus", "venus size"}
+    assert tuple(cache.sizes().first()) == (1, 2)
+    assert tuple(cache.stats().first()) == (6, 50.0, 83.33)
+    assert cache.admissions().count() == 1
+
+
+def test_batches_repeat_and_clear(spark, tmp_path):
+    cache = AnswerCache(spark, str(tmp_path / "cache"), plugins=Plugins(judge=judge))
+    asked = requests(spark).filter("req_id = 5")
+    assert cache.ask(asked).first().source == C.GEMINI_API
+    assert cache.ask(asked, batch=0).first().source == C.GEMINI_API  # a retry sees what the batch saw
+    assert cache.ask(asked).first().source == C.REDIS_HIT
+    cache.clear()
+    assert tuple(cache.sizes().first()) == (0, 0)
+    assert cache.ask(asked).first().source == C.GEMINI_API
+    assert cache.decisions().count() == 3
