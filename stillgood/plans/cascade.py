@@ -14,7 +14,7 @@ from ..functions.scores import (
 )
 from ..functions.text import (
     cache_key, chat_messages, clip_relevance, lifetime_keywords, rewrite_applies, rewrite_prompt,
-    trim_history,
+    rewrite_prompt_strict, strip, trim_history,
 )
 from ..operators.admission import admit_and_store
 from ..operators.knn import knn_join, nearest_one
@@ -30,21 +30,26 @@ DECISION_COLUMNS = (
 
 
 def resolve_context(
-    requests: DataFrame, plugins: Plugins, signals=C.CONTEXT_SIGNALS, turns: int = 3
+    requests: DataFrame, plugins: Plugins, signals=C.CONTEXT_SIGNALS, turns: int = 3, strict: bool = False
 ) -> DataFrame:
     """Trim history and rewrite follow-ups; adds ``rewritten``.
 
     Only requests that have history and use a signal word reach the rewriter; a
-    rewriter that returns nothing leaves the request as it was.
+    rewriter that returns nothing leaves the request as it was.  ``strict`` sends
+    every request with history, with the whole of it in the prompt.
     """
     if "history" not in requests.columns:
         return requests.withColumn("rewritten", F.lit(False))
-    trimmed = requests.withColumn("history", trim_history(F.col("history"), turns))
+    trimmed = requests if strict else requests.withColumn("history", trim_history(F.col("history"), turns))
     if plugins.rewriter is None:
         return trimmed.withColumn("rewritten", F.lit(False))
     query, history = F.col("query"), F.col("history")
-    applies = rewrite_applies(query, history, signals)
-    out = only_where(applies, plugins.rewriter, rewrite_prompt(query, history, signals))
+    if strict:
+        applies = F.coalesce(F.size(history), F.lit(0)) > 0
+        out = strip(only_where(applies, plugins.rewriter, rewrite_prompt_strict(query, history)))
+    else:
+        applies = rewrite_applies(query, history, signals)
+        out = only_where(applies, plugins.rewriter, rewrite_prompt(query, history, signals))
     return (
         trimmed.withColumn("_out", F.coalesce(out, query))
         .withColumn("rewritten", F.col("_out") != query)

@@ -6,6 +6,8 @@ from stillgood.functions.plugins import Plugins, batch_model, only_where
 from stillgood.functions.text import cache_key
 from stillgood.plans.answer_cache import AnswerCache
 from stillgood.plans.cascade import cascade, prototype_cascade, resolve_context, store_misses
+from stillgood.plans.evaluation import evaluation_rows, write_evaluation
+from stillgood.sources import io
 from stillgood.streaming.streams import cascade_stream, file_stream
 
 REQUEST = (
@@ -197,3 +199,30 @@ def test_batches_repeat_and_clear(spark, tmp_path):
     assert tuple(cache.sizes().first()) == (0, 0)
     assert cache.ask(asked).first().source == C.GEMINI_API
     assert cache.decisions().count() == 3
+
+
+def test_strict_rewriting_uses_every_history(spark):
+    rows = [(1, "plain words", [("a", "b")]), (2, "plain words", [])]
+    df = spark.createDataFrame(rows, "req_id long, query string, history array<struct<query:string,response:string>>")
+    out = resolve_context(df, Plugins(rewriter=lambda prompt: F.lit("  resolved ")), strict=True)
+    assert {r.req_id: (r.query, r.rewritten) for r in out.collect()} == {1: ("resolved", True), 2: ("plain words", False)}
+
+
+def test_populate_then_probe_and_report(spark, tmp_path):
+    """Two-phase evaluation: fill the cache, probe it, compare with the truth."""
+    cache = AnswerCache(spark, str(tmp_path / "cache"), plugins=Plugins(judge=judge))
+    cache.ask(requests(spark).filter("req_id IN (4, 5)"))
+    later = requests(spark).withColumn("at_us", F.col("at_us") + 1)
+    probes = later.select("req_id", "query", F.lit("Static").alias("primary_category"), F.col("query").alias("ground_truth_2026"))
+    probes = probes.unionByName(spark.createDataFrame([(99, "lost", "Volatile", None)], probes.schema))
+    rows = evaluation_rows(cache.ask(later), probes)
+    got = {r.req_id: r for r in rows.collect()}
+    assert got[4].cache_hit and got[4].predicted_category == C.UNKNOWN and got[4].confidence == 0.0
+    assert got[1].volatile_bypass and got[99].source == C.ERROR and got[99].query == "lost"
+    embedder = lambda t: F.when(F.contains(t, F.lit("placeholder")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.5), F.lit(0.5)))
+    paths = write_evaluation(rows, str(tmp_path / "report"), embedder)
+    summary = spark.read.json(paths["summary"]).first()
+    assert summary.total_queries_tested == 9 and summary.metrics.staleness_rate_percent == 100.0
+    wrong = io.read_csv(spark, paths["wrong_hits"]).collect()
+    assert len(wrong) == sum(r.cache_hit for r in got.values()) > 0
+    assert {(r.similarity_to_gt, r.is_wrong_hit) for r in wrong} == {("0.7071", "false")}
