@@ -11,6 +11,7 @@ from .. import config as C
 from ..functions.plugins import Scorer, only_where
 from ..functions.scores import admission, expires_us
 from ..functions.text import cache_key, fill_template, parse_score, uncacheable
+from ..session import written
 from .ranking import topk
 from .store import evict, upsert
 
@@ -76,6 +77,10 @@ def admit_and_store(
     config: C.CacheConfig = C.CacheConfig(),
     phrases: Sequence[str] = C.UNCACHEABLE_PHRASES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(judged misses, table after storing the admitted ones)."""
-    judged = judge_answers(misses, judge, config.admission_threshold, phrases)
+    """(judged misses, table after storing the admitted ones).
+
+    The judged rows are written once: storing reads them more than once, and the
+    judge must not be asked again.
+    """
+    judged = written(judge_answers(misses, judge, config.admission_threshold, phrases), "judged")
     return judged, store_entries(cache, admitted_entries(judged), config.max_entries)

@@ -72,6 +72,8 @@ def rank_cuts(
             for bucket in sorted(counts.get((g, prefix), {})):
                 size = counts[(g, prefix)][bucket]
                 if left <= size:
+                    if not bucket and size > finish_rows:
+                        raise ValueError("sort keys repeat; append a unique id to them")
                     stepped.append((g, rank, prefix + bucket, left))
                     remaining[(g, prefix + bucket)] = size
                     break

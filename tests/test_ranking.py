@@ -55,3 +55,9 @@ def test_dedup_plan_prunes_before_shuffle(spark):
     assert sorted(r.id for r in out.collect()) == [0, 1]
     plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")
+
+
+def test_repeated_sort_keys_are_refused(spark):
+    df = spark.range(100).withColumn("s", F.lit("00ff"))
+    with pytest.raises(ValueError):
+        ranking.rank_cuts(df, F.lit(0), F.col("s"), {0: [5]}, finish_rows=10)
