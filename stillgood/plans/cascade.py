@@ -262,6 +262,8 @@ def prototype_cascade(
     looked = exact_lookup(
         requests.withColumn("entry_key", cache_key(F.col("query"))), exact
     ).withColumnsRenamed({"answer": "exact_answer", "hit": "exact_hit", "entry_key": "query_key"}).drop("category")
+    if config.materialize:
+        looked = written(looked, "looked")
     open_ = looked.filter(~F.col("exact_hit"))
     near = nearest_one(
         open_, semantic, config.floor_threshold, max_broadcast_bytes=config.max_broadcast_bytes,

@@ -672,10 +672,14 @@ def cascade_stream(spark, sf_dir):
     """Two micro-batches of the same requests: the second meets what the first stored."""
     path = scratch_path(spark, "cascade")
     requests = X.event_requests(spark, sf_dir)
+    files = 0
     for part in range(2):
-        late = requests.withColumn("at_us", F.col("at_us") + part * X.MINUTE_US).withColumn("pass", F.lit(part))
-        late.coalesce(1).write.mode("append").parquet(f"{path}/requests")
-    source = streams.file_stream(spark, f"{path}/requests", _ddl(late), files_per_batch=1)
+        late = requests.withColumn("at_us", F.col("at_us") + part * X.MINUTE_US)
+        # the same hash split both times, so both passes have the same number of files
+        late = late.repartition(spark.sparkContext.defaultParallelism, "req_id")
+        late.write.mode("append").parquet(f"{path}/requests")
+        files = files or len(spark.read.parquet(f"{path}/requests").inputFiles())
+    source = streams.file_stream(spark, f"{path}/requests", _ddl(late), files_per_batch=files)
     cache = AnswerCache(
         spark, f"{path}/cache", C.CacheConfig(fixed_threshold=0.99, max_entries=10**9), Plugins(judge=X.judge_reply)
     )
