@@ -12,8 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scores import epoch_us
-from ..operators.replay import NEVER, replay_sorted
+from ..operators.replay import NEVER, replay_sorted, ttl_replay
+from ..operators.store import VersionedTable
 from ..plans.answer_cache import AnswerCache
+from ..session import written
 
 WATERMARK = "10 minutes"
 
@@ -57,6 +59,43 @@ def ttl_replay_stream(log: DataFrame) -> DataFrame:
     )
 
 
+def ttl_replay_batches(
+    log: DataFrame, path: str, checkpoint: str, max_group_rows: int = 20_000_000
+) -> StreamingQuery:
+    """The replay per micro-batch through the batch operator, for streams with hot keys.
+
+    The last store of each key is carried in a versioned table and enters the
+    next batch as that key's first request, so a key of any size is split as in
+    the batch replay.  Rows land in ``path/rows``; a retried batch rewrites its own.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = VersionedTable(batch.sparkSession, f"{path}/state", "key string, at_us long, expires_us long")
+        last = state.before(batch_id)
+        carried = last.join(batch.select("key").distinct(), "key", "left_semi").select(
+            F.lit(None).cast("long").alias("row_id"), "key", "at_us",
+            (F.col("expires_us") - F.col("at_us")).alias("ttl_us"),
+        )
+        rows = batch.select("row_id", "key", F.col("at_us").cast("long"), F.col("ttl_us").cast("long"))
+        both = rows.unionByName(carried).withColumn("_order", F.coalesce("row_id", F.lit(-1)))
+        replayed = written(
+            ttl_replay(both, "key", "at_us", F.col("ttl_us"), "_order", max_group_rows), "replayed"
+        )
+        replayed.filter(F.col("row_id").isNotNull()).drop("_order", "ttl_us").write.mode("overwrite").parquet(
+            f"{path}/rows/batch={batch_id}"
+        )
+        stores = replayed.filter("NOT hit").groupBy("key").agg(
+            F.max("at_us").alias("at_us"), F.max_by("expires_us", "at_us").alias("expires_us")
+        )
+        state.publish(last.join(stores, "key", "left_anti").unionByName(stores), batch_id)
+        state.prune()
+
+    return (
+        log.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def counters_stream(decisions: DataFrame, ts: str = "ts", window: str = "1 minute") -> DataFrame:
     """Requests per event-time window and source."""
     return (

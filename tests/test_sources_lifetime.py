@@ -111,4 +111,8 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     streams.run_append(streams.ttl_replay_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.row_id: r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     log = spark.read.schema(schema).parquet(str(tmp_path / "in"))
-    assert got == {r.row_id: r.hit for r in ttl_replay(log, "key", "at_us", F.col("ttl_us"), "row_id").collect()}
+    want = {r.row_id: r.hit for r in ttl_replay(log, "key", "at_us", F.col("ttl_us"), "row_id").collect()}
+    assert got == want
+    base = str(tmp_path / "batches")
+    streams.ttl_replay_batches(stream, base, f"{base}/cp", 40).awaitTermination()
+    assert {r.row_id: r.hit for r in spark.read.parquet(f"{base}/rows").collect()} == want
