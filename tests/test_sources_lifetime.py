@@ -114,5 +114,5 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     want = {r.row_id: r.hit for r in ttl_replay(log, "key", "at_us", F.col("ttl_us"), "row_id").collect()}
     assert got == want
     base = str(tmp_path / "batches")
-    streams.ttl_replay_batches(stream, base, f"{base}/cp", 40).awaitTermination()
+    streams.ttl_replay_batches(stream, base, f"{base}/cp").awaitTermination()
     assert {r.row_id: r.hit for r in spark.read.parquet(f"{base}/rows").collect()} == want
