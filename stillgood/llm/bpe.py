@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text after which a task begins a new block; bounds the memory of a block.
 BLOCK_CHARS = 32_000_000
-#: Tokens in one step of gathering ids.
-STEP_TOKENS = 500_000
+#: Words whose ids a task holds before it sends them back, and documents in one step of gathering ids.
+FLUSH_WORDS, STEP_ROWS = 200_000, 200
+OTHER_ORDER = "the documents were read in another order for their words: pass a table as written"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,15 +56,14 @@ def _splitter(pattern: str, usual: str) -> Callable[[str], list[str]]:
     return lambda text: quick(text) if text.isascii() or max(text) < "\U00010000" else exact(text)
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Bytes of the codes by significance, which leaves runs of zeros for the shuffle's compression."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return planes[:, : 4 if len(codes) and planes[:, 3].any() else 3].T.tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed bytes, by significance: small numbers cost about their entropy in the shuffle."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((3, 0), np.uint8)
-    return sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(planes))
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -98,8 +99,8 @@ def _block_words(pattern: str, usual: str):
             if block != key:
                 yield from out()
                 seen, key = {}, block
-            for text in batch.column("text").to_pylist():
-                seen.update(dict.fromkeys(split(text or "")))
+            for text in batch.column("text"):
+                seen.update(dict.fromkeys(split(text.as_py() or "")))
         yield from out()
 
     return run
@@ -112,86 +113,104 @@ def _block_codes(pattern: str, usual: str):
             if block != key:
                 key, codes = block, defaultdict()
                 codes.default_factory = codes.__len__
-            packed, counts = [], []
-            for text in batch.column("text").to_pylist():
-                found = split(text or "")
-                packed.append(_packed(np.array([codes[w] for w in found], np.uint32)))
-                counts.append(len(found))
-            yield pa.record_batch({"block": pa.array([key] * len(counts), pa.int64()), "id": batch.column("id"),
-                                   "n": pa.array(counts, pa.int32()), "codes": pa.array(packed, pa.binary())})
+            packed = [_packed(np.array([codes[w] for w in split(text.as_py() or "")], np.uint32)) for text in batch.column("text")]
+            yield pa.record_batch({"block": pa.array([key] * len(packed), pa.int64()), "id": batch.column("id"), "codes": pa.array(packed, pa.binary())})
 
     return run
 
 
 def _merge_words(ranks: dict[bytes, int], pattern: str):
+    """Ids of sorted words; what goes back to a block is packed together, ``FLUSH_WORDS`` at a time."""
+
+    def packed(blocks: list, codes: list, ids: list) -> pa.RecordBatch:
+        block, code = np.concatenate(blocks), np.concatenate(codes)
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        rows = [(int(block[x[0]]), len(x), _packed(np.concatenate([code[x], [len(ids[i]) // 4 for i in x], np.frombuffer(b"".join([ids[i] for i in x]), "<u4")])))
+                for x in np.split(order, cuts)]
+        return pa.record_batch({"block": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.int32()), "codes": pa.array([r[2] for r in rows], pa.binary())})
+
     def run(batches):
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        last, ids = None, b""
+        last, now, blocks, codes, ids = None, b"", [], [], []
         for batch in batches:
-            out = []
+            if not batch.num_rows:
+                continue
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch({"block": batch.column("block"), "code": batch.column("code"), "ids": pa.array(out, pa.binary())})
+                    last, now = word, np.array(encode(word), "<u4").tobytes()
+                ids.append(now)
+            blocks.append(batch.column("block").to_numpy())
+            codes.append(batch.column("code").to_numpy().astype(np.int64))
+            if len(ids) >= FLUSH_WORDS:
+                yield packed(blocks, codes, ids)
+                blocks, codes, ids = [], [], []
+        if ids:
+            yield packed(blocks, codes, ids)
 
     return run
 
 
-def _fill():
+def _dictionary(packs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's words end to end, and where and how long those of each code are."""
+    parts = [(x[:n], x[n : 2 * n], x[2 * n :]) for n, x in ((n, _unpacked(data)) for n, data in packs)]
+    joined = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint32)
+    code, long, flat = joined(0), joined(1).astype(np.int64), joined(2)
+    if len(code) and (np.sort(code) != np.arange(len(code))).any():
+        raise RuntimeError(OTHER_ORDER)
+    size, begin = np.empty_like(long), np.empty_like(long)
+    size[code], begin[code] = long, np.cumsum(long) - long
+    return flat, begin, size
+
+
+def _fill(table: dict[int, bytes] | None):
     """One block: its words' ids by code, gathered at the documents' positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.Table.from_batches(list(batches)).combine_chunks()
-        is_word = pa.compute.is_valid(block.column("code"))
-        found, docs = block.filter(is_word), block.filter(pa.compute.invert(is_word))
-        code = found.column("code").to_numpy()
-        order = np.argsort(code)
-        if len(order) and (code[order] != np.arange(len(order))).any():
-            raise RuntimeError("the documents were read in another order for their words: pass a table as written")
-        parts = found.column("ids").take(pa.array(order)).to_pylist()
-        size = np.array([len(x) // 4 for x in parts], np.int64)
-        flat, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
-        del parts, found
-        counts, start = np.cumsum(docs.column("n").to_numpy().astype(np.int64)), 0
-        while start < docs.num_rows:
-            base = counts[start - 1] if start else 0
-            end = min(docs.num_rows, int(np.searchsorted(counts, base + STEP_TOKENS)) + 1)
-            step = docs.slice(start, end - start)
-            ids, ns = [], []
-            for n, packed in zip(step.column("n").to_pylist(), step.column("codes").to_pylist()):
-                codes = _unpacked(packed, n)
-                if n and codes.max() >= len(size):
-                    raise RuntimeError("the documents were read in another order for their words: pass a table as written")
-                long = size[codes] if n else np.zeros(0, np.int64)
-                at = np.repeat(begin[codes] - (np.cumsum(long) - long), long) + np.arange(long.sum()) if n else np.zeros(0, np.int64)
-                ids.append(flat[at].tobytes())
-                ns.append(len(at))
-            yield pa.record_batch({"id": step.column("id").combine_chunks(), "n_tokens": pa.array(ns, pa.int64()), "ids": pa.array(ids, pa.binary())})
-            start = end
+        block = pa.Table.from_batches(list(batches))
+        is_word = pa.compute.is_valid(block.column("words"))
+        packs, docs = block.filter(is_word), block.filter(pa.compute.invert(is_word)).select(["id", "codes"])
+        del block
+        flat, begin, size = _dictionary(list(zip(packs.column("words").to_pylist(), packs.column("codes").to_pylist())))
+        del packs
+        for step in docs.to_batches(max_chunksize=STEP_ROWS):
+            ids = []
+            for packed in step.column("codes").to_pylist():
+                codes = _unpacked(packed)
+                if len(codes) and codes.max() >= len(size):
+                    raise RuntimeError(OTHER_ORDER)
+                long = size[codes]
+                ids.append(flat[np.repeat(begin[codes] - (np.cumsum(long) - long), long) + np.arange(long.sum())].tobytes())
+            columns = {"id": step.column("id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            yield pa.record_batch(columns | ({} if table is None else {"decoded": _bytes(ids, table)}))
 
     return run
 
 
+def _bytes(ids: list[bytes | None], table: dict[int, bytes]) -> pa.Array:
+    return pa.array([b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids], pa.binary())
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text",
-           usual: str | None = None) -> DataFrame:
-    """``(id, n_tokens, ids)`` per row of ``docs``; ``ids`` holds little-endian unsigned 32-bit integers.
+           usual: str | None = None, decoded: bool = False) -> DataFrame:
+    """``(id, n_tokens, ids[, decoded])`` per row of ``docs``; ``ids`` holds little-endian unsigned 32-bit integers.
 
     Every match of ``pattern`` is merged by ``ranks`` on its own, without special tokens. Null and
     empty texts give no tokens; repeated rows and null ids give a row each; an empty table gives
     none; other columns are not read. ``docs`` is read twice (words, then positions), which must
     give the same rows in the same tasks, as a scan of files does; otherwise the job fails.
-    ``usual`` is the pattern with a quick form, see ``_splitter``.
+    ``usual`` is the pattern with a quick form, see ``_splitter``. ``decoded`` adds the bytes that the
+    ids stand for, looked up in the token table as ``decode`` does.
     """
     usual = usual or pattern
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
     id_type = rows.schema["id"].dataType.simpleString()
     found = rows.select("text", "part").mapInArrow(_block_words(pattern, usual), "block long, code int, word string")
-    merged = found.repartition("word").sortWithinPartitions("word").mapInArrow(_merge_words(ranks, pattern), "block long, code int, ids binary")
-    coded = rows.mapInArrow(_block_codes(pattern, usual), f"block long, id {id_type}, n int, codes binary")
-    parts = merged.select("block", "code", "ids", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("codes")).unionByName(
-        coded.select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("binary").alias("ids"), "id", "n", "codes"))
-    return parts.groupBy("block").applyInArrow(_fill(), f"id {id_type}, n_tokens long, ids binary")
+    merged = found.repartition("word").sortWithinPartitions("word").mapInArrow(_merge_words(ranks, pattern), "block long, words int, codes binary")
+    coded = rows.mapInArrow(_block_codes(pattern, usual), f"block long, id {id_type}, codes binary")
+    parts = merged.withColumn("id", F.lit(None).cast(id_type)).unionByName(coded.withColumn("words", F.lit(None).cast("int")))
+    table = {i: token for token, i in ranks.items()} if decoded else None
+    return parts.groupBy("block").applyInArrow(_fill(table), f"id {id_type}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -200,8 +219,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches):
         table = {i: token for token, i in ranks.items()}
         for batch in batches:
-            out = [b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes(batch.column("ids").to_pylist(), table)], [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")

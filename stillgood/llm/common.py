@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,18 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = batch.column(key).run_end_encode() if hasattr(batch.column(key), "run_end_encode") else None
-        ends = ends if ends is not None else pa.compute.run_end_encode(batch.column(key))
-        start = 0
-        for end, value in zip(ends.run_ends.to_pylist(), ends.values.to_pylist()):
+        marks, start = pc.run_end_encode(batch.column(key)), 0
+        for end, value in zip(marks.run_ends.to_pylist(), marks.values.to_pylist()):
             yield value, batch.slice(start, end - start)
             start = end
 
 
+def matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of equally long, complete lists."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    return flat.reshape(len(column), -1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """``(node, component)``: the smallest node that ``edges`` connect each of their nodes to.
 

@@ -25,5 +25,16 @@ cuts AS (
     FROM hashed JOIN rests USING (key)) WHERE rest > 0 AND middle <= rest GROUP BY key)
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN h <= coalesce(cut, '') THEN 1 ELSE 0 END) AS taken
 FROM sized JOIN rests USING (key) LEFT JOIN cuts USING (key)
+""",
+    "op2_topk_threshold": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
