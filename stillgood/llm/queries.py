@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, topk, toxicity
+from . import bpe, jaccard, mixing, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -37,4 +42,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op7_byte_bpe, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op7_byte_bpe, op9_jaccard_join, op10_toxicity)}
