@@ -1,5 +1,16 @@
 """SQL of the queries that SQL can express."""
 
+
+def _url_rounds(rounds: int = 10, damping: float = 0.85) -> str:
+    """One table of ranks per round of the link propagation."""
+    return ",\n".join(
+        f"""r{i + 1} AS MATERIALIZED (
+  SELECT s.host, trusted + {damping} * coalesce((SELECT sum(trust * along) FROM edges e JOIN r{i} ON r{i}.host = e.src WHERE e.dst = s.host), 0) AS trust,
+    blocked + {damping} * coalesce((SELECT sum(distrust * against) FROM edges e JOIN r{i} ON r{i}.host = e.dst WHERE e.src = s.host), 0) AS distrust
+  FROM seeds s)"""
+        for i in range(rounds)
+    )
+
 ORACLES = {
     "op1_mix_sources": r"""
 WITH sized AS (
@@ -36,5 +47,48 @@ scored AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op8_multi_index_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id
+""",
+    "op5_url_links": rf"""
+WITH parts AS (
+  SELECT page_id, html,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ruled AS (
+  SELECT page_id, host, path, html,
+    (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+    (SELECT arg_max(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS verdict
+  FROM parts),
+hrefs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM ruled),
+targets AS (
+  SELECT src, translate(coalesce(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '://([^/?#]*)', 1), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM hrefs WHERE contains(link, '://') OR starts_with(link, '//')),
+counted AS (SELECT src, dst, count(*) AS n FROM targets WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS along, n / sum(n) OVER (PARTITION BY dst) AS against FROM counted),
+shares AS (
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trusted, avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked
+  FROM ruled WHERE host <> '' GROUP BY host),
+hosts AS (SELECT host FROM shares UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+seeds AS MATERIALIZED (SELECT host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked FROM hosts LEFT JOIN shares USING (host)),
+r0 AS MATERIALIZED (SELECT host, trusted AS trust, blocked AS distrust FROM seeds),
+{_url_rounds()}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN r10 USING (host)
 """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, topk, toxicity
+from . import bpe, dedup, jaccard, mixing, pii, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,23 @@ def op2_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+#: Rules of the host lists: verdict, host (with its subdomains), beginning of the path.
+RULES = (
+    urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"),
+)
+
+
+def op5_url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(_table(spark, sf_dir, "pages"), RULES).drop("trust", "distrust")
+
+
+def op6_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *(F.size(pii.of_kind(F.col("exact"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(F.col("exact")), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
@@ -30,6 +47,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
     return found.withColumnRenamed("id", "doc_id")
@@ -42,4 +63,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op7_byte_bpe, op9_jaccard_join, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}
