@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -223,8 +224,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         signed.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix")), "classes")
     found = components(_links(docs, classes, n, percent))
     of_class = classes.select("digest", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
-    out = (
+    return (
         signed.select("id", "n", "digest").join(of_class, "digest", "left")
         .select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     )
-    return out
+
+
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns as they are: of each component the document of the smallest id.
+
+    Of rows that share an id the one of the smallest text stays, nulls first; rows without an id
+    link with nothing and stay. Only the ids that go, and those that repeat, meet the texts.
+    """
+    found = written(jaccard_components(docs, doc_id, text, n, percent), "components").where("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    found = written(found, "components")
+    gone = broadcast_if_small(written(found.where("id <> component_id").select(F.col("id").alias(doc_id)), "gone"), SMALL_IDS)
+    several = broadcast_if_small(written(found.where("id = component_id AND rows > 1").select(F.col("id").alias(doc_id)), "several"), SMALL_IDS)
+    left = docs.join(gone, doc_id, "left_anti")
+    first = F.row_number().over(W.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
+    row = left.join(several, doc_id, "left_semi").select(F.struct("*").alias("row"), first.alias("first")).where("first = 1").select("row.*")
+    return left.join(several, doc_id, "left_anti").select(docs.columns).unionByName(row.select(docs.columns))

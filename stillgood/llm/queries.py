@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, mixing, pii, topk, toxicity, urls
+from . import bpe, brown, dedup, jaccard, mixing, pii, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 5 == 1
+    model, counts = brown.fit(docs, ~held_out("doc_id"))
+    found = brown.score(docs, model, counts)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Rules of the host lists: verdict, host (with its subdomains), beginning of the path.
 RULES = (
     urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
@@ -63,4 +71,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op4_class_bigrams, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}

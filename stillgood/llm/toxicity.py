@@ -247,3 +247,17 @@ def score(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {id_type}, score double, spans array<struct<start: int, end: int, probability: double>>")
+
+
+def without_toxic(docs: DataFrame, model: Field, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for value in batch.column(text):
+                n, hits = model.hits(value.as_py() or "")
+                keep.append(model.score(model.marginals(n, hits)) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
