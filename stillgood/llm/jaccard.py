@@ -25,7 +25,7 @@ from .common import broadcast_if_small, components, words
 
 #: Shingles that get a frequency rank, and how often a task must see one to name it. Ranks only
 #: order prefixes; any order gives the same links.
-RANKED, SEEN_OFTEN, FLUSH_SHINGLES = 262_144, 4, 6_000_000
+RANKED, SEEN_OFTEN, FLUSH_SHINGLES = 524_288, 2, 6_000_000
 #: Groups of a list that are compared pair by pair; sets of a tile; columns of one matrix product.
 FEW, TILE, COLUMNS = 16, 512, 2_048
 SMALL_IDS = 500_000
