@@ -31,18 +31,19 @@ def api_rate(
     """Adds ``rate``: upstream calls strictly before a request and under ``seconds`` old.
 
     ``is_call`` marks rows that made an upstream call; a request never counts
-    itself.  When one bin is too crowded for a task, rows are first folded per
+    itself; a request without a time keeps its row, at rate 0.  When one bin is too crowded for a task, rows are first folded per
     microsecond and counted in slices that no amount of rows can overfill.
     """
     width = seconds * MICROS
-    log = requests.withColumn("_t", F.col(at_us)).withColumn("_calls", is_call.cast("long"))
+    untimed = requests.filter(F.col(at_us).isNull()).withColumn("rate", F.lit(0).cast("long"))
+    log = requests.filter(F.col(at_us).isNotNull()).withColumn("_t", F.col(at_us)).withColumn("_calls", is_call.cast("long"))
     if largest_group(log, bin_of(F.col("_t"), width)) <= max_group_rows:
         counted = _binned(log, "_t", width).withColumn(
             "rate", F.coalesce(F.sum("_calls").over(_trailing(width)), F.lit(0))
         )
-        return counted.filter("_bin = _own").drop("_t", "_calls", "_own", "_bin")
+        return counted.filter("_bin = _own").drop("_t", "_calls", "_own", "_bin").unionByName(untimed)
     rates = _folded_rates(log.groupBy("_t").agg(F.sum("_calls").alias("n")), width, max_group_rows)
-    return log.join(rates, "_t").drop("_t", "_calls")
+    return log.join(rates, "_t").drop("_t", "_calls").unionByName(untimed)
 
 
 def _folded_rates(instants: DataFrame, width: int, bound: int) -> DataFrame:

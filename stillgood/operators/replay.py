@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -42,24 +42,28 @@ def replay_sorted(at: np.ndarray, ttl: np.ndarray, expiry: int | None):
     return hit, expires, expiry
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Key-sorted batches of one partition; state is one expiry, whatever the key's size."""
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key-sorted batches of one partition; state is one expiry, whatever the key's size.
+
+    Only key, time and lifetime are looked at: the log's own columns stay as Arrow has them.
+    """
     open_key, expiry = None, None
-    for pdf in batches:
-        if pdf.empty:
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        keys = pdf["_key"].to_numpy()
-        at, ttl = pdf["_at"].to_numpy(np.int64), pdf["_ttl"].to_numpy(np.int64)
-        hit, expires = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
-        starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(pdf)]])
+        keys = batch.column("_key").to_numpy(zero_copy_only=False)
+        at, ttl = (batch.column(c).to_numpy().astype(np.int64) for c in ("_at", "_ttl"))
+        hit, expires = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=np.int64)
+        starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(at)]])
         for start, end in zip(starts[:-1], starts[1:]):
             if keys[start] != open_key:
                 open_key, expiry = keys[start], None
             hit[start:end], expires[start:end], expiry = replay_sorted(
                 at[start:end], ttl[start:end], expiry
             )
-        yield pdf.drop(columns=["_key", "_at", "_ttl"]).assign(
-            hit=hit, expires_us=pd.Series(expires, index=pdf.index, dtype="int64")
+        kept = [c for c in batch.schema.names if c not in ("_key", "_at", "_ttl")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(hit), pa.array(expires)], [*kept, "hit", "expires_us"]
         )
 
 
@@ -68,7 +72,7 @@ def _replay_whole(log: DataFrame) -> DataFrame:
         [f for f in log.schema.fields if f.name not in ("_key", "_at", "_ttl", "_id")]
         + [StructField("hit", BooleanType()), StructField("expires_us", LongType())]
     )
-    return log.repartition("_key").sortWithinPartitions("_key", "_at", "_id").drop("_id").mapInPandas(
+    return log.repartition("_key").sortWithinPartitions("_key", "_at", "_id").drop("_id").mapInArrow(
         _walk, out
     )
 

@@ -74,14 +74,16 @@ def ttl_replay_batches(
         last = state.before(batch_id)
         carried = last.join(batch.select("key").distinct(), "key", "left_semi").select(
             F.lit(None).cast("long").alias("row_id"), "key", "at_us",
-            (F.col("expires_us") - F.col("at_us")).alias("ttl_us"),
+            (F.col("expires_us") - F.col("at_us")).alias("ttl_us"), F.lit(True).alias("_carried"),
+        )
+        rows = batch.select(
+            "row_id", "key", F.col("at_us").cast("long"), F.col("ttl_us").cast("long"), F.lit(False).alias("_carried")
         )
-        rows = batch.select("row_id", "key", F.col("at_us").cast("long"), F.col("ttl_us").cast("long"))
         both = rows.unionByName(carried).withColumn("_order", F.coalesce("row_id", F.lit(-1)))
         replayed = written(
             ttl_replay(both, "key", "at_us", F.col("ttl_us"), "_order", max_group_rows), "replayed"
         )
-        replayed.filter(F.col("row_id").isNotNull()).drop("_order", "ttl_us").write.mode("overwrite").parquet(
+        replayed.filter("NOT _carried").drop("_order", "ttl_us", "_carried").write.mode("overwrite").parquet(
             f"{path}/rows/batch={batch_id}"
         )
         stores = replayed.filter("NOT hit").groupBy("key").agg(

@@ -76,3 +76,12 @@ def test_versioned_table(spark, tmp_path):
     (tmp_path / "t" / "v3").mkdir()  # an unfinished write is not a version
     assert table.versions() == [0, 2]
     assert (table.read().count(), table.before(2).count(), table.before(0).count()) == (5, 3, 0)
+
+
+def test_replay_keeps_other_columns_as_they_are(spark):
+    big = 9007199254740993  # not a double
+    rows = [(i, "a", i * 10, 25, big if i % 2 else None) for i in range(6)]
+    log = spark.createDataFrame(rows, "row_id long, key string, at_us long, ttl_us long, payload long")
+    got = {r.row_id: (r.payload, r.hit) for r in ttl_replay(log, "key", "at_us", F.col("ttl_us"), "row_id").collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: big if i % 2 else None for i in range(6)}
+    assert [got[i][1] for i in range(6)] == [False, True, True, False, True, True]
