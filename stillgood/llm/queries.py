@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, dedup, jaccard, mixing, pii, topk, toxicity, urls
+from . import bpe, brown, dedup, jaccard, mixing, passages, pii, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "component_id", F.concat_ws(",", spans).alias("spans"))
+
+
 def op4_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 5 == 1
@@ -71,4 +77,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op4_class_bigrams, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op3_compact_windows, op4_class_bigrams, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}

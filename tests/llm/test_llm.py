@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stillgood.llm import bpe, brown, common, dedup, jaccard, mixing, pii, topk, toxicity, urls
+from stillgood.llm import bpe, brown, common, dedup, jaccard, mixing, passages, pii, topk, toxicity, urls
 
 def words(text):
     return (text or "").encode().lower().split()
@@ -292,3 +292,69 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("a@b.de" not in (r["text"] or "") for r in kept["personal_data"]) and any("[EMAIL]" in (r["text"] or "") for r in kept["personal_data"])
     _, plain = tokenizer()
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in kept["encode"]) == Counter((r["doc_id"], np.array(plain.encode_ordinary(r["text"] or ""), "<u4").tobytes()) for r in kept["mix"])
+
+
+def plain_passages(rows, passage, n, percent):
+    """Word-for-word ranges and links by comparing every passage with every other one."""
+    width, texts = passage - n + 1, [(i, words(t)) for i, t in rows if i is not None]
+    where, sets = {}, []
+    for k, (i, w) in enumerate(texts):
+        for x in range(len(w) - passage + 1):
+            where.setdefault(tuple(w[x : x + passage]), []).append((k, x))
+            sets.append((i, {tuple(w[y : y + n]) for y in range(x, x + width)}))
+    marked, edges = {i: set() for i, _ in texts}, set()
+    for places in where.values():
+        if len(places) > 1:
+            for k, x in places:
+                marked[texts[k][0]].update(range(x, x + passage))
+                edges.add((texts[k][0], texts[places[0][0]][0]))
+    for a, (i, x) in enumerate(sets):
+        edges.update((i, j) for j, y in sets[:a] if i != j and (i, j) not in edges and 100 * len(x & y) >= percent * len(x | y))
+    return marked, roots({i for i, _ in texts}, edges)
+
+
+def test_passages_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 3000, k))
+    shared, line, rows = draw(30), draw(8), []
+    for i in range(60):
+        kind = i % 6
+        if kind == 0:
+            text = f"{draw(15)} {shared} {draw(10)}"
+        elif kind == 1:
+            text = f"{draw(20)} {line} {draw(20)}"
+        elif kind == 2 and i > 6:
+            near = rows[i - 5][1].split()
+            near[int(rng.integers(0, len(near)))] = "other"
+            text = " ".join(near)
+        elif kind == 3:
+            text = draw(40)
+        elif kind == 4:
+            text = rows[i - 1][1].upper() if i % 12 == 4 else draw(int(rng.integers(0, 26)))
+        else:
+            text = " ".join([draw(3)] * 14)
+        rows.append((i, text))
+    rows += [(70, None), (71, ""), (None, shared), (3, rows[9][1]), (0, rows[0][1])]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), passage=25, n=3, percent=80, bands=12).collect()
+    assert len(got) == len(rows)
+    marked, root = plain_passages(rows, 25, 3, 80)
+    for r in got:
+        assert r.component_id == (None if r.id is None else root[r.id])
+        assert {x for s in r.spans for x in range(s.start, s.stop)} == (marked[r.id] if r.id is not None else set())
+        assert all(x.stop < y.start for x, y in zip(r.spans, r.spans[1:]))
+
+
+def test_passages_long_lists_meet_in_tiles(spark, monkeypatch):
+    """One list of near passages, none equal, over many tiles."""
+    monkeypatch.setattr(passages, "TILE", 4)
+    base = [f"b{i}" for i in range(26)]
+    rows = [(i, " ".join(base[:25] + [f"x{i}"])) for i in range(20)] + [(30 + i, " ".join([f"y{i}"] + base[1:25])) for i in range(20)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), passage=25, n=3, percent=80, bands=12).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_passages_odd_and_empty_tables(spark, odd_docs, no_docs):
+    got = passages.repeated_passages(odd_docs).collect()
+    assert len(got) == odd_docs.count() and passages.repeated_passages(no_docs).count() == 0
+    by_id = {r.id: r for r in got}
+    assert by_id[7].component_id == 6 and by_id[6].spans and by_id[1].component_id == 1 and by_id[None].component_id is None
