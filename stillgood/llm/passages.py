@@ -26,23 +26,29 @@ from .jaccard import _Hashes, _mixed
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
 PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 3
-#: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that may be broadcast.
-TILE, COLUMNS, SMALL_IDS = 256, 2_048, 20_000
+#: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
+#: may be broadcast; words of short texts that are laid end to end.
+TILE, COLUMNS, SMALL_IDS, TOGETHER = 256, 2_048, 20_000, 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def sequence(text: str | None, n: int, hashes: _Hashes) -> np.ndarray:
-    """64-bit hashes of the ``n``-word shingles in the order of the text; none below ``n`` words."""
-    h = np.array([hashes[w] for w in words(text)], np.uint64)
+def shingle_hashes(found: list[bytes], n: int, hashes: _Hashes) -> np.ndarray:
+    """64-bit hashes of the ``n``-word shingles in the order of the words; none below ``n`` words."""
+    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     if len(h) < n:
         return np.zeros(0, np.uint64)
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        total = total * _STEP + h[i : len(h) - n + 1 + i]
+        total *= _STEP
+        total += h[i : len(h) - n + 1 + i]
     return _mixed(total)
 
 
+def sequence(text: str | None, n: int, hashes: _Hashes) -> np.ndarray:
+    return shingle_hashes(words(text), n, hashes)
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of every window of ``width``; a run of one value is a compact window's interval of starts."""
     low, size = values, 1
@@ -52,47 +58,65 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def passage_digests(s: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def prefix_sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial of the shingles, and the factor that takes out where it starts."""
+    return np.r_[np.zeros(1, np.uint64), np.cumsum(s * np.cumprod(np.full(len(s), _STEP)))], np.cumprod(np.full(len(s) + 1, _UNSTEP))
+
+
+def passage_digests(sums: np.ndarray, back: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of the shingles from ``start`` to ``stop``, wherever in a text they are."""
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(s * np.cumprod(np.full(len(s), _STEP)))]
-    return _mixed((sums[stop] - sums[start]) * np.cumprod(np.full(len(s) + 1, _UNSTEP))[start] + (stop - start).astype(np.uint64))
+    return _mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
-def intervals(s: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, ...]:
-    """``(key, digest, start, n)``: ``n`` passages from ``start`` on share the signature ``key``; ``digest`` stands for their shingles.
+def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: int) -> tuple[np.ndarray, ...]:
+    """``(key, digest, text, start, n)``: in a text ``n`` passages from ``start`` on share the signature ``key``.
 
-    Keys of the first band are odd. A text that holds a passage twice is split into single passages.
+    ``s`` are the shingles of texts of ``lengths`` words laid end to end; passages across texts are
+    left out. ``digest`` stands for the shingles of the interval. Keys of the first band are odd. A
+    text that holds a passage twice is split into single passages.
     """
+    width, first = passage - n + 1, np.cumsum(lengths) - lengths
+    counts = np.maximum(lengths - passage + 1, 0)
+    text = np.repeat(np.arange(len(lengths)), counts)
+    begin = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = first[text] + begin
+    sums, back = prefix_sums(s)
+    single = passage_digests(sums, back, at, at + width) ^ _mixed(text.astype(np.uint64))
+    _, place, times = np.unique(single, return_index=True, return_counts=True)
+    split = np.zeros(len(lengths), bool)
+    split[text[place[times > 1]]] = True
+    split = split[text] | (begin == 0)
     parts = []
-    every = np.arange(len(s) - width + 1)
-    repeats = len(np.unique(passage_digests(s, every, every + width))) < len(every)
     for band in range(bands):
-        one, two = (window_minima(_mixed(s ^ _mixed(np.full(1, 2 * band + i + 1, np.uint64))), width) for i in (0, 1))
-        new = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        start = every if repeats else np.r_[0, np.flatnonzero(new) + 1]
-        stop = np.r_[start[1:], len(one)]
+        one, two = (window_minima(_mixed(s ^ _mixed(np.full(1, 2 * band + i + 1, np.uint64))), width)[at] for i in (0, 1))
+        new = split.copy()
+        new[1:] |= (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        start = np.flatnonzero(new)
+        count = np.diff(np.r_[start, len(at)])
         key = _mixed(one[start] * _STEP + two[start] + np.uint64(band)) & ~np.uint64(1) | np.uint64(band == 0)
-        digest = passage_digests(s, start, stop + width - 1)
-        parts.append((key.view(np.int64), digest.view(np.int64), start.astype(np.int32), (stop - start).astype(np.int32)))
+        digest = passage_digests(sums, back, at[start], at[start] + count + width - 1)
+        parts.append((key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def _windows(width: int, n: int, bands: int):
+def _windows(passage: int, n: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+
+        def out(ids, found, lengths):
+            key, digest, text, start, count = intervals(shingle_hashes(found, n, hashes), np.array(lengths), passage, n, bands)
+            return pa.record_batch({"key": pa.array(key), "digest": pa.array(digest), "id": ids.take(pa.array(text)), "start": pa.array(start), "n": pa.array(count)})
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows, parts = [], []
-                for row, text in enumerate(part.column("text")):
-                    s = sequence(text.as_py(), n, hashes)
-                    if len(s) >= width:
-                        parts.append(intervals(s, width, bands))
-                        rows.append(np.full(len(parts[-1][0]), row))
-                if parts:
-                    key, digest, start, count = (pa.array(np.concatenate(p)) for p in zip(*parts))
-                    ids = part.column("id").take(pa.array(np.concatenate(rows)))
-                    yield pa.record_batch({"key": key, "digest": digest, "id": ids, "start": start, "n": count})
+            found, lengths, low = [], [], 0
+            for row, text in enumerate(batch.column("text"), 1):
+                some = words(text.as_py())
+                found += some
+                lengths.append(len(some))
+                if len(found) > TOGETHER or row == batch.num_rows:
+                    if max(lengths) >= passage:
+                        yield out(batch.column("id").slice(low, row - low), found, lengths)
+                    found, lengths, low = [], [], row
 
     return run
 
@@ -127,7 +151,7 @@ def _passages(width: int, n: int):
                 start = np.unique(np.concatenate(wanted))
                 start = start[start + width <= len(s)]
                 ids = batch.column("id").take(pa.array(np.full(len(start), row)))
-                yield pa.record_batch({"digest": pa.array(passage_digests(s, start, start + width).view(np.int64)), "id": ids, "start": pa.array(start.astype(np.int32))})
+                yield pa.record_batch({"digest": pa.array(passage_digests(*prefix_sums(s), start, start + width).view(np.int64)), "id": ids, "start": pa.array(start.astype(np.int32))})
 
     return run
 
@@ -208,7 +232,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def with_wanted(wanted: DataFrame) -> DataFrame:
         return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
 
-    windows = known.mapInArrow(_windows(width, n, bands), f"key long, digest long, id {kind}, start int, n int")
+    windows = known.mapInArrow(_windows(passage, n, bands), f"key long, digest long, id {kind}, start int, n int")
     keys = written(windows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     met = written(windows.join(keys, "key"), "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), F.min(F.struct("id", "start", "n")).alias("first")), "classes")
