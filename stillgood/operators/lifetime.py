@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.scores import confidence_gate, label_display, label_seconds, prob_map
+from ..functions.scores import confidence_gate, fail_safe_label, label_display, label_seconds, prob_map
 from .metrics import classification_report
 from .ranking import class_counts, dedup_keep_first, stratified_folds, stratified_split
 
@@ -50,6 +50,15 @@ def _vectors(df: DataFrame, embedding: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(embedding)))
 
 
+def _whole(embedding: str):
+    return F.coalesce(F.col(embedding).isNotNull() & ~F.exists(F.col(embedding), lambda x: x.isNull()), F.lit(False))
+
+
+def _labelled(df: DataFrame, label: str, embedding: str) -> DataFrame:
+    """Rows a model can learn from: a label and a complete vector."""
+    return df.filter(F.col(label).isNotNull() & _whole(embedding))
+
+
 def _by_class(values: dict, column: str):
     """A per-class constant as a column; there are only as many as classes."""
     pairs = [F.lit(x) for item in values.items() for x in item]
@@ -90,7 +99,7 @@ def train_lifetime(
     test_size: float = 0.2,
 ) -> tuple[LifetimeModel, DataFrame]:
     """(model, hold-out report)."""
-    clean = prepare_training(df, question, row_id)
+    clean = prepare_training(_labelled(df, label, embedding), question, row_id)
     split = _vectors(stratified_split(clean, label, row_id, test_size), embedding).cache()
     classes = sorted(class_counts(split, label))
     model = LifetimeModel(_fit(split.filter("NOT is_test"), label, classes), classes)
@@ -108,23 +117,27 @@ def predict_lifetime(
     """Adds ``label, confidence, stage, ttl, ttl_display, all_probs``.
 
     With ``gate`` an unconvincing top class gives the fallback label while the
-    true probabilities stay visible.
+    true probabilities stay visible.  A vector that is NULL or holds a NULL gets
+    the fail-safe label with confidence 0 and no probabilities.
     """
-    scored = model.pipeline.transform(_vectors(df, embedding)).withColumn(
-        "_p", vector_to_array(F.col("probability"))
-    )
+    size = model.pipeline.stages[-1].numFeatures
+    whole = _whole(embedding)
+    filled = df.withColumn("_v", F.when(whole, F.col(embedding)).otherwise(F.array_repeat(F.lit(0.0), size)))
+    scored = model.pipeline.transform(_vectors(filled, "_v")).withColumn(
+        "_p", F.when(whole, vector_to_array(F.col("probability")))
+    ).drop("_v")
     threshold = model.confidence_threshold if gate else 0.0
     decided = scored.withColumn(
-        "_d", confidence_gate(F.col("_p"), model.classes, threshold, model.fallback_label)
-    )
+        "_d", F.when(whole, confidence_gate(F.col("_p"), model.classes, threshold, model.fallback_label))
+    ).withColumn("_d", F.struct(fail_safe_label(F.col("_d.label"), F.col("_d.confidence")).alias("safe"), F.col("_d.stage").alias("stage")))
     d = F.col("_d")
     return decided.withColumns(
         {
-            "label": d["label"],
-            "confidence": d["confidence"],
+            "label": d["safe"]["label"],
+            "confidence": d["safe"]["confidence"],
             "stage": d["stage"],
-            "ttl": label_seconds(d["label"], lifetimes),
-            "ttl_display": label_display(d["label"]),
+            "ttl": label_seconds(d["safe"]["label"], lifetimes),
+            "ttl_display": label_display(d["safe"]["label"]),
             "all_probs": prob_map(model.classes, F.col("_p")),
         }
     ).drop("_p", "_d", "features", "rawPrediction", "probability", "prediction")
@@ -154,7 +167,7 @@ def cross_validate(
     folds: int = 5,
 ) -> DataFrame:
     """One row per fold: (fold, rows, accuracy); one Spark fit each."""
-    clean = prepare_training(df, question, row_id)
+    clean = prepare_training(_labelled(df, label, embedding), question, row_id)
     data = _vectors(stratified_folds(clean, label, row_id, folds), embedding).cache()
     classes = sorted(class_counts(data, label))
     scored = None

@@ -90,11 +90,13 @@ def _open(keyed: DataFrame, targets: list, depth: int) -> DataFrame:
     rows = keyed.withColumn("p", F.substring("s", 1, depth))
     if depth == 0:
         wanted = sorted({g for g, *_ in targets}, key=str)
-        return rows.filter(F.col("g").isin(wanted))
+        named = F.col("g").isin([g for g in wanted if g is not None])
+        return rows.filter(named | F.col("g").isNull() if None in wanted else named)
     spark = keyed.sparkSession
     schema = f"g {keyed.schema['g'].dataType.simpleString()}, p string"
     prefixes = spark.createDataFrame(sorted({(g, p) for g, _, p, _ in targets}, key=str), schema)
-    return rows.join(F.broadcast(prefixes), ["g", "p"], "left_semi")
+    here = rows["g"].eqNullSafe(prefixes["g"]) & (rows["p"] == prefixes["p"])
+    return rows.join(F.broadcast(prefixes), here, "left_semi")
 
 
 def _histogram(keyed: DataFrame, targets: list, depth: int, end: int) -> dict:
@@ -161,13 +163,15 @@ def class_counts(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
-def _cut_table(df: DataFrame, label: str, sort_key: Column, ranks: dict, total: int) -> DataFrame:
+def _with_cuts(df: DataFrame, label: str, sort_key: Column, ranks: dict, total: int) -> DataFrame:
+    """``df`` with the ascending cuts of its class; rows without a label are a class of their own."""
     per_label: dict = {}
     for cut in rank_cuts(df, F.col(label), sort_key, ranks, total):
         per_label.setdefault(cut.group, []).append(cut.key)
     kind = df.schema[label].dataType.simpleString()
     rows = [(g, sorted(keys)) for g, keys in per_label.items()]
-    return df.sparkSession.createDataFrame(rows, f"{label} {kind}, cuts array<string>")
+    cuts = df.sparkSession.createDataFrame(rows, f"_class {kind}, cuts array<string>")
+    return df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 def stratified_split(
@@ -178,9 +182,8 @@ def stratified_split(
     counts = class_counts(df, label)
     held_out = {g: int(n * test_size + 0.5) for g, n in counts.items()}
     ranks = {g: [n] for g, n in held_out.items() if n >= 1}
-    cuts = _cut_table(df, label, key, ranks, sum(counts.values()))
     return (
-        df.join(F.broadcast(cuts), label, "left")
+        _with_cuts(df, label, key, ranks, sum(counts.values()))
         .withColumn("is_test", F.coalesce(key <= F.col("cuts")[0], F.lit(False)))
         .drop("cuts")
     )
@@ -195,10 +198,9 @@ def stratified_folds(
     ranks = {
         g: sorted({-(-n * f // folds) for f in range(1, folds)} - {0, n}) for g, n in counts.items()
     }
-    cuts = _cut_table(df, label, key, {g: r for g, r in ranks.items() if r}, sum(counts.values()))
     below = F.size(F.filter("cuts", lambda c: c < key))
     return (
-        df.join(F.broadcast(cuts), label, "left")
+        _with_cuts(df, label, key, {g: r for g, r in ranks.items() if r}, sum(counts.values()))
         .withColumn("fold", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(below))
         .drop("cuts")
     )

@@ -44,6 +44,15 @@ def test_stratified(spark):
         assert sum(counts) == total and max(counts) - min(counts) <= 1
 
 
+@pytest.mark.parametrize("rows", [200, 30_000])
+def test_stratified_with_missing_labels(spark, rows):
+    df = spark.range(rows).withColumn("label", F.when(F.col("id") % 4 > 0, "some"))
+    split = ranking.stratified_split(df, "label", "id")
+    assert {(r.label, r["count"]) for r in split.filter("is_test").groupBy("label").count().collect()} == {(None, rows // 20), ("some", 3 * rows // 20)}
+    folds = ranking.stratified_folds(df, "label", "id").groupBy("label", "fold").count().collect()
+    assert {(r.label, r["count"]) for r in folds} == {(None, rows // 20), ("some", 3 * rows // 20)} and len(folds) == 10
+
+
 def test_best_candidate_breaks_ties_by_rank(spark):
     df = spark.createDataFrame([(1, 1, "x", 0.5), (1, 2, "y", 0.9), (1, 3, "z", 0.9)], "req_id long, rank int, k string, rerank_score double")
     assert [(r.k, r["rank"]) for r in ranking.best_candidate(df).collect()] == [("y", 2)]

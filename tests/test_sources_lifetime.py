@@ -79,6 +79,19 @@ def test_lifetime_model(spark, labelled, tmp_path):
     assert {r.label: r.support for r in lifetime.evaluate_lifetime(model, dirty).collect()}["accuracy"] == 180
 
 
+def test_lifetime_without_label_or_vector(spark, labelled):
+    odd = labelled.limit(1).withColumn("Question", F.lit("odd"))
+    unlabelled = odd.withColumn("Temporal_Category", F.lit(None).cast("string"))
+    gaps = [F.lit(None).cast("array<double>"), F.array(*[F.lit(None).cast("double")] * 2)]
+    blind = [odd.withColumn("embedding", gap) for gap in gaps]
+    dirty = labelled.unionByName(unlabelled).unionByName(blind[0]).unionByName(blind[1])
+    model, report = lifetime.train_lifetime(dirty)
+    assert {r.label: r.support for r in report.collect()}["accuracy"] == 18
+    for frame in blind:
+        row = lifetime.predict_lifetime(model, frame).first()
+        assert (row.label, row.confidence, row.all_probs) == ("Volatile", 0.0, None)
+
+
 def test_balanced_weights_reach_the_optimum(spark, labelled):
     """The penalty mapping: gradient of the weighted, regularised loss vanishes at the fit."""
     import numpy as np
