@@ -14,6 +14,7 @@ tile by tile, and only links that connect leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import broadcast_if_small, components, words
-from .jaccard import _Hashes, _mixed
+from .common import SPACES, broadcast_if_small, components
+from .jaccard import _mixed
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
 PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 3
 #: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
-#: may be broadcast; words of short texts that are laid end to end.
-TILE, COLUMNS, SMALL_IDS, TOGETHER = 256, 2_048, 20_000, 100_000
+#: may be broadcast; bytes of short texts that are laid end to end.
+TILE, COLUMNS, SMALL_IDS, TOGETHER = 256, 2_048, 20_000, 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def shingle_hashes(found: list[bytes], n: int, hashes: _Hashes) -> np.ndarray:
+#: Which bytes separate words, and a number for every byte.
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+@lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(size, _STEP)), np.cumprod(np.full(size, _UNSTEP))
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial of ``values``, and the factors that take out where a part starts."""
+    power, back = _powers(1 << max(18, len(values).bit_length()))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return sums, back
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and the number of words of each text."""
+    raw = np.frombuffer(b"".join(t + b" " for t in texts).lower(), np.uint8)
+    space = np.r_[True, _SPACE[raw]]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, stop = edge[::2], edge[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    sums, back = prefix_sums(_BYTE[raw])
+    return _mixed((sums[stop] - sums[start]) * back[start]), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the ``n``-word shingles in the order of the words; none below ``n`` words."""
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     if len(h) < n:
         return np.zeros(0, np.uint64)
     total = np.full(len(h) - n + 1, n, np.uint64)
@@ -45,8 +74,12 @@ def shingle_hashes(found: list[bytes], n: int, hashes: _Hashes) -> np.ndarray:
     return _mixed(total)
 
 
-def sequence(text: str | None, n: int, hashes: _Hashes) -> np.ndarray:
-    return shingle_hashes(words(text), n, hashes)
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def sequence(text: str | None, n: int) -> np.ndarray:
+    return shingle_hashes(word_hashes([encoded(text)])[0], n)
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,18 +91,13 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def prefix_sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial of the shingles, and the factor that takes out where it starts."""
-    return np.r_[np.zeros(1, np.uint64), np.cumsum(s * np.cumprod(np.full(len(s), _STEP)))], np.cumprod(np.full(len(s) + 1, _UNSTEP))
-
-
 def passage_digests(sums: np.ndarray, back: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of the shingles from ``start`` to ``stop``, wherever in a text they are."""
     return _mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
-def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: int) -> tuple[np.ndarray, ...]:
-    """``(key, digest, text, start, n)``: in a text ``n`` passages from ``start`` on share the signature ``key``.
+def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per band ``(key, digest, text, start, n)``: in a text ``n`` passages from ``start`` on share the signature ``key``.
 
     ``s`` are the shingles of texts of ``lengths`` words laid end to end; passages across texts are
     left out. ``digest`` stands for the shingles of the interval. Keys of the first band are odd. A
@@ -82,41 +110,45 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
     at = first[text] + begin
     sums, back = prefix_sums(s)
     single = passage_digests(sums, back, at, at + width) ^ _mixed(text.astype(np.uint64))
-    _, place, times = np.unique(single, return_index=True, return_counts=True)
-    split = np.zeros(len(lengths), bool)
-    split[text[place[times > 1]]] = True
-    split = split[text] | (begin == 0)
-    parts = []
+    new = begin == 0
+    ordered = np.sort(single)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        split = np.zeros(len(lengths), bool)
+        split[text[twice[np.searchsorted(twice, single).clip(max=len(twice) - 1)] == single]] = True
+        new |= split[text]
+    seeds = _mixed(np.arange(1, 4 * bands + 1, dtype=np.uint64)).reshape(bands, 2, 2)
     for band in range(bands):
-        one, two = (window_minima(_mixed(s ^ _mixed(np.full(1, 2 * band + i + 1, np.uint64))), width)[at] for i in (0, 1))
-        new = split.copy()
-        new[1:] |= (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        start = np.flatnonzero(new)
+        # the upper halves of two permutations of the shingles
+        one, two = (window_minima((((s ^ low) * (odd | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), width)[at] for low, odd in seeds[band])
+        fresh = new.copy()
+        fresh[1:] |= (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        start = np.flatnonzero(fresh)
         count = np.diff(np.r_[start, len(at)])
-        key = _mixed(one[start] * _STEP + two[start] + np.uint64(band)) & ~np.uint64(1) | np.uint64(band == 0)
+        both = one[start].astype(np.uint64) << np.uint64(32) | two[start]
+        key = _mixed(both ^ seeds[band, 0, 0]) & ~np.uint64(1) | np.uint64(band == 0)
         digest = passage_digests(sums, back, at[start], at[start] + count + width - 1)
-        parts.append((key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)))
-    return tuple(np.concatenate(p) for p in zip(*parts))
+        yield key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)
 
 
-def _windows(passage: int, n: int, bands: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-
-        def out(ids, found, lengths):
-            key, digest, text, start, count = intervals(shingle_hashes(found, n, hashes), np.array(lengths), passage, n, bands)
-            return pa.record_batch({"key": pa.array(key), "digest": pa.array(digest), "id": ids.take(pa.array(text)), "start": pa.array(start), "n": pa.array(count)})
+def _windows(passage: int, n: int, bands: int, whole: bool = True):
+    """Intervals of all texts; not ``whole``: their keys only."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, lengths, low = [], [], 0
+            texts, size, low = [], 0, 0
             for row, text in enumerate(batch.column("text"), 1):
-                some = words(text.as_py())
-                found += some
-                lengths.append(len(some))
-                if len(found) > TOGETHER or row == batch.num_rows:
-                    if max(lengths) >= passage:
-                        yield out(batch.column("id").slice(low, row - low), found, lengths)
-                    found, lengths, low = [], [], row
+                texts.append(encoded(text.as_py()))
+                size += len(texts[-1])
+                if size > TOGETHER or row == batch.num_rows:
+                    h, lengths = word_hashes(texts)
+                    ids = batch.column("id").slice(low, row - low)
+                    texts, size, low = [], 0, row
+                    if lengths.max() < passage:
+                        continue
+                    for key, digest, place, start, count in intervals(shingle_hashes(h, n), lengths, passage, n, bands):
+                        rest = {"digest": pa.array(digest), "id": ids.take(pa.array(place)), "start": pa.array(start), "n": pa.array(count)} if whole else {}
+                        yield pa.record_batch({"key": pa.array(key), **rest})
 
     return run
 
@@ -125,11 +157,10 @@ def _contexts(width: int, n: int):
     """Shingles of the wanted intervals of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.slice(row, 1)
-                s = sequence(part.column("text")[0].as_py(), n, hashes).view(np.int64)
+                s = sequence(part.column("text")[0].as_py(), n).view(np.int64)
                 wanted = [w for w in part.column("wanted")[0].as_py() if w["start"] + w["n"] + width - 1 <= len(s)]
                 lists = [s[w["start"] : w["start"] + w["n"] + width - 1] for w in wanted]
                 yield pa.record_batch({
@@ -143,10 +174,9 @@ def _passages(width: int, n: int):
     """Digest of every passage of the wanted intervals of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             for row in range(batch.num_rows):
-                s = sequence(batch.column("text")[row].as_py(), n, hashes)
+                s = sequence(batch.column("text")[row].as_py(), n)
                 wanted = [np.arange(w["start"], w["start"] + w["n"]) for w in batch.column("wanted")[row].as_py()]
                 start = np.unique(np.concatenate(wanted))
                 start = start[start + width <= len(s)]
@@ -156,11 +186,27 @@ def _passages(width: int, n: int):
     return run
 
 
+def distinct_counts(s: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingles of every window of ``width``: those that do not come again within it."""
+    by = np.argsort(s, kind="stable")
+    same = s[by[1:]] == s[by[:-1]]
+    gap = np.full(len(s), len(s) + width)
+    gap[by[:-1][same]] = (by[1:] - by[:-1])[same]
+    starts = np.arange(len(s) - width + 1)
+    inside = starts[:, None] + np.arange(width)
+    return ((gap[inside] + inside) >= (starts + width)[:, None]).sum(1)
+
+
 def alike(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> bool:
     """Whether any passage of ``a`` and any of ``b`` reach a Jaccard of ``percent`` / 100."""
     if len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b):
-        left, right = ([set(x[i : i + width].tolist()) for i in range(len(x) - width + 1)] for x in (a, b))
-        return any(100 * len(x & y) >= percent * len(x | y) for x in left for y in right)
+        values, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        sets = np.zeros((len(a) + len(b) - 2 * width + 2, len(values)), np.float32)
+        for row, start in enumerate((*range(len(a) - width + 1), *range(len(a), len(a) + len(b) - width + 1))):
+            sets[row, place[start : start + width]] = 1
+        left, right = np.split(sets, [len(a) - width + 1])
+        both = left @ right.T
+        return bool((both * (100 + percent) >= percent * (left.sum(1)[:, None] + right.sum(1))).any())
     sums = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     sums[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
     both = sums[width:, width:] - sums[:-width, width:] - sums[width:, :-width] + sums[:-width, :-width]
@@ -186,16 +232,15 @@ def _shared(lists: pa.ListArray) -> np.ndarray:
 
 def _tile(width: int, percent: int):
     """Edges between components that verified passages of one list, or of one pair of its tiles, connect."""
-    enough = -(-2 * width * percent // (100 + percent))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         component = table.column("component").combine_chunks().dictionary_encode()
         label, names = component.indices.to_numpy(zero_copy_only=False).astype(np.int64), component.dictionary
         lists = table.column("shingles").combine_chunks()
         sets = [x.values.to_numpy() for x in lists]
-        repeats = np.array([len(np.unique(x)) < len(x) for x in sets])
-        close = _shared(lists) >= np.where(repeats[:, None] | repeats[None, :], 1, enough)
+        # two passages alike share this part of their sizes, so must the intervals around them
+        least = np.array([width if len(np.unique(x)) == len(x) else distinct_counts(x, width).min() for x in sets])
+        close = _shared(lists) * (100 + percent) >= percent * (least[:, None] + least[None, :])
         edges = []
         for i, j in np.argwhere(np.tril(close & (label[:, None] != label[None, :]), -1)):
             if label[i] != label[j] and alike(sets[i], sets[j], width, percent):
@@ -233,7 +278,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
 
     windows = known.mapInArrow(_windows(passage, n, bands), f"key long, digest long, id {kind}, start int, n int")
-    keys = written(windows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
+    signed = known.mapInArrow(_windows(passage, n, bands, whole=False), "key long")
+    keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     met = written(windows.join(keys, "key"), "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), F.min(F.struct("id", "start", "n")).alias("first")), "classes")
     # word for word: every member hangs on the smallest id of its class
