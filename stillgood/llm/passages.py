@@ -281,21 +281,21 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     signed = known.mapInArrow(_windows(passage, n, bands, whole=False), "key long")
     keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     met = written(windows.join(keys, "key"), "met")
-    classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), F.min(F.struct("id", "start", "n")).alias("first")), "classes")
-    # word for word: every member hangs on the smallest id of its class
-    again = classes.where("rows > 1").select("key", "digest", F.col("first.id").alias("low"))
+    classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("id", "start", "n"))), "classes")
+    # word for word: every member hangs on one of its class, whichever comes first
+    again = classes.where("rows > 1").select("key", "digest", F.col("id").alias("low"))
     stop = F.col("start") + F.col("n") - 1 + passage
     whole = met.join(again, ["key", "digest"]).select("id", "low", "start", stop.alias("stop")).distinct()
     # intervals that are equal in part: passage by passage, for one member of each class
     several = classes.where("key % 2 <> 0").groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    parted = classes.join(several, "key").select("first.*").groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    parted = classes.join(several, "key").groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     single = written(with_wanted(parted).mapInArrow(_passages(width, n), f"digest long, id {kind}, start int").distinct(), "passages")
     twice = single.groupBy("digest").agg(F.count("*").alias("places"), F.min("id").alias("low")).where("places > 1").select("digest", "low")
     part = single.join(twice, "digest").select("id", "low", "start", (F.col("start") + passage).alias("stop"))
     exact = written(whole.unionByName(part), "exact")
     connected = written(components(exact.select("id", "low").distinct(), "id", "low"), "connected")
     # lists that still hold several components: verify their members
-    members = classes.select("key", "first.*").join(connected.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = classes.select("key", "id", "start", "n").join(connected.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = written(members, "members")
     open_lists = (members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
                   .where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
