@@ -241,6 +241,9 @@ def _tile(width: int, percent: int):
         # two passages alike share this part of their sizes, so must the intervals around them
         least = np.array([width if len(np.unique(x)) == len(x) else distinct_counts(x, width).min() for x in sets])
         close = _shared(lists) * (100 + percent) >= percent * (least[:, None] + least[None, :])
+        tile = table.column("tile").to_numpy()
+        if table.column("i")[0] != table.column("j")[0]:  # each of the two tiles also meets itself elsewhere
+            close &= tile[:, None] != tile[None, :]
         edges = []
         for i, j in np.argwhere(np.tril(close & (label[:, None] != label[None, :]), -1)):
             if label[i] != label[j] and alike(sets[i], sets[j], width, percent):
@@ -304,7 +307,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     contexts = written(with_wanted(wanted).mapInArrow(_contexts(width, n), f"id {kind}, start int, n int, shingles array<bigint>"), "contexts")
     tile = F.pmod(F.xxhash64("id", "start", F.lit(7)), "tiles").cast("int")
     dealt = (left.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("key", "id", "start", "n", "component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+             .select("key", "id", "start", "n", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
              .join(contexts, ["id", "start", "n"]))
     near = written(dealt.groupBy("key", "i", "j").applyInArrow(_tile(width, percent), f"a {kind}, b {kind}").distinct(), "near")
     merged = components(near).select(F.col("node").alias("component"), F.col("component").alias("root"))
