@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,15 +156,6 @@ def _train(model: Field, texts: list[tuple[str, int]], rate: float) -> Field:
     return model
 
 
-def _sketch(batches):
-    for batch in batches:
-        sketches = []
-        for text in batch.column("text").to_pylist():
-            w = (text or "").split()
-            sketches.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))), default=0) >> 1)
-        yield pa.record_batch({"id": batch.column("id"), "toxic": batch.column("toxic"), "sketch": pa.array(sketches, pa.int64())})
-
-
 def _count(batches):
     toxic, clean = Counter(), Counter()
 
@@ -189,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         held_out_modulus: int = 4, held_out: int = 2, min_count: int = 3, min_share: float = 0.005, min_odds: float = 2.5) -> Field:
     """Lexicon from all training documents, field from a bounded sample of them.
 
-    Training documents have a label and ``crc32(id) % held_out_modulus`` other than ``held_out``; of
-    near copies (same smallest shingle hash) one counts. A lexicon feature is in ``min_count``
+    Training documents have a label and ``crc32(id) % held_out_modulus`` other than ``held_out``; each
+    row of them counts, copies too. A lexicon feature is in ``min_count``
     toxic documents and a ``min_share`` of them, at log odds of ``min_odds`` or more; the first
     ``LEXICON`` of these are taken. The sample has the first ``SAMPLE_DOCS`` / 2 documents of each
     class by hash, among those of ``SAMPLE_WORDS`` words or fewer, whole. Null ids, null labels and
@@ -203,14 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     marks = broadcast_if_small(written(marks, "labels"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks, "id")
-    id_type = rows.schema["id"].dataType.simpleString()
-    sketches = written(rows.mapInArrow(_sketch, f"id {id_type}, toxic int, sketch long"), "sketches")
-    chosen = written(sketches.groupBy("sketch", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct(), "chosen")
-    sizes = dict(chosen.groupBy("toxic").count().collect())
+    sizes = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Field()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(broadcast_if_small(chosen), "id")
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     lexicon = (
         rows.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -256,6 +256,18 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert all(0 <= r.score < 0.3 for r in toxicity.score(odd_docs, empty).collect())
 
 
+def test_toxicity_counts_texts_that_share_a_passage(spark):
+    """Texts with the passage of the smallest shingle hash in common are not copies: each counts."""
+    docs, labels = toxic_docs(spark)
+    alike = " ".join(f"notice{k}" for k in range(400))
+    shared = docs.select("doc_id", F.concat(F.lit(alike + " "), "text").alias("text"))
+    model = toxicity.fit(shared, labels)
+    assert {"=insult", "=slurry", "=slurred"} <= set(model.lexicon)
+    got = {r.id: r.score for r in toxicity.score(shared, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all((got[i] >= 0.3) == (i % 5 == 0) for i in held)
+
+
 def test_marginals_equal_enumeration():
     model = toxicity.Field({"=x": 3.0}, np.array([-1.0, 0.5, 0.3]), np.array([[0.2, -0.4], [-0.3, 0.6]]))
     text = "a x b b x c"
