@@ -23,8 +23,8 @@ from .common import broadcast_if_small
 TOKEN = re.compile(r"\w+")
 #: A class's beginnings of words that may be in the lexicon, besides whole words.
 STEMS = (5, 4)
-#: Bounds of the fit: lexicon entries, documents of the sample (half of each class), their words at most.
-LEXICON, SAMPLE_DOCS, SAMPLE_WORDS = 20_000, 600, 500
+#: Bounds of the fit: lexicon entries, documents of the sample (half of each class).
+LEXICON, SAMPLE_DOCS = 20_000, 600
 #: Features that a counting task holds before it passes them on.
 FLUSH_FEATURES = 400_000
 
@@ -102,45 +102,90 @@ def _descend(gradient, start: np.ndarray, rounds: int, rate: float) -> np.ndarra
     return x
 
 
-def _train(model: Field, texts: list[tuple[str, int]], rate: float) -> Field:
-    """Likelihood of the tags by forward-backward over all sample documents at once, then the document's logistic."""
-    seen = [(model.hits(text), toxic) for text, toxic in texts]
-    seen = [((n, hits), toxic) for (n, hits), toxic in seen if n]
-    if not seen:
-        return model
-    longest = max(n for (n, _), _ in seen)
-    lex, tag, real = (np.zeros((len(seen), longest)) for _ in range(3))
-    for row, ((n, hits), toxic) in enumerate(seen):
-        real[row, :n] = 1
-        for i, _, _, s in hits:
-            lex[row, i], tag[row, i] = s, toxic
-    inside, total = (lex > 0).astype(float), len(seen)
+def _runs(plain: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``plain``, and for each pair of tags the sum over the steps at which a run takes it.
+
+    The latter is the upper right of a power of [[plain, that entry of plain], [0, plain]]. Both are
+    scaled alike, and nothing is subtracted.
+    """
+    block = np.zeros((2, 2, 4, 4))
+    block[:, :, :2, :2] = block[:, :, 2:, 2:] = plain / plain.sum()
+    for a in (0, 1):
+        for b in (0, 1):
+            block[a, b, a, 2 + b] = plain[a, b] / plain.sum()
+    out, left = np.tile(np.eye(4), (len(lengths), 2, 2, 1, 1)), lengths.copy()
+    while left.any():
+        odd = left % 2 > 0
+        out[odd] = out[odd] @ block
+        out[odd] /= out[odd][:, :1, :1, :2, :2].sum((3, 4), keepdims=True)
+        block = block @ block
+        block /= block[0, 0, :2, :2].sum()
+        left //= 2
+    return out[:, 0, 0, :2, :2], out[:, :, :, :2, 2:]
+
+
+def tag_gradient(texts: list[tuple[int, list[tuple[int, int, int, float]], int]]):
+    """Gradient of the mean negative log likelihood of the tags of ``(tokens, hits, toxic)``, each with a token.
+
+    Forward-backward over all texts at once. It stops at hits only, as the words between them all
+    look alike, so a text's length costs nothing but its hits do.
+    """
+    texts = sorted(texts, key=lambda t: -len(t[1]))
+    at = [np.array([h[0] for h in hits], np.int64) for _, hits, _ in texts]
+    sizes, total = np.array([len(x) for x in at]), len(texts)
+    step_of = np.concatenate([np.arange(k) for k in sizes])
+    # the first hits of all texts, then the second ones
+    by = np.argsort(step_of, kind="stable")
+    edges = np.searchsorted(step_of[by], np.arange(sizes.max() + 1))
+    flat = lambda parts: np.concatenate(parts)[by]
+    lex = flat([np.array([h[3] for h in hits], float) for _, hits, _ in texts])
+    tag = np.repeat([float(toxic) for _, _, toxic in texts], sizes)[by]
+    gap = flat([np.diff(np.r_[-1, x]) - 1 for x in at])
+    tail = np.array([n - 1 - (x[-1] if len(x) else -1) for (n, _, _), x in zip(texts, at)])
+    lengths, place = np.unique(np.r_[gap, tail], return_inverse=True)
+    gap_at, tail_at = place[: len(gap)], place[len(gap) :]
+    tagged, both = tag.sum(), (tag * ((gap == 0) & (step_of[by] > 0))).sum()
+    left = tagged - both - sum(toxic for (_, _, toxic), k, z in zip(texts, sizes, tail) if k and not z)
+    true = np.array([[sum(n for n, _, _ in texts) - tagged - left, tagged - both], [left, both]])
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        up = np.exp(np.clip(x[0] + x[1] * lex + x[2] * inside, -30, 30))
+        up = np.stack([np.ones(len(lex)), np.exp(np.clip(x[0] + x[1] * lex + x[2], -30, 30))], 1)
         step = np.exp(x[3:].reshape(2, 2))
-        alpha, now = np.empty((longest, total, 2)), np.tile([1.0, 0.0], (total, 1))
-        for t in range(longest):
-            new = now @ step
-            new[:, 1] *= up[:, t]
-            now = np.where(real[:, t, None] > 0, new / new.sum(1, keepdims=True), now)
-            alpha[t] = now
-        beta, expected, pairs = np.ones((total, 2)), np.zeros((total, longest)), np.zeros((2, 2))
-        for t in range(longest - 1, -1, -1):
-            on = real[:, t] > 0
-            both = alpha[t] * beta
-            expected[:, t] = np.where(on, both[:, 1] / both.sum(1), 0)
-            late = beta * np.stack([np.ones(total), up[:, t]], 1)
-            before = alpha[t - 1] if t else np.tile([1.0, 0.0], (total, 1))
-            joint = before[:, :, None] * step * late[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True))[on].sum(0)
-            beta = np.where(on[:, None], late @ step.T, beta)
-            beta /= beta.sum(1, keepdims=True)
-        off = expected - tag * real
-        first = np.concatenate([np.zeros((total, 1)), tag[:, :-1]], 1)
-        true = np.array([[(real * (1 - first) * (1 - tag)).sum(), (real * (1 - first) * tag).sum()], [(real * first * (1 - tag)).sum(), (real * first * tag).sum()]])
-        return np.r_[off.sum(), (off * lex).sum(), (off * inside).sum(), (pairs - true).ravel()] / total + 0.01 * x
+        power, taken = _runs(step * [1.0, np.exp(np.clip(x[0], -30, 30))], lengths)
+        before, enter, forward, late, ahead = (np.empty((len(lex), 2)) for _ in range(5))
+        now = np.tile([1.0, 0.0], (total, 1))
+        for low, high in zip(edges, edges[1:]):
+            before[low:high] = some = now[: high - low]
+            enter[low:high] = mid = (some[:, None] @ power[gap_at[low:high]])[:, 0]
+            some = mid @ step * up[low:high]
+            forward[low:high] = now[: high - low] = some / some.sum(1, keepdims=True)
+        after = power[tail_at].sum(2)
+        for low, high in zip(edges[-2::-1], edges[:0:-1]):
+            late[low:high] = some = after[: high - low]
+            some = (up[low:high] * some) @ step.T
+            ahead[low:high] = some = some / some.sum(1, keepdims=True)
+            some = (power[gap_at[low:high]] @ some[:, :, None])[:, :, 0]
+            after[: high - low] = some / some.sum(1, keepdims=True)
+        expected = forward * late
+        off = expected[:, 1] / expected.sum(1) - tag
+        joint = enter[:, :, None] * step * (up * late)[:, None, :]
+        inside = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        plain = np.zeros((2, 2))
+        for start, which, stop in ((before, gap_at, ahead), (now, tail_at, np.ones((total, 2)))):
+            some = np.einsum("ti,tabij,tj->tab", start, taken[which], stop)
+            plain += (some / np.einsum("ti,tij,tj->t", start, power[which], stop)[:, None, None]).sum(0)
+        return np.r_[off.sum() + plain[:, 1].sum(), (off * lex).sum(), off.sum(), (inside + plain - true).ravel()] / total + 0.01 * x
+
+    return gradient
 
+
+def _train(model: Field, texts: list[tuple[str, int]], rate: float) -> Field:
+    """Likelihood of the tags over all sample documents at once, then the document's logistic."""
+    seen = [(model.hits(text), toxic) for text, toxic in texts]
+    seen = [((n, hits), toxic) for (n, hits), toxic in seen if n]
+    if len({toxic for _, toxic in seen}) < 2:
+        return Field()
+    gradient = tag_gradient([(n, hits, toxic) for (n, hits), toxic in seen])
     x = _descend(gradient, np.r_[-4.0, 0.2, 1.0, np.zeros(4)], 40, 0.25)
     model.weights, model.moves = x[:3], x[3:].reshape(2, 2)
     rows = [(model.marginals(n, hits), toxic) for (n, hits), toxic in seen]
@@ -183,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     row of them counts, copies too. A lexicon feature is in ``min_count``
     toxic documents and a ``min_share`` of them, at log odds of ``min_odds`` or more; the first
     ``LEXICON`` of these are taken. The sample has the first ``SAMPLE_DOCS`` / 2 documents of each
-    class by hash, among those of ``SAMPLE_WORDS`` words or fewer, whole. Null ids, null labels and
+    class by hash, among those with a word, whole and of any length. Null ids, null labels and
     labels without a document teach nothing; of several labels of an id the highest counts; without
     both classes every text scores low.
     """
@@ -203,11 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .where(F.col("toxic") >= max(min_count, min_share * n_toxic)).select("feature", F.round(odds, 6).alias("odds")).where(F.col("odds") >= min_odds)
         .orderBy(F.desc("odds"), "feature").limit(LEXICON).collect()
     )
-    short = rows.where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS)
+    worded = rows.where(F.col("text").rlike(r"(?U)\w"))
     order = F.xxhash64(F.col("id").cast("string"))
     sample = [
         (r.text or "", mark) for mark in (0, 1)
-        for r in short.where(F.col("toxic") == mark).orderBy(order, "id").select("text").limit(SAMPLE_DOCS // 2).collect()
+        for r in worded.where(F.col("toxic") == mark).orderBy(order, "id").select("text").limit(SAMPLE_DOCS // 2).collect()
     ]
     return _train(Field({r.feature: r.odds for r in lexicon}), sample, n_toxic / (n_toxic + n_clean))
 

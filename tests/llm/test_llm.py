@@ -268,6 +268,36 @@ def test_toxicity_counts_texts_that_share_a_passage(spark):
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i in held)
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Every toxic text is long; clean ones are long or short."""
+    docs, labels = toxic_docs(spark)
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda k: F.concat(F.lit("w"), (k * 7 + F.col("doc_id")) % 300)), " ")
+    long = docs.select("doc_id", F.when(F.col("doc_id") % 5 < 2, F.concat("text", F.lit(" "), more)).otherwise(F.col("text")).alias("text"))
+    model = toxicity.fit(long, labels)
+    got = {r.id: r.score for r in toxicity.score(long, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all((got[i] >= 0.3) == (i % 5 == 0) for i in held)
+
+
+def test_tag_gradient_equals_enumeration():
+    texts = [(7, [(0, 0, 0, 3.0), (3, 0, 0, 2.5), (4, 0, 0, 4.0)], 1), (5, [(4, 0, 0, 3.0)], 1), (6, [(2, 0, 0, 2.7)], 0), (3, [], 0)]
+
+    def loss(x):
+        out = 0.0
+        for n, hits, toxic in texts:
+            lex, want = np.zeros(n), [0] * n
+            for i, _, _, s in hits:
+                lex[i], want[i] = s, toxic
+            def value(tags):
+                return sum(x[3 + 2 * b + t] + t * (x[0] + x[1] * w + x[2] * (w > 0)) for b, t, w in zip([0, *tags], tags, lex))
+            out += np.logaddexp.reduce([value([(bits >> i) & 1 for i in range(n)]) for bits in range(2**n)]) - value(want)
+        return out / len(texts) + 0.005 * (x @ x)
+
+    x = np.array([-1.5, 0.4, 0.3, 0.2, -0.4, -0.3, 0.6])
+    near = [(loss(x + 1e-5 * e) - loss(x - 1e-5 * e)) / 2e-5 for e in np.eye(7)]
+    assert np.allclose(toxicity.tag_gradient(texts)(x), near, atol=1e-6)
+
+
 def test_marginals_equal_enumeration():
     model = toxicity.Field({"=x": 3.0}, np.array([-1.0, 0.5, 0.3]), np.array([[0.2, -0.4], [-0.3, 0.6]]))
     text = "a x b b x c"
