@@ -127,6 +127,15 @@ def test_urls(spark):
     assert urls.judge_pages(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_distrust_of_a_tight_cycle_settles(spark):
+    """By hand: a = 0.15 + 0.85 b and b = 0.85 a, so a.net is at 0.5405 and b.net at 0.4595."""
+    pages = [(i, f"http://a.net/{'bad' if i < 3 else 'x'}/{i}", '<a href="http://b.net/">' if i == 5 else "") for i in range(20)] + [(20, "http://b.net/", '<a href="http://a.net/">')]
+    got = urls.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), (urls.Rule("block", "a.net", "/bad"),)).collect()
+    at = {r.host: r.distrust for r in got}
+    assert abs(at["a.net"] - 0.15 / 0.2775) < 1e-4 and abs(at["b.net"] - 0.1275 / 0.2775) < 1e-4
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(20))
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
