@@ -26,7 +26,7 @@ from .common import SPACES, broadcast_if_small, components
 from .jaccard import _mixed
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
-PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 3
+PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
 #: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
 #: may be broadcast; bytes of short texts that are laid end to end.
 TILE, COLUMNS, SMALL_IDS, TOGETHER = 256, 2_048, 20_000, 300_000

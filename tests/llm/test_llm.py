@@ -395,6 +395,20 @@ def test_passages_equal_brute_force(spark):
         assert all(x.stop < y.start for x, y in zip(r.spans, r.spans[1:]))
 
 
+def test_registered_passages_equal_brute_force(spark):
+    """Pairs whose only passage in common has 50 to 52 words, one in its middle changed."""
+    rng = np.random.default_rng(8)
+    draw = lambda k: [f"w{x}" for x in rng.integers(0, 50_000, k)]
+    rows = []
+    for i in range(120):
+        shared = draw(50 + i % 3)
+        changed = [*shared[:25], "other", *shared[26:]]
+        rows += [(2 * i, " ".join([*draw(1), *shared])), (2 * i + 1, " ".join([*changed, *draw(1)]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _, root = plain_passages(rows, 50, 5, 80)
+    assert {r.id: r.component_id for r in got} == root and sum(i != c for i, c in root.items()) == 120
+
+
 def test_passages_long_lists_meet_in_tiles(spark, monkeypatch):
     """One list of near passages, none equal, over many tiles."""
     monkeypatch.setattr(passages, "TILE", 4)
