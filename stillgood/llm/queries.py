@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, dedup, jaccard, mixing, passages, pii, topk, toxicity, urls
+from ..session import scratch_path
+from . import bpe, brown, dedup, infill, jaccard, mixing, passages, pii, records, search, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +78,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op3_compact_windows, op4_class_bigrams, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity)}
+def op11_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(_table(spark, sf_dir, "documents"))
+    found = search.search(index, _table(spark, sf_dir, "benchmark"), "item_id", k=10)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    seed = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    cut = infill.split_form(docs, seed)
+    return cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    path = scratch_path(spark, "records")
+    records.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary, end_id=2)
+    return records.read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {q.__name__: q for q in (op1_mix_sources, op2_topk_threshold, op3_compact_windows, op4_class_bigrams, op5_url_links, op6_pii_boosted, op7_byte_bpe, op8_multi_index_dedup, op9_jaccard_join, op10_toxicity,
+                                   op11_hybrid_search, op12_fill_in_middle, op13_token_records)}
