@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from ..session import written
 
 #: Bytes after which a task begins a new file, and characters of text for each task that writes.
 FILE_BYTES, TASK_CHARS = 64_000_000, 32_000_000
-#: Distinct words whose ids a Python worker keeps; beyond it the oldest half goes.
-KEPT_WORDS = 500_000
+#: Distinct words whose ids a Python worker keeps; words not met for half as many new ones go.
+KEPT_WORDS = 1_000_000
 #: Layout of what comes before and after the content, and of the beginning of the content.
 HEAD, TAIL, CONTENT = "<QI", "<I", "<q?B"
 HEAD_BYTES, TAIL_BYTES, CONTENT_BYTES = map(struct.calcsize, (HEAD, TAIL, CONTENT))
@@ -97,7 +98,8 @@ class Encoder:
     take the library's own way.
     """
 
-    PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+    #: Letters that stay as they are: ASCII ones, and with Latin-1 ones after lower-casing.
+    ASCII, LATIN = re.compile(b"[a-z]+").fullmatch, re.compile("[a-zß-öø-ÿ]+").fullmatch
     #: Bytes that begin U+0300 to U+036F, the marks that compose with ASCII letters.
     MARKS = re.compile(b"[\xcc\xcd]").search
 
@@ -111,36 +113,47 @@ class Encoder:
         # letters stand for bytes in the vocabulary as the library's own cutter writes them
         self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} if self.by_words else {}
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, data: bytes) -> bytes:
+    def _letters(self, data: bytes) -> str | None:
+        """A word of letters as the vocabulary writes it; such a run stands as one piece."""
+        if self.ASCII(data):
+            return data.decode()
         word = data.decode()
-        # a run of lower-case letters stands as one piece; what follows it begins another one
-        core, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        low = core.lower()
-        if self.PLAIN(low) and len(low) == len(core):
-            found = [t.id for t in self.tokenizer.model.tokenize(low.translate(self.letters))]
-            found += [t.id for t in self.tokenizer.model.tokenize(tail)] if tail else []
-            return np.array(found, "<u4").tobytes()
-        return self._library(word)
+        low = word.lower()
+        return low.translate(self.letters) if self.LATIN(low) and len(low) == len(word) else None
+
+    def _word(self, data: bytes) -> bytes:
+        if data in self.older:
+            found = self.older[data]
+        elif (letters := self._letters(data)) is not None:
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        elif data[-1:] in (b".", b",", b";", b":", b"!", b"?") and self._letters(data[:-1]) is not None:
+            # the mark ends the run of letters and begins a piece of its own
+            found = self._ids(data[:-1]) + self._ids(data[-1:])
+        else:
+            found = self._library(data.decode())
+        if len(self.kept) * 2 >= KEPT_WORDS:
+            self.kept, self.older = {}, self.kept
+        self.kept[data] = found
+        return found
+
+    def _ids(self, data: bytes) -> bytes:
+        found = self.kept.get(data)
+        return self._word(data) if found is None else found
 
     def encode(self, text: str) -> np.ndarray:
         data = text.encode()
         if not self.by_words or self.special(data):
             return np.frombuffer(self._library(text), "<u4")
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept = self.kept = dict(list(kept.items())[KEPT_WORDS // 2 :])
         words = (data if self.MARKS(data) else data.lower()).split()
-        try:
-            return np.frombuffer(b"".join([kept[w] for w in words]), "<u4")
-        except KeyError:
-            for w in words:
-                if w not in kept:
-                    kept[w] = self._word(w)
-            return np.frombuffer(b"".join([kept[w] for w in words]), "<u4")
+        found = list(map(self.kept.get, words))
+        if None in found:
+            found = [self._ids(w) if x is None else x for w, x in zip(words, found)]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def _encoder(vocabulary: str) -> Encoder:
