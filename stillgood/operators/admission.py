@@ -13,7 +13,7 @@ from ..functions.scores import admission, expires_us
 from ..functions.text import cache_key, fill_template, parse_score, uncacheable
 from ..session import written
 from .ranking import topk
-from .store import evict, upsert
+from .store import insert_all
 
 
 def judge_answers(
@@ -66,8 +66,8 @@ def admitted_entries(judged: DataFrame, lifetimes=C.LIVE_LIFETIMES) -> DataFrame
 
 
 def store_entries(cache: DataFrame, entries: DataFrame, max_entries: int = 1000) -> DataFrame:
-    """Evict if full, then upsert: the table after one batch of admissions."""
-    return upsert(evict(cache, max_entries), entries)
+    """The table after one batch of admissions, each of them stored for itself."""
+    return insert_all(cache, entries, max_entries)
 
 
 def admit_and_store(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.scores import expires_us
-from .ranking import order_hex, smallest, topk
+from ..session import written
+from .ranking import order_hex, rank_cuts, smallest, topk
+
+#: Above every sort key.
+ALL_GONE = "~"
 
 ENTRY_SCHEMA = (
     "entry_key string, query string, answer string, category string, "
@@ -60,6 +66,171 @@ def evict(cache: DataFrame, max_entries: int = 1000) -> DataFrame:
     return cache if oldest is None else cache.filter(~oldest)
 
 
+@dataclass
+class _Filling:
+    """A table that is filled insert by insert: what the next step starts from.
+
+    Positions are sort keys; ``gone`` is that of the newest old entry evicted, ``done`` that of the
+    newest insert made, "" where there is none.
+    """
+
+    size: int
+    left: int
+    gone: str = ""
+    done: str = ""
+    evicted_inserts: int = 0
+
+
+class _Frames:
+    """Old entries ``(s, by)`` and inserts ``(s, was)``: sort keys, and that of the other row of the key."""
+
+    def __init__(self, old: DataFrame, inserts: DataFrame):
+        self.old, self.inserts = old, inserts
+
+    def _nth(self, rows: DataFrame, n: int) -> str | None:
+        total = rows.count()
+        return None if n > total else rank_cuts(rows, F.lit(0), F.col("s"), {0: [n]}, total)[0].key
+
+    def nth_new(self, at: _Filling, n: int) -> str | None:
+        """The ``n``-th insert still to make whose key the table does not hold."""
+        new = F.col("was").isNull() | (F.col("was") <= at.gone)
+        return self._nth(self.inserts.filter((F.col("s") > at.done) & new), n)
+
+    def next_insert(self, at: _Filling) -> tuple[str, bool]:
+        row = self.inserts.filter(F.col("s") > at.done).orderBy("s").first()
+        return row["s"], row["was"] is None or row["was"] <= at.gone
+
+    def inserts_left(self, at: _Filling) -> int:
+        return self.inserts.filter(F.col("s") > at.done).count()
+
+    def _alive(self, at: _Filling) -> DataFrame:
+        return self.old.filter((F.col("s") > at.gone) & (F.col("by").isNull() | (F.col("by") > at.done)))
+
+    def alive(self, at: _Filling) -> int:
+        return self._alive(at).count()
+
+    def nth_alive(self, at: _Filling, n: int) -> str:
+        return self._nth(self._alive(at), n)
+
+
+class _Lists(_Frames):
+    """The same for a table and as many inserts as old entries can outlast, held in memory."""
+
+    def __init__(self, old: list[tuple], inserts: list[tuple], total: int):
+        self.old, self.inserts, self.total = sorted(old), sorted(inserts, key=lambda x: x[0]), total
+        self.at = {s: i for i, (s, _) in enumerate(self.inserts)}
+
+    def _todo(self, at: _Filling) -> list[tuple]:
+        return self.inserts[self.at[at.done] + 1 if at.done else 0 :]
+
+    def nth_new(self, at: _Filling, n: int) -> str | None:
+        new = [s for s, was in self._todo(at) if was is None or was <= at.gone]
+        if n > len(new) and len(self.inserts) < self.total:
+            raise RuntimeError("more inserts are needed than were taken")
+        return new[n - 1] if n <= len(new) else None
+
+    def next_insert(self, at: _Filling) -> tuple[str, bool]:
+        s, was = self._todo(at)[0]
+        return s, was is None or was <= at.gone
+
+    def inserts_left(self, at: _Filling) -> int:
+        return self.total - (self.at[at.done] + 1 if at.done else 0)
+
+    def alive(self, at: _Filling) -> int:
+        return len(self._live(at))
+
+    def _live(self, at: _Filling) -> list[str]:
+        return [s for s, by in self.old if s > at.gone and (by is None or by > at.done)]
+
+    def nth_alive(self, at: _Filling, n: int) -> str:
+        return self._live(at)[n - 1]
+
+
+def _filled(rows: _Frames, size: int, inserts: int, max_entries: int) -> _Filling:
+    """Apply the rule of one insert to all of them, without going through them one by one.
+
+    A full table loses its oldest tenth before an insert, also before one that replaces. Inserts are
+    newer than old entries, so old ones go first, and what is gone is always all below a position:
+    each eviction is a rank among the old entries alive, each wait for the next one a rank among the
+    inserts that are new. Once no old entry is left every insert is new, and the rest is arithmetic.
+    """
+    at = _Filling(size, inserts)
+    while at.left:
+        if at.size >= max_entries:
+            drop, alive = eviction_size(at.size, max_entries), rows.alive(at)
+            at.size -= drop
+            if drop >= alive:
+                at.evicted_inserts = drop - alive
+                return _refilled(at, max_entries)
+            at.gone = rows.nth_alive(at, drop)
+            at.done, new = rows.next_insert(at)
+            at.size, at.left = at.size + new, at.left - 1
+        else:
+            full = rows.nth_new(at, max_entries - at.size)
+            if full is None:
+                return at
+            at.size, at.done = max_entries, full
+            at.left = rows.inserts_left(at)
+    return at
+
+
+def _refilled(at: _Filling, max_entries: int) -> _Filling:
+    """The rest of the inserts, when an eviction for the next one has taken all old entries."""
+    at.gone, at.size, at.left = ALL_GONE, at.size + 1, at.left - 1
+    while at.left:
+        drop = eviction_size(at.size, max_entries)
+        if not drop:
+            made = min(at.left, max_entries - at.size)
+            at.size += made
+        elif at.size == max_entries or drop == 1:
+            # what an eviction takes, as many inserts bring back before the next one
+            made, out = at.left, -(-at.left // drop) * drop
+            at.evicted_inserts, at.size = at.evicted_inserts + out, at.size - out + made
+        else:
+            made, at.evicted_inserts, at.size = 1, at.evicted_inserts + drop, at.size - drop + 1
+        at.left -= made
+    return at
+
+
+def insert_all(cache: DataFrame, entries: DataFrame, max_entries: int = 1000, held_rows: int = 100_000) -> DataFrame:
+    """The table after its entries were inserted one by one, oldest first, each with eviction before it.
+
+    Of entries with one key the newest counts. Entries count as newer than all the table holds, as they
+    are when they are made, whatever their times say; equal times go by key. ``cache`` holds one row
+    per key and is read several times when it gets full: pass a stored one. Which rows stay is found
+    by ranks: of lists while table, cap and what they need of the batch are below ``held_rows``, of
+    histograms in Spark beyond it.
+    """
+    if max_entries < 1:
+        raise ValueError("max_entries must be at least 1")
+    fresh = topk(entries, ["entry_key"], [F.desc_nulls_last("cached_us")], 1).drop("rank")
+    size = cache.count()
+    if not fresh.take(1):
+        return cache
+    fresh = written(fresh, "fresh")
+    inserts = fresh.count()
+    if size + inserts <= max_entries and size < max_entries:
+        return remove_entries(cache, fresh).unionByName(fresh, allowMissingColumns=True)
+    order = eviction_order()
+    old, new = cache.select("entry_key", order.alias("s")), fresh.select("entry_key", order.alias("s"))
+    both = written(
+        old.withColumnRenamed("s", "was").join(new, "entry_key", "full").select("entry_key", "was", "s"), "order"
+    )
+    news, olds = both.filter("s IS NOT NULL").select("s", "was"), both.filter("was IS NOT NULL").select(F.col("was").alias("s"), F.col("s").alias("by"))
+    # old entries are gone after at most one fill, one replacement of each and a dozen evictions
+    needed = size + 3 * max_entries + 500
+    if size + min(inserts, needed) <= held_rows:
+        first = news.orderBy("s").limit(needed).collect()
+        rows = _Lists([tuple(r) for r in olds.collect()], [tuple(r) for r in first], inserts)
+    else:
+        rows = _Frames(olds, news)
+    at = _filled(rows, size, inserts, max_entries)
+    stays = F.lit(False) if at.gone == ALL_GONE else order > at.gone
+    kept = remove_entries(cache.filter(stays), fresh)
+    last = smallest(fresh, order, at.evicted_inserts, inserts)
+    return kept.unionByName(fresh if last is None else fresh.filter(~last), allowMissingColumns=True)
+
+
 def clear(cache: DataFrame) -> DataFrame:
     """Empty table of the same schema, to overwrite either tier with."""
     return cache.filter(F.lit(False))

@@ -456,13 +456,20 @@ ORACLES["admission_log"] = f"""WITH {_PAIRS_JUDGED} SELECT conv_id, turn, round(
     NOT blocked AND combined >= 0.5::DOUBLE AS admit_to_cache,
     CASE WHEN blocked THEN 'blocked: heuristic' ELSE 'triple-signal' END AS mode FROM judged"""
 
-ORACLES["admit_and_store"] = f"""WITH {_PAIRS_JUDGED}, {ENTRIES}, kept AS (SELECT * FROM cache
-    QUALIFY row_number() OVER (ORDER BY cached_us, entry_key) > greatest(1, (count(*) OVER ()) // 10)), fresh AS (
+ORACLES["admit_and_store"] = f"""WITH RECURSIVE {_PAIRS_JUDGED}, {ENTRIES}, old AS (
+    SELECT entry_key, category, cached_us, expires_us, row_number() OVER (ORDER BY cached_us, entry_key) AS pos FROM cache), latest AS (
     SELECT {key('query')} AS entry_key, CASE WHEN length(query) % 2 = 0 THEN 'Static' ELSE 'Slow-Moving' END AS category,
     {BASE + 30 * DAY} + (conv_id * 1000 + turn) * 1000000 AS cached_us FROM judged WHERE NOT blocked AND combined >= 0.5::DOUBLE
-    QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY cached_us DESC) = 1)
-    SELECT entry_key, category, cached_us, {expiry('cached_us', 'category')} AS expires_us FROM fresh
-    UNION ALL SELECT entry_key, category, cached_us, expires_us FROM kept WHERE entry_key NOT IN (SELECT entry_key FROM fresh)"""
+    QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY cached_us DESC) = 1), fresh AS (
+    SELECT l.*, {expiry('l.cached_us', 'l.category')} AS expires_us, row_number() OVER (ORDER BY l.cached_us, l.entry_key) AS i,
+    (SELECT count(*) FROM old) + row_number() OVER (ORDER BY l.cached_us, l.entry_key) AS pos, old.pos AS was
+    FROM latest l LEFT JOIN old USING (entry_key)), walk AS (
+    SELECT 0::BIGINT AS i, (SELECT list(pos ORDER BY pos) FROM old) AS live
+    UNION ALL SELECT f.i, list_append(list_filter(CASE WHEN len(live) >= 100 THEN live[greatest(1, len(live) // 10) + 1:] ELSE live END,
+      lambda x: x <> coalesce(was, 0)), f.pos) FROM walk JOIN fresh f ON f.i = walk.i + 1), ended AS (
+    SELECT unnest(live) AS pos FROM walk WHERE i = (SELECT max(i) FROM walk))
+    SELECT entry_key, category, cached_us, expires_us FROM ended JOIN (SELECT entry_key, category, cached_us, expires_us, pos FROM old
+      UNION ALL SELECT entry_key, category, cached_us, expires_us, pos FROM fresh) USING (pos)"""
 
 ORACLES["cascade_stream"] = f"""WITH {DEC}, asked AS (
     SELECT key AS query, '[LLM placeholder for: ' || key || ']' AS response, user_id, at_us,
