@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,10 @@ class AnswerCache:
         batch = self.next_batch() if batch is None else batch
         semantic, exact = self.semantic.before(batch), self.exact.before(batch)
         decided = self._stored(
-            cascade(requests, exact, semantic, self.config, self.plugins, self.score_candidates),
+            cascade(
+                requests, exact, semantic, self.config, self.plugins, self.score_candidates,
+                earlier_calls=self.calls_before(batch),
+            ),
             "decisions", batch,
         )
         # keyed entries past their lifetime at the end of the batch are not carried on
@@ -73,13 +77,27 @@ class AnswerCache:
         self.semantic.prune(), self.exact.prune()
         return decided
 
+    def calls_before(self, batch: int) -> DataFrame:
+        """When requests of earlier batches went upstream: what the threshold of this one starts from."""
+        log = self._log("decisions", "at_us long, source string, batch int").filter(F.col("batch") < batch)
+        return log.filter(F.col("source").isin(C.GEMINI_API, C.GEMINI_VOLATILE)).select("at_us")
+
+    def _log(self, name: str, without: str) -> DataFrame:
+        """A log, or no rows of the columns ``without`` names before the first batch."""
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], without)
+
     def decisions(self) -> DataFrame:
         """Every decision taken so far, with its batch number."""
-        return self.spark.read.parquet(f"{self.path}/decisions")
+        return self._log("decisions", "req_id long, query string, source string, rewritten boolean, at_us long, batch int")
 
     def admissions(self) -> DataFrame:
         """Every judged answer so far."""
-        return self.spark.read.parquet(f"{self.path}/admissions")
+        return self._log("admissions", "query string, admission string, batch int")
 
     def sizes(self) -> DataFrame:
         return table_sizes(self.semantic.read(), self.exact.read())

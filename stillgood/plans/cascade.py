@@ -17,6 +17,7 @@ from ..functions.text import (
     rewrite_prompt_strict, strip, trim_history,
 )
 from ..operators.admission import admit_and_store
+from ..operators.feedback import settle_thresholds
 from ..operators.knn import knn_join, nearest_one
 from ..operators.lookup import asof_lookup, exact_lookup
 from ..operators.ranking import topk
@@ -25,7 +26,7 @@ from ..session import written
 DECISION_COLUMNS = (
     "req_id", "query", "source", "category", "confidence", "answer", "similarity",
     "rerank_score", "answer_relevance", "mu", "nu", "pi", "served_key", "cached_category",
-    "rewritten", "at_us",
+    "rewritten", "at_us", "threshold",
 )
 
 
@@ -156,13 +157,16 @@ def cascade(
     score_candidates: Callable[[DataFrame], DataFrame] | None = None,
     exact_is_log: bool = False,
     signals=C.CONTEXT_SIGNALS,
+    earlier_calls: DataFrame | None = None,
 ) -> DataFrame:
     """One decision row per request, against a fixed state of both tiers.
 
     ``requests(req_id, query, at_us[, history, label, confidence, embedding,
     skip_key, rate])``; ``exact(entry_key, cached_us, expires_us, answer,
     category[, seq])``, a write log when ``exact_is_log``; ``semantic`` has the
-    answer-table schema.  ``score_candidates`` may add score columns to the
+    answer-table schema.  The threshold is ``fixed_threshold``, else follows the
+    ``rate`` of the requests, else, with ``earlier_calls(at_us)`` (empty if there
+    were none), the calls that this very cascade makes.  ``score_candidates`` may add score columns to the
     candidate frame in place of the model plug-ins.
 
     A volatile request touches neither tier.  Only requests still undecided
@@ -204,6 +208,15 @@ def cascade(
         threshold = F.lit(config.fixed_threshold)
     elif "rate" in joined.columns:
         threshold = dynamic_threshold(F.coalesce("rate", F.lit(0)), config)
+    elif earlier_calls is not None:
+        fits = verify_pair(F.col("rerank_score"), F.col("nu"), F.col("answer_relevance"), config)
+        asks = joined.withColumns({"_open": F.col("undecided") & ~fits, "_volatile": volatile})
+        joined = settle_thresholds(
+            written(asks, "verified"), "at_us",
+            lambda t: F.col("_volatile") | (F.col("_open") & ~fast_accept(F.col("nearest.similarity"), t)),
+            config, earlier_calls,
+        )
+        threshold = F.col("threshold")
     else:
         threshold = F.lit(config.quiet_threshold)
     source = (
@@ -216,7 +229,7 @@ def cascade(
         )
         .otherwise(F.lit(C.GEMINI_API))
     )
-    decided = joined.withColumn("source", source)
+    decided = joined.withColumns({"source": source, "threshold": F.when(F.col("undecided"), threshold)})
     return _decision_rows(decided, plugins)
 
 

@@ -669,9 +669,12 @@ def ttl_replay_stream(spark, sf_dir):
 
 @register
 def cascade_stream(spark, sf_dir):
-    """Two micro-batches of the same requests: the second meets what the first stored."""
+    """Two micro-batches of the same requests: the second meets what the first stored.
+
+    The threshold of each request follows the calls of the half hour before it, of both batches.
+    """
     path = scratch_path(spark, "cascade")
-    requests = X.event_requests(spark, sf_dir)
+    requests = X.event_requests(spark, sf_dir).drop("rate")
     files = 0
     for part in range(2):
         late = requests.withColumn("at_us", F.col("at_us") + part * X.MINUTE_US)
@@ -680,11 +683,14 @@ def cascade_stream(spark, sf_dir):
         late.write.mode("append").parquet(f"{path}/requests")
         files = files or len(spark.read.parquet(f"{path}/requests").inputFiles())
     source = streams.file_stream(spark, f"{path}/requests", _ddl(late), files_per_batch=files)
-    cache = AnswerCache(
-        spark, f"{path}/cache", C.CacheConfig(fixed_threshold=0.99, max_entries=10**9), Plugins(judge=X.judge_reply)
+    config = C.CacheConfig(
+        busy_threshold=0.35, normal_threshold=0.40, quiet_threshold=0.45, rate_seconds=1800, max_entries=10**9
     )
+    cache = AnswerCache(spark, f"{path}/cache", config, Plugins(judge=X.judge_reply))
     streams.cascade_stream(source, cache, f"{path}/checkpoint").awaitTermination()
-    return cache.decisions().groupBy(F.col("batch").cast("long").alias("batch"), "source").agg(F.count("*").alias("n"))
+    return cache.decisions().select(
+        F.col("batch").cast("long").alias("batch"), "req_id", "source", "threshold", "similarity"
+    )
 
 
 def _ddl(df: DataFrame) -> str:

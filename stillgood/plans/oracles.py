@@ -460,7 +460,7 @@ ORACLES["admit_and_store"] = f"""WITH RECURSIVE {_PAIRS_JUDGED}, {ENTRIES}, old
     SELECT entry_key, category, cached_us, expires_us, row_number() OVER (ORDER BY cached_us, entry_key) AS pos FROM cache), latest AS (
     SELECT {key('query')} AS entry_key, CASE WHEN length(query) % 2 = 0 THEN 'Static' ELSE 'Slow-Moving' END AS category,
     {BASE + 30 * DAY} + (conv_id * 1000 + turn) * 1000000 AS cached_us FROM judged WHERE NOT blocked AND combined >= 0.5::DOUBLE
-    QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY cached_us DESC) = 1), fresh AS (
+    QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY cached_us DESC) = 1), fresh AS MATERIALIZED (
     SELECT l.*, {expiry('l.cached_us', 'l.category')} AS expires_us, row_number() OVER (ORDER BY l.cached_us, l.entry_key) AS i,
     (SELECT count(*) FROM old) + row_number() OVER (ORDER BY l.cached_us, l.entry_key) AS pos, old.pos AS was
     FROM latest l LEFT JOIN old USING (entry_key)), walk AS (
@@ -471,18 +471,33 @@ ORACLES["admit_and_store"] = f"""WITH RECURSIVE {_PAIRS_JUDGED}, {ENTRIES}, old
     SELECT entry_key, category, cached_us, expires_us FROM ended JOIN (SELECT entry_key, category, cached_us, expires_us, pos FROM old
       UNION ALL SELECT entry_key, category, cached_us, expires_us, pos FROM fresh) USING (pos)"""
 
-ORACLES["cascade_stream"] = f"""WITH {DEC}, asked AS (
-    SELECT key AS query, '[LLM placeholder for: ' || key || ']' AS response, user_id, at_us,
+_HALF_HOUR = 1_800_000_000
+_BAND = "CASE WHEN {n} > 10 THEN 0.35::DOUBLE WHEN {n} < 3 THEN 0.45::DOUBLE ELSE 0.40::DOUBLE END"
+
+# requests in order of time, one by one: the newest calls are carried along
+ORACLES["cascade_stream"] = f"""WITH RECURSIVE {DEC}, asked AS (
+    SELECT event_id AS req_id, key AS query, '[LLM placeholder for: ' || key || ']' AS response, user_id, at_us,
            CASE WHEN k = 13 THEN 'Volatile' ELSE true_category END AS label
     FROM dec JOIN embeddings ON vec_id = user_id), miss AS (SELECT * FROM asked WHERE label <> 'Volatile'),
     {_judged('query', 'response', 'miss', any_of('response', C.UNCACHEABLE_PHRASES))}, stored AS (
     SELECT query, user_id, max(at_us) AS cached_us, max({expiry('at_us', 'label')}) AS expires_us
-    FROM judged WHERE NOT blocked AND combined >= 0.5::DOUBLE GROUP BY query, user_id), again AS (
-    SELECT a.label, a.at_us + {MINUTE} AS at_us, s.cached_us, s.expires_us,
-           a.user_id IN (SELECT user_id FROM stored) AS known
-    FROM asked a LEFT JOIN stored s ON s.query = a.query)
-    SELECT batch::BIGINT AS batch, source, count(*) AS n FROM (
-      SELECT 0 AS batch, CASE label WHEN 'Volatile' THEN 'GEMINI_VOLATILE' ELSE 'GEMINI_API' END AS source FROM asked
-      UNION ALL SELECT 1, CASE WHEN label = 'Volatile' THEN 'GEMINI_VOLATILE'
-        WHEN cached_us <= at_us AND at_us < expires_us THEN 'REDIS_HIT' WHEN known THEN 'CACHE_HIT_FAST'
-        ELSE 'GEMINI_API' END FROM again) GROUP BY batch, source"""
+    FROM judged WHERE NOT blocked AND combined >= 0.5::DOUBLE GROUP BY query, user_id), sims AS (
+    SELECT a.vec_id AS user_id, max({SIM}) AS s FROM embeddings a JOIN embeddings b ON b.vec_id IN (SELECT user_id FROM stored)
+    WHERE a.vec_id IN (SELECT user_id FROM asked) GROUP BY a.vec_id), again AS (
+    SELECT a.req_id, a.label, a.at_us + {MINUTE} AS at_us, s,
+           coalesce(cached_us <= a.at_us + {MINUTE} AND a.at_us + {MINUTE} < expires_us, false) AS known
+    FROM asked a LEFT JOIN stored st ON st.query = a.query LEFT JOIN sims ON sims.user_id = a.user_id), called AS (
+    SELECT at_us, 1 AS c0, 1 AS c1, 1 AS c2 FROM asked UNION ALL
+    SELECT at_us, {', '.join(f"(label = 'Volatile' OR NOT known AND coalesce(s, 0) <= {t}::DOUBLE)::INT" for t in (0.35, 0.40, 0.45))} FROM again), instants AS MATERIALIZED (
+    SELECT at_us, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1, sum(c2)::BIGINT AS c2, row_number() OVER (ORDER BY at_us) AS i FROM called GROUP BY at_us), walk AS (
+    SELECT 0::BIGINT AS i, 0::BIGINT AS at_us, 0::DOUBLE AS threshold, []::BIGINT[] AS calls
+    UNION ALL SELECT i, at_us, threshold, list_concat(calls, list_transform(range(CASE threshold WHEN 0.35::DOUBLE THEN c0 WHEN 0.40::DOUBLE THEN c1 ELSE c2 END), lambda x: at_us))[-11:]
+    FROM (SELECT n.*, w.calls, {_BAND.format(n=f"len(list_filter(w.calls, lambda x: n.at_us - x < {_HALF_HOUR}))")} AS threshold
+      FROM walk w JOIN instants n ON n.i = w.i + 1))
+    SELECT 0::BIGINT AS batch, req_id, CASE label WHEN 'Volatile' THEN 'GEMINI_VOLATILE' ELSE 'GEMINI_API' END AS source,
+      CASE WHEN label <> 'Volatile' THEN {_BAND.format(n=f"(count(*) OVER (ORDER BY at_us RANGE BETWEEN {_HALF_HOUR - 1} PRECEDING AND 1 PRECEDING))")} END AS threshold,
+      NULL::DOUBLE AS similarity FROM asked
+    UNION ALL SELECT 1, req_id, CASE WHEN label = 'Volatile' THEN 'GEMINI_VOLATILE' WHEN known THEN 'REDIS_HIT'
+      WHEN s > threshold THEN 'CACHE_HIT_FAST' ELSE 'GEMINI_API' END, CASE WHEN label <> 'Volatile' AND NOT known THEN threshold END,
+      CASE WHEN label <> 'Volatile' AND NOT known AND s > threshold THEN round(s, 4) END
+    FROM again JOIN walk USING (at_us)"""
