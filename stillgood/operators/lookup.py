@@ -64,6 +64,7 @@ def asof_lookup(
     earlier slices is carried in, so a hot key spreads over its slices.
     """
     payload = F.struct("cached_us", "expires_us", "answer", "category")
+    writes = writes.filter("entry_key IS NOT NULL")  # a request without a key is a miss
     both_sides = requests.select("entry_key", F.col(at_us).alias("_t")).unionAll(
         writes.select("entry_key", "cached_us")
     )

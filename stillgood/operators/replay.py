@@ -84,6 +84,8 @@ def _superblock(t: Column, origin: int, width: int, level: int) -> Column:
 def _store_times(instants: DataFrame, slice_us: int) -> DataFrame:
     """Instants (key, t) at which hot keys store, found without walking a key in order.
 
+    Lifetimes have to be positive here, see :func:`_replay_hot`.
+
     Every instant points at the first one at or after its own expiry.  Time is
     cut into blocks no longer than the shortest lifetime, so a block holds at
     most one store.  Going up, pointers of adjacent blocks are composed, keeping
@@ -137,10 +139,16 @@ def _store_times(instants: DataFrame, slice_us: int) -> DataFrame:
 
 
 def _replay_hot(log: DataFrame, columns: list[str], slice_us: int) -> DataFrame:
-    instants = log.groupBy(F.col("_key").alias("key"), F.col("_at").alias("t")).agg(
+    """Requests whose answer is stored for no time serve nobody, so the chain of stores leaves them out.
+
+    They are looked up in it: a hit if a store before them still holds, else a store of their own.
+    """
+    instants = log.filter("_ttl > 0").groupBy(F.col("_key").alias("key"), F.col("_at").alias("t")).agg(
         F.min_by("_ttl", "_id").alias("ttl"), F.min("_id").alias("first_id")
     )
     instants = written(instants)
+    if instants.isEmpty():
+        return log.select(*columns, F.lit(False).alias("hit"), (F.col("_at") + F.col("_ttl")).alias("expires_us"))
     stores = instants.join(_store_times(instants, slice_us), ["key", "t"]).select(
         F.col("key").alias("entry_key"),
         F.col("t").alias("cached_us"),
@@ -153,10 +161,13 @@ def _replay_hot(log: DataFrame, columns: list[str], slice_us: int) -> DataFrame:
         requests, stores, F.struct("cached_us", "expires_us", "first_id"), "at_us_", slice_us
     )
     w = F.col("_w")
+    later = (w["cached_us"] < F.col("at_us_")) | (w["first_id"] < F.col("_id"))
+    held = F.coalesce(later & (F.col("at_us_") < w["expires_us"]), F.lit(False))
+    lasts = F.col("_ttl") > 0
     return found.select(
         *columns,
-        ((w["cached_us"] != F.col("at_us_")) | (w["first_id"] != F.col("_id"))).alias("hit"),
-        w["expires_us"].alias("expires_us"),
+        F.when(lasts, (w["cached_us"] != F.col("at_us_")) | (w["first_id"] != F.col("_id"))).otherwise(held).alias("hit"),
+        F.when(lasts | held, w["expires_us"]).otherwise(F.col("at_us_") + F.col("_ttl")).alias("expires_us"),
     )
 
 

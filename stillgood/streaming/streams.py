@@ -18,6 +18,7 @@ from ..plans.answer_cache import AnswerCache
 from ..session import written
 
 WATERMARK = "10 minutes"
+OUT_ROWS = 100_000
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -29,33 +30,51 @@ def file_stream(spark: SparkSession, path: str, schema: str, glob: str | None =
 def _replay_key(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """One key's requests of one micro-batch; the state is its expiry."""
+    """One key's requests of one micro-batch; the state is its expiry, dropped once no request can meet it.
+
+    Of the rows three numbers each are held, and results leave in pieces.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     expiry = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["at_us", "row_id"])
-    at, ttl = rows["at_us"].to_numpy(np.int64), rows["ttl_us"].to_numpy(np.int64)
+    parts = [tuple(rows[c].to_numpy(np.int64) for c in ("row_id", "at_us", "ttl_us")) for rows in batches]
+    row_id, at, ttl = (np.concatenate(column) for column in zip(*parts))
+    del parts
+    order = np.lexsort((row_id, at))
+    row_id, at, ttl = row_id[order], at[order], ttl[order]
     hit, expires, expiry = replay_sorted(at, ttl, expiry)
-    state.update((expiry,))
-    yield pd.DataFrame(
-        {"row_id": rows["row_id"], "key": key[0], "at_us": at, "hit": hit, "expires_us": expires}
-    )
-
-
-def ttl_replay_stream(log: DataFrame) -> DataFrame:
+    until = -(-expiry // 1000)
+    if until <= state.getCurrentWatermarkMs():
+        state.remove()
+    else:
+        state.update((expiry,))
+        if expiry < NEVER:
+            state.setTimeoutTimestamp(until)
+    for start in range(0, len(at), OUT_ROWS):
+        piece = slice(start, start + OUT_ROWS)
+        yield pd.DataFrame({"row_id": row_id[piece], "key": key[0], "at_us": at[piece], "hit": hit[piece], "expires_us": expires[piece]})
+
+
+def ttl_replay_stream(log: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Streaming replay of ``log(row_id, key, at_us, ttl_us)``.
 
-    State is one long per key.  Batches must arrive in time order for the result
-    to equal the batch replay; a batch bounds the rows of a key held by a task.
+    State is one long per key that can still serve: an event-time timer drops it when the watermark,
+    ``delay`` behind the newest request, has passed its expiry.  Requests that come later than the
+    watermark are dropped.  Batches must arrive in time order, but for ``delay``, for the result to
+    equal the batch replay; a batch bounds the rows of a key held by a task (24 bytes each).
     """
     prepared = log.select(
         "row_id", "key", F.col("at_us").cast("long"),
         F.coalesce(F.col("ttl_us").cast("long"), F.lit(NEVER)).alias("ttl_us"),
-    )
+        F.timestamp_micros(F.col("at_us").cast("long")).alias("event_time"),
+    ).withWatermark("event_time", delay)
     return prepared.groupBy("key").applyInPandasWithState(
         _replay_key,
         "row_id long, key string, at_us long, hit boolean, expires_us long",
         "expiry long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -98,19 +117,21 @@ def ttl_replay_batches(
     )
 
 
-def counters_stream(decisions: DataFrame, ts: str = "ts", window: str = "1 minute") -> DataFrame:
+def counters_stream(decisions: DataFrame, ts: str = "ts", window: str = "1 minute", delay: str = WATERMARK) -> DataFrame:
     """Requests per event-time window and source."""
     return (
-        decisions.withWatermark(ts, WATERMARK)
+        decisions.withWatermark(ts, delay)
         .groupBy(F.window(ts, window).alias("w"), "source").agg(F.count("*").alias("n"))
         .select(epoch_us(F.col("w.start")).alias("window_us"), "source", "n")
     )
 
 
-def rate_stream(calls: DataFrame, ts: str = "ts", span: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+def rate_stream(
+    calls: DataFrame, ts: str = "ts", span: str = "60 seconds", slide: str = "10 seconds", delay: str = WATERMARK
+) -> DataFrame:
     """Upstream calls per sliding window, a coarser view of the trailing rate."""
     return (
-        calls.withWatermark(ts, WATERMARK)
+        calls.withWatermark(ts, delay)
         .groupBy(F.window(ts, span, slide).alias("w")).agg(F.count("*").alias("calls"))
         .select(epoch_us(F.col("w.start")).alias("window_us"), "calls")
     )
