@@ -25,6 +25,86 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Every bit of a 64-bit number spread over all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Which bytes separate words, and a number for every byte.
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of texts that are hashed together, and of a piece of a longer one.
+TOGETHER, PIECE = 300_000, 4_000_000
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if size not in _POWERS:
+        _POWERS.clear()
+        _POWERS[size] = np.cumprod(np.full(size, STEP)), np.cumprod(np.full(size, _UNSTEP))
+    return _POWERS[size]
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial of ``values``, and the factors that take out where a part starts."""
+    power, back = _powers(1 << max(18, len(values).bit_length()))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return sums, back
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts end to end, and the number of words of each text."""
+    raw = np.frombuffer(b"".join(t + b" " for t in texts).lower(), np.uint8)
+    space = np.r_[True, _SPACE[raw]]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, stop = edge[::2], edge[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    sums, back = prefix_sums(_BYTE[raw])
+    return mixed((sums[stop] - sums[start]) * back[start]), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    start = 0
+    while start < len(data):
+        end = start + PIECE
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        yield data[start:end]
+        start = end
+
+
+def hashed_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words: short texts are hashed together, long ones piece by piece."""
+    held: list[bytes] = []
+    size = 0
+
+    def out():
+        h, lengths = word_hashes(held)
+        yield from np.split(h, np.cumsum(lengths)[:-1])
+
+    for text in column:
+        data = encoded(text.as_py())
+        if held and size + len(data) > TOGETHER:
+            yield from out()
+            held, size = [], 0
+        if len(data) > PIECE:
+            yield np.concatenate([word_hashes([piece])[0] for piece in _pieces(data)])
+        else:
+            held.append(data)
+            size += len(data)
+    if held:
+        yield from out()
+
+
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """``df`` (written before) with a broadcast hint if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

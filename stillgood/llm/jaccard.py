@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import broadcast_if_small, components, words
+from .common import STEP, broadcast_if_small, components, hashed_words, mixed
 
 #: Shingles that get a frequency rank, and how often a task must see one to name it. Ranks only
 #: order prefixes; any order gives the same links.
@@ -31,36 +31,20 @@ FEW, TILE, COLUMNS = 16, 512, 2_048
 SMALL_IDS = 500_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingles(text: str | None, n: int, hashes: _Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``n``-word shingles, or of the whole shorter sequence."""
-    found = words(text)
-    if not found:
+def shingles(h: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``n``-word shingles of hashed words, or of the whole shorter sequence."""
+    if not len(h):
         return np.zeros(0, np.int64)
-    h = np.array([hashes[w] for w in found], np.uint64)
     size = min(n, len(h))
     total = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i]
-    return np.unique(_mixed(total).view(np.int64))
+        total = total * STEP + h[i : len(h) - size + 1 + i]
+    return np.unique(mixed(total).view(np.int64))
 
 
 def _frequent(n: int):
     def run(batches):
-        hashes, parts, held = _Hashes(), [], 0
+        parts, held = [], 0
 
         def out():
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -68,8 +52,8 @@ def _frequent(n: int):
             yield pa.record_batch({"shingle": pa.array(values[often]), "n": pa.array(counts[often].astype(np.int64))})
 
         for batch in batches:
-            for text in batch.column("text"):
-                parts.append(shingles(text.as_py(), n, hashes))
+            for h in hashed_words(batch.column("text")):
+                parts.append(shingles(h, n))
                 held += len(parts[-1])
                 if held > FLUSH_SHINGLES:
                     yield from out()
@@ -84,11 +68,10 @@ def _signed(n: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
     """Size, digest and prefix of every text's set."""
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
             sizes, digests, prefixes = [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), n, hashes)
+            for h in hashed_words(batch.column("text")):
+                s = shingles(h, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 often = np.zeros(len(s), np.int64)
@@ -104,11 +87,10 @@ def _signed(n: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
 
 def _sets(n: int):
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                yield pa.record_batch({"id": part.column("id"), "shingles": pa.array([shingles(t.as_py(), n, hashes) for t in part.column("text")], pa.list_(pa.int64()))})
+                yield pa.record_batch({"id": part.column("id"), "shingles": pa.array([shingles(h, n) for h in hashed_words(part.column("text"))], pa.list_(pa.int64()))})
 
     return run
 

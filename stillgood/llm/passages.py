@@ -14,7 +14,6 @@ tile by tile, and only links that connect leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,46 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import SPACES, broadcast_if_small, components
-from .jaccard import _mixed
+from .common import STEP, TOGETHER, broadcast_if_small, components, encoded, mixed, prefix_sums, word_hashes
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
 PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
 #: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
-#: may be broadcast; bytes of short texts that are laid end to end.
-TILE, COLUMNS, SMALL_IDS, TOGETHER = 256, 2_048, 20_000, 300_000
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-#: Which bytes separate words, and a number for every byte.
-_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-@lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(size, _STEP)), np.cumprod(np.full(size, _UNSTEP))
-
-
-def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial of ``values``, and the factors that take out where a part starts."""
-    power, back = _powers(1 << max(18, len(values).bit_length()))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return sums, back
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts end to end, and the number of words of each text."""
-    raw = np.frombuffer(b"".join(t + b" " for t in texts).lower(), np.uint8)
-    space = np.r_[True, _SPACE[raw]]
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    start, stop = edge[::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    sums, back = prefix_sums(_BYTE[raw])
-    return _mixed((sums[stop] - sums[start]) * back[start]), np.diff(np.searchsorted(start, ends), prepend=0)
-
+#: may be broadcast.
+TILE, COLUMNS, SMALL_IDS = 256, 2_048, 20_000
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the ``n``-word shingles in the order of the words; none below ``n`` words."""
@@ -69,13 +35,9 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
-        total *= _STEP
+        total *= STEP
         total += h[i : len(h) - n + 1 + i]
-    return _mixed(total)
-
-
-def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+    return mixed(total)
 
 
 def sequence(text: str | None, n: int) -> np.ndarray:
@@ -93,7 +55,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 def passage_digests(sums: np.ndarray, back: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of the shingles from ``start`` to ``stop``, wherever in a text they are."""
-    return _mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+    return mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
 def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -109,7 +71,7 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
     begin = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = first[text] + begin
     sums, back = prefix_sums(s)
-    single = passage_digests(sums, back, at, at + width) ^ _mixed(text.astype(np.uint64))
+    single = passage_digests(sums, back, at, at + width) ^ mixed(text.astype(np.uint64))
     new = begin == 0
     ordered = np.sort(single)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -117,7 +79,7 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
         split = np.zeros(len(lengths), bool)
         split[text[twice[np.searchsorted(twice, single).clip(max=len(twice) - 1)] == single]] = True
         new |= split[text]
-    seeds = _mixed(np.arange(1, 4 * bands + 1, dtype=np.uint64)).reshape(bands, 2, 2)
+    seeds = mixed(np.arange(1, 4 * bands + 1, dtype=np.uint64)).reshape(bands, 2, 2)
     for band in range(bands):
         # the upper halves of two permutations of the shingles
         one, two = (window_minima((((s ^ low) * (odd | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), width)[at] for low, odd in seeds[band])
@@ -126,7 +88,7 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
         start = np.flatnonzero(fresh)
         count = np.diff(np.r_[start, len(at)])
         both = one[start].astype(np.uint64) << np.uint64(32) | two[start]
-        key = _mixed(both ^ seeds[band, 0, 0]) & ~np.uint64(1) | np.uint64(band == 0)
+        key = mixed(both ^ seeds[band, 0, 0]) & ~np.uint64(1) | np.uint64(band == 0)
         digest = passage_digests(sums, back, at[start], at[start] + count + width - 1)
         yield key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)
 
