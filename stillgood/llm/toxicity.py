@@ -23,8 +23,8 @@ from .common import broadcast_if_small
 TOKEN = re.compile(r"\w+")
 #: A class's beginnings of words that may be in the lexicon, besides whole words.
 STEMS = (5, 4)
-#: Bounds of the fit: lexicon entries, documents of the sample (half of each class).
-LEXICON, SAMPLE_DOCS = 20_000, 600
+#: Bounds of the fit: lexicon entries, documents and characters of the sample (half of each class).
+LEXICON, SAMPLE_DOCS, SAMPLE_CHARS = 20_000, 600, 20_000_000
 #: Features that a counting task holds before it passes them on.
 FLUSH_FEATURES = 400_000
 
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     row of them counts, copies too. A lexicon feature is in ``min_count``
     toxic documents and a ``min_share`` of them, at log odds of ``min_odds`` or more; the first
     ``LEXICON`` of these are taken. The sample has the first ``SAMPLE_DOCS`` / 2 documents of each
-    class by hash, among those with a word, whole and of any length. Null ids, null labels and
+    class by hash, among those with a word, whole and of any length, up to ``SAMPLE_CHARS`` together. Null ids, null labels and
     labels without a document teach nothing; of several labels of an id the highest counts; without
     both classes every text scores low.
     """
@@ -248,13 +248,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .where(F.col("toxic") >= max(min_count, min_share * n_toxic)).select("feature", F.round(odds, 6).alias("odds")).where(F.col("odds") >= min_odds)
         .orderBy(F.desc("odds"), "feature").limit(LEXICON).collect()
     )
+    return _train(Field({r.feature: r.odds for r in lexicon}), _sample(rows), n_toxic / (n_toxic + n_clean))
+
+
+def _sample(rows: DataFrame) -> list[tuple[str, int]]:
+    """Whole texts of the first documents of each class by hash, ``SAMPLE_CHARS`` or one document at most.
+
+    Ids and lengths are chosen first; only the texts of those chosen go to the driver.
+    """
     worded = rows.where(F.col("text").rlike(r"(?U)\w"))
-    order = F.xxhash64(F.col("id").cast("string"))
-    sample = [
-        (r.text or "", mark) for mark in (0, 1)
-        for r in worded.where(F.col("toxic") == mark).orderBy(order, "id").select("text").limit(SAMPLE_DOCS // 2).collect()
-    ]
-    return _train(Field({r.feature: r.odds for r in lexicon}), sample, n_toxic / (n_toxic + n_clean))
+    order, chosen = F.xxhash64(F.col("id").cast("string")), []
+    for mark in (0, 1):
+        first = worded.where(F.col("toxic") == mark).select("id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "id").limit(SAMPLE_DOCS // 2).collect()
+        total = np.cumsum([r["n"] for r in first])
+        chosen += [(r["id"], place) for place, (r, t) in enumerate(zip(first, total)) if not place or t <= SAMPLE_CHARS // 2]
+    ids = dict(chosen)
+    kind = rows.schema["id"].dataType.simpleString()
+    texts = worded.join(F.broadcast(rows.sparkSession.createDataFrame(list(ids.items()), f"id {kind}, place int")), "id")
+    texts = texts.groupBy("id", "toxic", "place").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["toxic"]) for r in sorted(texts, key=lambda r: (r["toxic"], r["place"]))]
 
 
 def score(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "text", min_marginal: float = 0.5) -> DataFrame:
