@@ -43,22 +43,30 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _frequent(n: int):
+    """Shingles that a task sees often, with their counts; one buffer holds what it saw since it last told."""
+
     def run(batches):
-        parts, held = [], 0
+        seen, held = np.empty(FLUSH_SHINGLES, np.int64), 0
 
         def out():
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            often = counts >= SEEN_OFTEN
-            yield pa.record_batch({"shingle": pa.array(values[often]), "n": pa.array(counts[often].astype(np.int64))})
+            found = seen[:held]
+            found.sort()
+            again = found[1:][found[1:] == found[:-1]]
+            values, counts = np.unique(again, return_counts=True)
+            often = counts + 1 >= SEEN_OFTEN
+            yield pa.record_batch({"shingle": pa.array(values[often]), "n": pa.array(counts[often].astype(np.int64) + 1)})
 
         for batch in batches:
             for h in hashed_words(batch.column("text")):
-                parts.append(shingles(h, n))
-                held += len(parts[-1])
-                if held > FLUSH_SHINGLES:
-                    yield from out()
-                    parts, held = [], 0
-        if parts:
+                found = shingles(h, n)
+                for start in range(0, len(found), FLUSH_SHINGLES):
+                    part = found[start : start + FLUSH_SHINGLES]
+                    if held + len(part) > FLUSH_SHINGLES:
+                        yield from out()
+                        held = 0
+                    seen[held : held + len(part)] = part
+                    held += len(part)
+        if held:
             yield from out()
 
     return run
