@@ -92,3 +92,13 @@ def test_memo_scores_each_distinct_input_once(spark):
     got = {r.id: r.score for r in memo.memo_score(df, ["t"], lambda c: slow(c)).collect()}
     assert got == {**{i: 4 for i in range(50)}, 50: 5, 51: None}
     assert calls.value == 3
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 3])
+def test_requests_without_a_key_miss(spark, bound):
+    """Whatever the size of other keys, a null key meets no write, not even one without a key."""
+    writes = spark.createDataFrame([(None, 0, None, "lost", "Static", 1), ("k", 0, None, "kept", "Static", 2)],
+                                   "entry_key string, cached_us long, expires_us long, answer string, category string, seq long")
+    asked = spark.createDataFrame([(i, None if i % 2 else "k", 10 + i) for i in range(12)], "req_id long, entry_key string, at_us long")
+    got = {r.req_id: (r.hit, r.answer) for r in lookup.asof_lookup(asked, writes, max_group_rows=bound).collect()}
+    assert got == {i: (False, None) if i % 2 else (True, "kept") for i in range(12)}
