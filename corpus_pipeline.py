@@ -21,11 +21,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind; ``n_chars`` follows a changed text."""
+    """Personal data gives way to the name of its kind; ``n_chars``, if there is one, follows a changed text.
+
+    Null texts and texts without personal data stay as they are; every row stays, repeated ones too.
+    """
     found = pii.find(docs, keep=True)
     text = pii.redact(F.col("row.text"), F.col("spans"))
-    n_chars = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
-    changed = {"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
+        changed["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
     return found.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
