@@ -233,4 +233,5 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     left = docs.join(gone, doc_id, "left_anti")
     first = F.row_number().over(W.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
     row = left.join(several, doc_id, "left_semi").select(F.struct("*").alias("row"), first.alias("first")).where("first = 1").select("row.*")
-    return left.join(several, doc_id, "left_anti").select(docs.columns).unionByName(row.select(docs.columns))
+    columns = [f"`{c}`" for c in docs.columns]
+    return left.join(several, doc_id, "left_anti").select(columns).unionByName(row.select(columns))

@@ -2,12 +2,13 @@
 
 Everything is a column expression over the text; the trees are Spark's. A loose pattern proposes
 spans, the exact detectors label those they confirm, and the trees learn from format and context
-which of the others look the same. The threshold is the lowest at which the calibration half
-keeps the target precision.
+which of the others look the same. The threshold is the lowest at which all candidates of the
+half that was not learnt from keep the target precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -35,28 +36,57 @@ LOOSE = r"(?:\G|(?<![^\s<>,;]))[^\s<>,;@]++@[^\s<>,;]+|\+?[0-9](?:[\x20().-]{0,2
 CONTEXT = {"says_mail": "mail|contact|write", "says_phone": "phone|tel|call|fax", "says_card": "card|visa|iban|account", "says_ip": "ip|host|server|address"}
 FORMAT = ("size", "digits", "dots", "dashes", "blanks", "plus", "at", "joined_before", "joined_after")
 FEATURES = (*FORMAT, *CONTEXT)
-#: Bound of the candidates that the trees learn from and are calibrated on.
+#: Bound of the candidates that the trees learn from.
 SAMPLE = 20_000
+#: Steps of the threshold.
+STEPS = 10_000
+#: Matches whose positions are added up together.
+BLOCK = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """The array cut into runs of ``BLOCK``; one empty run if it is empty."""
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")))
+    return F.transform(at, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(steps: Column, zero: Column, add: Callable[[Column, Column], Column], of: str) -> Column:
+    """What ``add`` makes of all steps before each one; the array grows once per step, so keep it short."""
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{of}>").alias("out"))
+    grow = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(steps, start, grow, lambda s: s["out"])
 
 
 def _spans(text: Column, pattern: str) -> Column:
     """Matches as array of (start, end, value, before, after), positions in code points, end exclusive.
 
-    Splitting at the matches gives what lies between them; running lengths are the positions.
+    Splitting at the matches gives what lies between them; running lengths are the positions. They
+    run within blocks, then over the blocks, so many matches of one text are not copied for each.
     """
-    rx = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, pattern, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
-    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    reach = lambda m: F.length(m["before"]) + F.length(m["value"])
+    total = lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + reach(m))
+
+    def placed(block: Column, offset: Column) -> Column:
+        def one(m: Column, at: Column) -> Column:
+            start = offset + at + F.length(m["before"])
+            return F.struct(
+                start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"),
+                F.lower(F.right(m["before"], F.lit(16))).alias("before"), F.left(m["after"], F.lit(1)).alias("after"))
+
+        return _let(_running(block, F.lit(0), lambda n, m: n + reach(m), "int"), lambda ats: F.zip_with(block, ats, one))
 
-    def add(state: Column, m: Column) -> Column:
-        begin = state["at"] + F.length(m["before"])
-        end = begin + F.length(m["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), F.lower(F.right(m["before"], F.lit(16))).alias("before"), F.left(m["after"], F.lit(1)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def whole(blocks: Column) -> Column:
+        offsets = _running(F.transform(blocks, total), F.lit(0), lambda n, size: n + size, "int")
+        return F.flatten(F.zip_with(blocks, offsets, placed))
 
-    return F.aggregate(zipped, start, add, lambda s: s["out"])
+    return _let(zipped, lambda z: _let(_blocks(z), whole))
 
 
 def _digits(value: Column) -> Column:
@@ -111,22 +141,36 @@ def candidates(text: Column, exact: Column) -> Column:
     return F.when(tried, F.transform(_spans(text, LOOSE), one))
 
 
-def train(found: DataFrame, precision: float = 0.99, rounds: int = 10, depth: int = 3) -> tuple[GBTClassificationModel, float] | None:
-    """Trees on one half by hash of at most ``SAMPLE`` candidates, threshold on the other; None without both labels."""
-    columns = ["label", *FEATURES]
+def _step(probability: Column) -> Column:
+    return F.floor(vector_to_array(probability)[1] * STEPS)
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
+def train(found: DataFrame, precision: float = 0.99, rounds: int = 10, depth: int = 3) -> tuple[GBTClassificationModel, int] | None:
+    """Trees on at most ``SAMPLE`` candidates of one half by hash, threshold on all of the other half.
+
+    The threshold is the lowest step of 1 / ``STEPS`` from which on the other half keeps the precision;
+    above all steps if none does. None if the sample lacks a label. The sample is cut by hash before it is sorted.
+    """
     order = F.xxhash64("key", "c.start")
-    sample = written(found.select("key", F.explode("candidates").alias("c")).orderBy(order, "key", "c.start").limit(SAMPLE).select((order % 2 == 0).alias("fit"), "c.*").select("fit", *columns), "sample")
-    sizes = {(r.fit, r.label): r["count"] for r in sample.groupBy("fit", "label").count().collect()}
-    if not all(sizes.get((half, label)) for half in (True, False) for label in (0, 1)):
+    rows = found.select("key", F.explode("candidates").alias("c")).select(order.alias("order"), "key", "c.*")
+    mine = rows.where("order % 2 = 0")
+    share = min(1.0, 2.0 * SAMPLE / max(1, mine.count()))
+    drawn = mine.where(F.pmod("order", F.lit(1 << 40)) <= share * (1 << 40)).orderBy("order", "key", "start").limit(SAMPLE)
+    sample = written(drawn.select(F.col("label").cast("double").alias("label"), *FEATURES), "sample")
+    if sample.select("label").distinct().count() < 2:
         return None
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.withColumn("label", F.col("label").cast("double")))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7).fit(rows.where("fit").coalesce(1))
-    marks = model.transform(rows.where("NOT fit")).select(vector_to_array("probability")[1].alias("p"), "label").orderBy(F.desc("p")).collect()
-    best, right = 1.1, 0.0
-    for i, r in enumerate(marks, 1):
-        right += r.label
-        if right >= precision * i and (i == len(marks) or marks[i].p < r.p):
-            best = r.p
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7).fit(_assembled(sample).coalesce(1))
+    scored = model.transform(_assembled(rows.where("order % 2 <> 0")))
+    curve = scored.groupBy(_step(F.col("probability")).alias("step")).agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()
+    best, n, right = STEPS + 1, 0, 0
+    for mark in sorted(curve, key=lambda r: -r.step):
+        n, right = n + mark.n, right + mark.right
+        if right >= precision * n:
+            best = mark.step
     return model, best
 
 
@@ -149,9 +193,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool
         return found.withColumn("spans", F.col("exact")).drop("key", "candidates")
     model, threshold = trained
     open_ones = found.select("key", F.explode("candidates").alias("c")).where("c.label = 0").select("key", "c.*")
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(open_ones))
+    scored = model.transform(_assembled(open_ones))
     added = written(
-        scored.where(vector_to_array("probability")[1] >= threshold).groupBy("key")
+        scored.where(_step(F.col("probability")) >= threshold).groupBy("key")
         .agg(F.collect_list(F.struct("kind", "start", "end").cast(span)).alias("added")), "added")
     together = F.concat("exact", F.coalesce("added", F.array().cast(f"array<{span}>")))
     by_kind = reduce(F.concat, (F.array_sort(of_kind(together, k), lambda a, b: a["start"] - b["start"]) for k in KINDS))
@@ -168,13 +212,28 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """Text with every span (overlapping ones together) replaced by the name of its kind in brackets."""
+    """Text with every span (overlapping ones together) replaced by the name of its kind in brackets.
+
+    Null texts stay null; a text without spans stays as it is. The text is cut into blocks of spans first,
+    so that finding a span's place does not mean walking a long text from its beginning.
+    """
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    last = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
+
+    def masked(block: Column, begin: Column) -> Column:
+        """From where the blocks before end (``begin``) to where this one ends."""
+        here = F.substring(text, begin + 1, F.greatest(begin, last(block)) - begin)
+
+        def piece(part: Column, s: Column, at: Column) -> Column:
+            between = F.substring(part, at - begin + 1, s["start"] - at)
+            return F.when(s["start"] >= at, F.concat(between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        before = _running(block, begin, lambda at, s: F.greatest(at, s["end"]), "int")
+        return _let(here, lambda part: _let(before, lambda ats: F.array_join(F.zip_with(block, ats, lambda s, at: piece(part, s, at)), "")))
 
-    def cut(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def whole(blocks: Column) -> Column:
+        begins = _running(F.transform(blocks, last), F.lit(0), lambda at, end: F.greatest(at, end), "int")
+        rest = F.substring(text, F.array_max(F.transform(blocks, last)) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(blocks, begins, masked), ""), rest)
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(ordered, lambda o: _let(_blocks(o), whole))).otherwise(text)

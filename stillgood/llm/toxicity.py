@@ -293,14 +293,20 @@ def score(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "te
 
 
 def without_toxic(docs: DataFrame, model: Field, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    """Rows of ``docs``, all columns as they are, whose text scores below ``threshold``.
+
+    Null and empty texts score as texts without toxic words; each repeated row is judged for itself;
+    columns may have any name (they are numbered on the way through Python).
+    """
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             keep = []
-            for value in batch.column(text):
+            for value in batch.column(at):
                 n, hits = model.hits(value.as_py() or "")
                 keep.append(model.score(model.marginals(n, hits)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

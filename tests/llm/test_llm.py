@@ -161,6 +161,45 @@ def test_pii(spark, odd_docs, no_docs):
     assert masked == "mail me: [EMAIL] or [PHONE], [CARD]"
 
 
+def plain_redact(text, spans):
+    out, at = "", 0
+    for kind, start, end in sorted((tuple(s) for s in spans), key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("n", [0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 2 * pii.BLOCK, 5 * pii.BLOCK + 7])
+def test_many_spans_of_one_text(spark, n):
+    text = " \U0001f600 ".join(f"u{i}@mail.org {'+49 30 12345' + str(i % 90 + 10) if i % 3 else '10.0.0.1'}" for i in range(n)) + " end"
+    row = spark.createDataFrame([(text,)], "text string").select("text", F.concat(*(pii.exact_spans(F.col("text"), k) for k in pii.KINDS)).alias("spans")).select("spans", pii.redact(F.col("text"), F.col("spans")).alias("out")).first()
+    assert [tuple(s) for s in row.spans] == plain_pii(text) and row.out == plain_redact(text, row.spans)
+
+
+def test_overlapping_spans_are_masked_together(spark):
+    rng = np.random.default_rng(3)
+    text = "".join(chr(97 + i % 26) for i in range(4000))
+    starts = rng.integers(0, 3900, 600)
+    spans = [("email", int(s), int(s + e)) for s, e in zip(starts, np.where(rng.random(600) < 0.02, 90, rng.integers(1, 9, 600)))]
+    docs = spark.createDataFrame([(text, spans), (None, []), ("", [])], "text string, spans array<struct<kind:string,start:int,end:int>>")
+    out = [r[0] for r in docs.select(pii.redact(F.col("text"), F.col("spans"))).collect()]
+    assert out == [plain_redact(text, spans), None, ""]
+
+
+def test_threshold_covers_all_held_out_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 40)
+    text = " ".join(f"phone +49 30 123{i:04d} and {1000000 + 7 * i}" for i in range(400))
+    docs = spark.createDataFrame([(text,)], "text string").withColumn("exact", pii.exact_spans(F.col("text"), "phone"))
+    found = docs.select(F.lit(1).alias("key"), pii.candidates(F.col("text"), F.col("exact")).alias("candidates"))
+    model, step = pii.train(found)
+    held = model.transform(pii._assembled(found.select(F.explode("candidates").alias("c")).select(F.xxhash64(F.lit(1), "c.start").alias("order"), "c.*").where("order % 2 <> 0")))
+    rows = held.select(pii._step(F.col("probability")).alias("step"), "label").collect()
+    good = [t for t in {r.step for r in rows} if np.mean([r.label for r in rows if r.step >= t]) >= 0.99]
+    assert len(rows) > 300 and step == min(good, default=pii.STEPS + 1)
+    assert pii.train(found.limit(0)) is None
+
+
 def tokenizer():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -345,6 +384,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in kept["encode"]) == Counter((r["doc_id"], np.array(plain.encode_ordinary(r["text"] or ""), "<u4").tobytes()) for r in kept["mix"])
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, odd_docs, no_docs, tmp_path, empty):
+    """Long texts, nulls, repeats, clashing and dotted names, no ``n_chars``, no labels, no rows."""
+    docs = (no_docs if empty else odd_docs).drop("n_chars").withColumn("a.b", F.lit(1)).withColumn("c d", F.col("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        before, now = now, spark.read.parquet(f"{tmp_path}/{name}")
+        sizes[name] = now.count()
+        assert name == "encode" or now.columns == before.columns
+    assert sizes["toxicity"] == docs.count() and sizes["personal_data"] == sizes["near_copies"]
+    assert (sizes["encode"] == sizes["mix"] == 0) if empty else (sizes["encode"] == sizes["mix"] > 0)
+
+
 def plain_passages(rows, passage, n, percent):
     """Word-for-word ranges and links by comparing every passage with every other one."""
     width, texts = passage - n + 1, [(i, words(t)) for i, t in rows if i is not None]
