@@ -8,7 +8,8 @@ with similarity rounded to six decimals and ties broken by entry key:
 * ``cells``: entries are grouped around pivots, and a request visits a cell only
   if the triangle inequality lets it hold a closer entry than the k found so
   far.  Exact at any size.
-* ``probes``: the same cells, but only the ``nprobe`` nearest; approximate.
+* ``probes``: the same cells, but only the ``nprobe`` nearest; approximate.  With ``target_recall``
+  the depth is the smallest at which measured requests find that share of their exact neighbours.
 
 Pairs never leave a task: a tile of entries meets a tile of requests as one
 matrix product and only the k best per request come out.
@@ -16,12 +17,12 @@ matrix product and only the k best per request come out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCALE, list_matrix, unit_rows
@@ -31,6 +32,7 @@ from .ranking import topk
 BLOCK = 512            # request rows per matrix product
 SLACK = 2.0 / SCALE    # similarity slack that keeps pruning safe under rounding
 EMPTY = -(1 << 62)       # marks a position that must not be picked
+FEW = 30               # fewer measured requests than this say too little: all are measured
 
 
 def _key_array(values) -> np.ndarray:
@@ -135,12 +137,18 @@ def knn_join(
     max_broadcast_bytes: int = 64 << 20,
     tile_rows: int = 8192,
     max_pivots: int = 1024,
+    target_recall: float | None = None,
+    measured: Column | None = None,
 ) -> DataFrame:
     """Top ``min(k, entries)`` entries per request.
 
     ``requests(req_id, embedding[, skip_key])``, ``entries(entry_key, embedding)``.
     ``skip_key`` names one entry a request must not be matched with, which makes
     leave-one-out evaluation of a table against itself possible.
+
+    ``target_recall`` with ``method="probes"`` replaces ``nprobe`` by the depth that ``probe_depth``
+    finds on the requests for which ``measured`` holds (by default one in a hundred by hash); all
+    neighbours (1.0) take the exact search, since a sample cannot promise them.
     """
     req, ent = _requests(requests), _entries(entries)
     if method in ("auto", "broadcast"):
@@ -155,7 +163,24 @@ def knn_join(
     # (one may be skipped) stand for the whole group.
     ent = topk(ent, ["embedding"], [F.col("entry_key")], k + 1).drop("rank")
     cells = _Cells(req, ent, k, tile_rows, max_pivots)
-    return cells.nearest(nprobe) if method == "probes" else cells.exact()
+    if method != "probes" or (target_recall or 0) >= 1:
+        return cells.exact()
+    return cells.nearest(nprobe if target_recall is None else cells.depth(target_recall, measured))
+
+
+def probe_depth(behind: Mapping[int, int], requests: int, target: float) -> int:
+    """Smallest number of cells that holds the share ``target`` of the measured neighbours.
+
+    ``behind`` counts neighbours by how many nearer cells a request visits before theirs.  A share must
+    exceed the target by 1.64 standard errors of ``requests`` independent ones, or be whole.
+    """
+    total, found = sum(behind.values()), 0
+    for before in sorted(behind):
+        found += behind[before]
+        share = found / total
+        if found == total or share - 1.64 * sqrt(share * (1 - share) / max(1, requests)) >= target:
+            return before + 1
+    return 1
 
 
 def nearest_one(requests: DataFrame, entries: DataFrame, floor: float = 0.75, **options) -> DataFrame:
@@ -359,11 +384,49 @@ class _Cells:
             return self._nothing()
         return _ranked(self._match(self._probe(self.req, self._home(nprobe))), self.k)
 
-    def exact(self) -> DataFrame:
+    def depth(self, target: float, measured: Column | None = None) -> int:
+        """Cells to visit so that the measured requests find ``target`` of their exact neighbours.
+
+        A visited cell yields every true neighbour it holds, so one exact search gives the recall of
+        every depth at once: count the neighbours by the place of their cell in the request's order.
+        """
+        if not self.stats:
+            return 1
+        one_in_hundred = F.pmod(F.xxhash64("req_id"), F.lit(100)) == 0
+        chosen = written(self.req.where(one_in_hundred if measured is None else measured), "measured")
+        requests = chosen.count()
+        if requests < FEW:
+            chosen = self.req
+            requests = chosen.count()
+        true = self.exact(chosen).select("req_id", "entry_key")
+        homes = true.join(self.assigned.select("entry_key", "cell"), "entry_key").groupBy("req_id").agg(F.collect_list("cell").alias("homes"))
+        pivots, stats = self.pivots, self.stats
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = np.array(sorted(stats), dtype=np.int64)
+            for batch in batches:
+                for start in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(start, BLOCK)
+                    vectors = unit_rows(list_matrix(part.column("embedding")))
+                    angle = np.arccos(np.clip(vectors @ pivots.value[cells].T, -1, 1))
+                    order = np.argsort(angle, axis=1, kind="stable")
+                    place = np.empty_like(order)
+                    np.put_along_axis(place, order, np.arange(len(cells))[None, :], axis=1)
+                    held = part.column("homes")
+                    rows = np.repeat(np.arange(part.num_rows), held.value_lengths().to_numpy(zero_copy_only=False))
+                    columns = np.searchsorted(cells, held.flatten().to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([pa.array(place[rows, columns], pa.int64())], ["before"])
+
+        asked = chosen.join(homes, "req_id").select("embedding", "homes")
+        counted = asked.mapInArrow(places, "before long").groupBy("before").count().collect()
+        return probe_depth({r["before"]: r["count"] for r in counted}, requests, target)
+
+    def exact(self, requests: DataFrame | None = None) -> DataFrame:
         if not self.stats:
             return self._nothing()
+        req = self.req if requests is None else requests
         home = self._home(1)
-        first = written(_ranked(self._match(self._probe(self.req, home)), self.k), "home-cells")
+        first = written(_ranked(self._match(self._probe(req, home)), self.k), "home-cells")
         bound = first.groupBy("req_id").agg(
             F.when(F.count("*") >= self.k, F.min("similarity")).alias("bound")
         )
@@ -377,7 +440,7 @@ class _Cells:
             reachable = np.cos(np.maximum(angle - radius, 0.0)) >= bounds[:, None] - SLACK
             return reachable & ~home(part, cells, angle)
 
-        second = self._match(self._probe(self.req.join(bound, "req_id", "left"), beyond))
+        second = self._match(self._probe(req.join(bound, "req_id", "left"), beyond))
         return _ranked(first.drop("rank").unionByName(second), self.k)
 
     def _nothing(self) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -144,6 +145,36 @@ def latency_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
+def latency_histogram(decisions: DataFrame, by: str = "source") -> DataFrame:
+    """``(by, latency_us, n)``: latencies cut to three significant digits of a microsecond count.
+
+    Histograms of batches merge by ``merge_histograms``; as a streaming aggregate the same frame
+    keeps at most 900 rows per power of ten and group.  Missing latencies do not count.
+    """
+    us = F.greatest(F.lit(0), F.round(F.col("latency") * 1_000_000).cast("long"))
+    unit = F.rpad(F.lit("1"), F.greatest(F.lit(1), F.length(us.cast("string")) - 2), "0").cast("long")
+    cut = (us - us % unit).alias("latency_us")
+    return decision_flags(decisions).where("latency IS NOT NULL").groupBy(by, cut).agg(F.count("*").alias("n"))
+
+
+def merge_histograms(histograms: DataFrame, by: str = "source") -> DataFrame:
+    return histograms.groupBy(by, "latency_us").agg(F.sum("n").alias("n"))
+
+
+def latency_percentiles(histogram: DataFrame, by: str = "source", points: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """Nearest-rank percentiles in milliseconds per group, at most 1 % below the exact ones.
+
+    The window sorts a group's histogram, never its decisions.
+    """
+    group = W.partitionBy(by)
+    ranked = histogram.withColumns({
+        "_upto": F.sum("n").over(group.orderBy("latency_us").rowsBetween(W.unboundedPreceding, 0)),
+        "_all": F.sum("n").over(group),
+    })
+    at = lambda p: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col("latency_us"))) / 1000.0
+    return ranked.groupBy(by).agg(F.sum("n").alias("n"), *[at(p).alias(f"p{p}_ms") for p in points])
+
+
 def source_breakdown(decisions: DataFrame, column: str = "source") -> DataFrame:
     return decisions.groupBy(column).agg(F.count("*").alias("n"))
 
@@ -330,6 +361,30 @@ def policy_ablation(scored: DataFrame, policies: Mapping[str, Column], wrong: Co
     )
 
 
+def threshold_sweep(scored: DataFrame, score: str, wrong: Column, steps: int = 100) -> DataFrame:
+    """Hits and false hits of serving at every score threshold 0, 1 / steps, ..., 1, in one pass.
+
+    Rows fold to one count per step before they are summed from the top, so nothing grows with the
+    number of thresholds times rows.  Scores count to six decimals; a missing score is never served.
+    """
+    reached = F.floor(F.round(F.col(score) * 1_000_000).cast("long") * steps / 1_000_000)
+    step = F.when(reached > steps, steps).otherwise(reached)
+    counted = scored.groupBy(step.alias("step")).agg(F.count("*").alias("n"), _count(wrong).alias("false"))
+    every = scored.sparkSession.range(steps + 1).select(F.col("id").alias("step"), F.lit(0).alias("n"), F.lit(0).alias("false"))
+    folded = counted.unionByName(every).groupBy("step").agg(F.sum("n").alias("n"), F.sum("false").alias("false"))
+    # one row per threshold, one for missing and those of negative scores: a small single partition
+    above = W.orderBy(F.desc_nulls_last("step")).rowsBetween(W.unboundedPreceding, 0)
+    summed = folded.select(
+        "step", F.sum("n").over(W.partitionBy()).alias("queries"),
+        F.sum("n").over(above).alias("hits"), F.sum("false").over(above).alias("false_hits"),
+    )
+    return summed.where("step >= 0").select(
+        (F.col("step") / steps).alias("threshold"), "queries", "hits", "false_hits",
+        F.round(_percent(F.col("hits"), F.col("queries")), 2).alias("hit_rate_percent"),
+        F.round(_percent(F.col("false_hits"), F.col("hits")), 2).alias("false_positive_percent"),
+    )
+
+
 def cost_summary(
     decisions: DataFrame,
     local_cost: float = 0.00004,

@@ -13,7 +13,7 @@ from ..functions.plugins import Plugins
 from ..operators import (
     admission, history, knn, lifetime, lookup, memo, metrics, ranking, replay, store,
 )
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import io
 from ..streaming import streams
 from . import fixtures as X
@@ -369,10 +369,28 @@ def knn_join_cells(spark, sf_dir):
     return _ranked(X.neighbours(spark, sf_dir, method="cells"))
 
 
+def _probed(spark, sf_dir):
+    measured = F.col("req_id") % 100 == 0
+    return X.neighbours(spark, sf_dir, method="probes", target_recall=0.9, measured=measured)
+
+
 @register
 def knn_join_approx(spark, sf_dir):
-    exact = X.neighbours(spark, sf_dir)
-    return knn.recall(X.neighbours(spark, sf_dir, method="probes", nprobe=4), exact)
+    """Per request: neighbours found, whether their similarities are the true ones, whether all of them reach a recall of 0.9."""
+    found = written(_probed(spark, sf_dir), "probed")
+    v = X.vectors(spark, sf_dir)
+    reached = knn.recall(found, X.neighbours(spark, sf_dir)).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    pairs = found.join(v.select("req_id", F.col("embedding").alias("a")), "req_id")
+    pairs = pairs.join(v.select("entry_key", F.col("embedding").alias("b")), "entry_key")
+    true = F.abs(vectors.cosine(F.col("a"), F.col("b")) - F.col("similarity")) <= 0.000001
+    rows = pairs.select("req_id", true.alias("ok")).groupBy("req_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("true_similarity"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(reached.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+@register
+def knn_recall(spark, sf_dir):
+    """Share of all exact neighbours that the probes found."""
+    return knn.recall(_probed(spark, sf_dir), X.neighbours(spark, sf_dir))
 
 
 @register
@@ -418,6 +436,7 @@ for _name, _fn in {
     "label_accuracy": metrics.label_accuracy,
     "category_breakdown": metrics.category_breakdown,
     "latency_summary": metrics.latency_summary,
+    "latency_percentiles": lambda d: metrics.latency_percentiles(metrics.latency_histogram(d)),
     "source_breakdown": metrics.source_breakdown,
     "admission_integrity": metrics.admission_integrity,
     "batch_throughput": metrics.batch_throughput,
@@ -483,6 +502,15 @@ def policy_ablation(spark, sf_dir):
     return metrics.policy_ablation(rows, policies, F.col("near_label") != F.col("label"))
 
 
+@register
+def threshold_sweep(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    near = X.neighbours(spark, sf_dir, k=1).select("req_id", F.col("entry_key").alias("near_key"), "similarity")
+    served = v.select(F.col("entry_key").alias("near_key"), F.col("label").alias("near_label"))
+    rows = v.select("req_id", "label").join(near, "req_id").join(served, "near_key")
+    return metrics.threshold_sweep(rows, "similarity", F.col("near_label") != F.col("label"))
+
+
 @register
 def baseline_policy(spark, sf_dir):
     """Flat one-day lifetime and flat cosine cut-off next to per-class lifetimes."""

@@ -294,6 +294,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, hit, CASE WHEN hit THEN answer END AS answer, CASE WHEN hit THEN category END AS category FROM f""",
     "knn_join": f"WITH {KNN} SELECT req_id, rank, entry_key, similarity FROM near",
     "knn_join_cells": f"WITH {KNN} SELECT req_id, rank, entry_key, similarity FROM near",
+    "knn_join_approx": """SELECT vec_id AS req_id, least(5, (SELECT count(*) FROM embeddings) - 1) AS n,
+        true AS true_similarity, true AS recall_reached FROM embeddings""",
     "nearest_one": f"WITH {KNN} SELECT req_id, entry_key, similarity FROM near WHERE rank = 1 AND similarity >= 0.35::DOUBLE",
     "memo_score_join": """SELECT doc_id, round(length(text) / (length(replace(text, ' ', '')) + 1)::DOUBLE, 6) AS score FROM documents""",
     "label_vs_prediction": """SELECT doc_id, quality::VARCHAR AS truth, CASE WHEN n_chars > 400 THEN '1' ELSE '0' END AS predicted,
@@ -328,6 +330,11 @@ ORACLES: dict[str, str] = {
     "latency_summary": f"""WITH {DEC}, a AS (SELECT coalesce(avg(latency) FILTER (hit), 0) AS h, coalesce(avg(latency) FILTER (api), 0) AS u FROM dec)
         SELECT round(h * 1000, 2) AS cache_hit_latency_ms, round(u * 1000, 2) AS gemini_latency_ms,
         CASE WHEN h > 0 THEN round(u / h, 1) END AS speedup_factor FROM a""",
+    "latency_percentiles": f"""WITH {DEC}, us AS (
+        SELECT source, greatest(0, round(latency * 1000000)::BIGINT) AS us FROM dec WHERE latency IS NOT NULL), cut AS (
+        SELECT source, us - us % (10 ** greatest(0, length(us::VARCHAR) - 3))::BIGINT AS us FROM us)
+        SELECT source, count(*) AS n, quantile_disc(us, 0.5) / 1000.0::DOUBLE AS p50_ms,
+        quantile_disc(us, 0.95) / 1000.0::DOUBLE AS p95_ms, quantile_disc(us, 0.99) / 1000.0::DOUBLE AS p99_ms FROM cut GROUP BY source""",
     "source_breakdown": f"WITH {DEC} SELECT source, count(*) AS n FROM dec GROUP BY source",
     "admission_integrity": f"""WITH {DEC} SELECT count(*) FILTER (admission = 'admitted') AS admitted,
         count(*) FILTER (admission = 'blocked') AS blocked, count(*) FILTER (admission IN ('admitted', 'blocked')) AS total,
@@ -370,6 +377,11 @@ ORACLES: dict[str, str] = {
         SELECT policy, count(*) AS queries, {HITS} AS hits, count(*) FILTER (hit AND wrong) AS false_hits,
         {percent(HITS, 'count(*)')} AS hit_rate_percent,
         coalesce({percent('count(*) FILTER (hit AND wrong)', f'nullif({HITS}, 0)')}, 0) AS false_positive_percent FROM p GROUP BY policy""",
+    "threshold_sweep": f"""WITH {KNN}, t AS (SELECT unnest(range(101)) AS i), s AS (
+        SELECT i, similarity >= i / 100.0::DOUBLE AS hit, entry_label <> label AS wrong FROM near, t WHERE rank = 1)
+        SELECT i / 100.0::DOUBLE AS threshold, count(*) AS queries, {HITS} AS hits, count(*) FILTER (hit AND wrong) AS false_hits,
+        {percent(HITS, 'count(*)')} AS hit_rate_percent,
+        coalesce({percent('count(*) FILTER (hit AND wrong)', f'nullif({HITS}, 0)')}, 0) AS false_positive_percent FROM s GROUP BY i""",
     "baseline_policy": f"""WITH RECURSIVE {EV}, storable AS (SELECT * FROM ev WHERE true_category <> 'Volatile'),
         {replayed('flat', 'ev', str(DAY))}, {replayed('tiered', 'storable', f'({lifetime("true_category")})::BIGINT * 1000000')}, {KNN}
         SELECT 'flat_24h' AS policy, count(*) FILTER (hit) AS hits FROM flat

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stillgood.operators.knn import knn_join, nearest_one
+from stillgood.operators.knn import knn_join, nearest_one, probe_depth
 
 
 def clustered(n, dims=8, seed=0):
@@ -77,3 +77,22 @@ def test_broadcast_refuses_what_does_not_fit(spark):
     req, ent = frames(spark, clustered(10), clustered(10))
     with pytest.raises(ValueError):
         knn_join(req, ent, 1, "broadcast", max_broadcast_bytes=64)
+
+
+def test_depth_is_the_first_that_holds_the_share():
+    assert probe_depth({0: 100}, 100, 0.9) == 1
+    assert probe_depth({0: 95, 1: 3, 2: 2}, 100, 0.9) == 1
+    assert probe_depth({0: 91, 1: 5, 2: 4}, 100, 0.9) == 2  # 0.91 is within the error of 0.9
+    assert probe_depth({0: 50, 7: 50}, 100, 0.9) == 8
+    assert probe_depth({}, 0, 0.9) == 1
+
+
+@pytest.mark.parametrize("target, every", [(0.9, 1), (0.9, 10), (0.9, 1000), (1.0, 10)])
+def test_recall_target_is_reached(spark, target, every):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(500, 12))  # no clusters: neighbours lie in many cells
+    req, ent = frames(spark, vectors, vectors, skip=True)
+    got = collected(knn_join(req, ent, 5, "probes", target_recall=target, measured=F.col("req_id") % every == 0))
+    want = brute(vectors, vectors, 5, skip=range(500))
+    found = sum(len({k for k, _ in got[i]} & {k for k, _ in want[i]}) for i in want)
+    assert found >= target * 5 * len(want)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,46 @@ def test_summary_document(spark):
 def test_cost(spark):
     row = metrics.cost_summary(recorded(spark)).first()
     assert (row.queries, row.upstream_calls, row.break_even_hit_rate_percent) == (200, 135, 0.4)
+
+
+def test_percentiles_merge_across_batches_and_streams(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice([*RECORDED, None]), rng.choice([None, 0.0, rng.random() ** 4 * 90])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "source string, latency double")
+    df.repartition(3).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    want = {}
+    for source, latency in rows:
+        if latency is not None:
+            want.setdefault(source or C.ERROR, []).append(latency)
+
+    def check(histogram):
+        got = {r.source: r for r in metrics.latency_percentiles(histogram).collect()}
+        assert got.keys() == want.keys()
+        for source, values in want.items():
+            values.sort()
+            assert got[source].n == len(values)
+            for p in (50, 95, 99):
+                exact = values[-(-p * len(values) // 100) - 1] * 1000
+                assert exact * 0.99 - 0.001 <= got[source][f"p{p}_ms"] <= exact + 0.001
+
+    check(metrics.latency_histogram(log))
+    halves = [metrics.latency_histogram(part) for part in log.randomSplit([0.3, 0.7], seed=1)]
+    check(metrics.merge_histograms(halves[0].unionByName(halves[1])))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    query = metrics.latency_histogram(stream).writeStream.outputMode("complete").format("memory").queryName("latencies").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    check(spark.table("latencies"))
+
+
+def test_threshold_sweep_against_every_threshold(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, -0.2, 0.0, 0.29, 0.57, 1.0, 1.3, round(rng.random(), 6)]), rng.choice([True, False, None])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "score double, wrong boolean")
+    got = {round(r.threshold * 20): r for r in metrics.threshold_sweep(df, "score", F.col("wrong"), 20).collect()}
+    assert sorted(got) == list(range(21))
+    for i, r in got.items():
+        hits = [w for s, w in rows if s is not None and s >= i / 20]
+        assert (r.queries, r.hits, r.false_hits) == (500, len(hits), sum(w is True for w in hits))
+    empty = metrics.threshold_sweep(df.limit(0), "score", F.col("wrong"), 4).collect()
+    assert [(r.queries, r.hits, r.hit_rate_percent) for r in empty] == [(0, 0, 0.0)] * 5
