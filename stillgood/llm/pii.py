@@ -68,8 +68,7 @@ def _spans(text: Column, pattern: str) -> Column:
     Splitting at the matches gives what lies between them; running lengths are the positions. They
     run within blocks, then over the blocks, so many matches of one text are not copied for each.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
+    matches = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
     reach = lambda m: F.length(m["before"]) + F.length(m["value"])
     total = lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + reach(m))
 
@@ -86,7 +85,12 @@ def _spans(text: Column, pattern: str) -> Column:
         offsets = _running(F.transform(blocks, total), F.lit(0), lambda n, size: n + size, "int")
         return F.flatten(F.zip_with(blocks, offsets, placed))
 
-    return _let(zipped, lambda z: _let(_blocks(z), whole))
+    def zipped(found: Column) -> Column:
+        parts = lambda gaps: F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.size(found)).alias("before"), F.slice(gaps, 2, F.size(found)).alias("after"))
+        return _let(_let(F.split(text, pattern, -1), parts), lambda z: _let(_blocks(z), whole))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda f: F.when(F.size(f) > 0, zipped(f)).otherwise(F.array().cast(matches)))
 
 
 def _digits(value: Column) -> Column:
