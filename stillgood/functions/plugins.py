@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .. import config as C
 
@@ -30,11 +31,21 @@ def batch_model(
     ``load`` runs once per Python worker and returns a function over parallel
     lists.  Rows with a NULL input never reach the model, which is how
     :func:`only_where` keeps costly stages off rows already decided.
-    ``on_error='null'`` turns a failing batch into NULLs.
+    ``on_error='null'`` turns a failing batch into NULLs.  A model of a
+    ``struct<...>`` type returns dicts (and needs a session when it is wrapped);
+    its rows without a result are structs of NULLs.
     """
     if on_error not in ("raise", "null"):
         raise ValueError("on_error must be 'raise' or 'null'")
 
+    struct = return_type.strip().lower().startswith("struct<")
+    fields = DataType.fromDDL(return_type).names if struct else []
+
+    def column(out: list) -> pd.Series | pd.DataFrame:
+        if not struct:
+            return pd.Series(out, dtype=object)
+        return pd.DataFrame({f: pd.Series([None if row is None else row[f] for row in out], dtype=object) for f in fields})
+
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = None
         for batch in batches:
@@ -54,11 +65,11 @@ def batch_model(
                     continue
                 for position, score in zip(part, scores):
                     out[position] = score
-            yield pd.Series(out, dtype=object)
+            yield column(out)
 
     run.__annotations__ = {
         "batches": Iterator[tuple[pd.Series, ...]],
-        "return": Iterator[pd.Series],
+        "return": Iterator[pd.DataFrame if struct else pd.Series],
     }
     return F.pandas_udf(run, return_type)
 

@@ -22,31 +22,35 @@ def judge_answers(
     threshold: float = 0.5,
     phrases: Sequence[str] = C.UNCACHEABLE_PHRASES,
 ) -> DataFrame:
-    """Adds the admission fields and ``admission`` = admitted / blocked.
+    """Adds the admission fields and ``admission`` = admitted / blocked / error.
 
     ``misses(query, answer, ...)``; ``judge(signal, prompt)`` returns reply text,
-    NULL when it failed.  Answers blocked by the phrase filter are never sent to
-    the judge.
+    NULL when it failed; an answer for which all signals failed is an error.
+    Answers blocked by the phrase filter are never sent to the judge.
     """
     ask = ~uncacheable(F.col("answer"), phrases)
     replies = {
-        signal: parse_score(
-            only_where(
-                ask, judge, F.lit(signal),
-                fill_template(template, query=F.col("query"), response=F.col("answer")),
-            )
+        signal: only_where(
+            ask, judge, F.lit(signal),
+            fill_template(template, query=F.col("query"), response=F.col("answer")),
         )
         for signal, template in C.JUDGE_TEMPLATES.items()
     }
-    scored = misses.withColumns({f"_{signal}": score for signal, score in replies.items()})
+    replied = misses.withColumns({f"_{signal}_reply": reply for signal, reply in replies.items()})
+    scored = replied.withColumns({f"_{signal}": parse_score(F.col(f"_{signal}_reply")) for signal in replies})
+    silent = F.coalesce(*[F.col(f"_{signal}_reply") for signal in replies]).isNull()
     verdict = admission(
         F.col("_reusability"), F.col("_confidence"), F.col("_faithfulness"), threshold,
         F.col("answer"), phrases,
     )
     return (
-        scored.withColumn("_v", verdict)
-        .select(*misses.columns, "_v.*")
-        .withColumn("admission", F.when(F.col("admit_to_cache"), "admitted").otherwise("blocked"))
+        scored.withColumns({"_v": verdict, "_failed": ask & silent})
+        .select(*misses.columns, "_v.*", "_failed")
+        .withColumn(
+            "admission",
+            F.when(F.col("admit_to_cache"), "admitted").when(F.col("_failed"), "error").otherwise("blocked"),
+        )
+        .drop("_failed")
     )
 
 

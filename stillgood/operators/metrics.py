@@ -46,10 +46,14 @@ def decision_counters(decisions: DataFrame) -> DataFrame:
 
     Optional columns: ``admission`` (admitted / blocked / error), ``rewritten``.
     """
+    return decisions.agg(*_counters(decisions.columns))
+
+
+def _counters(columns: Sequence[str]) -> list[Column]:
     source = F.col("source")
-    admission = F.col("admission") if "admission" in decisions.columns else F.lit(None)
-    rewritten = F.col("rewritten") if "rewritten" in decisions.columns else F.lit(False)
-    return decisions.agg(
+    admission = F.col("admission") if "admission" in columns else F.lit(None)
+    rewritten = F.col("rewritten") if "rewritten" in columns else F.lit(False)
+    return [
         _count(source == C.REDIS_HIT).alias("redis_hits"),
         _count(source == C.CACHE_HIT_FAST).alias("chroma_hits_fast"),
         _count(source == C.CACHE_HIT_VERIFIED).alias("chroma_hits_verified"),
@@ -60,19 +64,31 @@ def decision_counters(decisions: DataFrame) -> DataFrame:
         _count(admission == "error").alias("gate3_errors"),
         _count(source != C.ERROR).alias("total_queries"),
         _count(rewritten).alias("gate1_rewrites"),
-    )
+    ]
 
 
 def live_stats(decisions: DataFrame) -> DataFrame:
     """Hit and saved-call percentages of a running cache (0 hits over an empty log)."""
-    c = decision_counters(decisions)
+    return decision_counters(decisions).select("total_queries", *_live_shares())
+
+
+def _live_shares() -> list[Column]:
     total = F.greatest(F.lit(1), F.col("total_queries"))
     hits = F.col("redis_hits") + F.col("chroma_hits_fast") + F.col("chroma_hits_verified")
-    return c.select(
-        "total_queries",
+    return [
         F.round(hits * 100.0 / total, 2).alias("hit_rate_percent"),
         F.round((1 - F.col("gemini_calls") / total) * 100, 2).alias("api_reduction_percent"),
-    )
+    ]
+
+
+def full_stats(events: DataFrame, tables: Sequence[str]) -> DataFrame:
+    """Counters, entries per table and live percentages in one pass.
+
+    ``events(source, rewritten, admission, held)``: a row per decision (``source``), judged answer
+    (``admission``) and entry of a table (``held``, its name), with NULL in the other columns.
+    """
+    sizes = [_count(F.col("held") == name).alias(f"{name}_entries") for name in tables]
+    return events.agg(*_counters(events.columns), *sizes).select("*", *_live_shares())
 
 
 def effective_hit_rate(decisions: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Maintenance of the answer table: upsert, eviction, refresh, versions."""
+"""Maintenance of the answer table: upsert, eviction, refresh, keyed storage."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,16 @@ def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     ``cache`` holds one row per key, so only the entries are deduplicated (newest
     wins) and a table much larger than the batch need not be shuffled.
     """
-    fresh = topk(entries, ["entry_key"], [F.desc_nulls_last("cached_us")], 1).drop("rank")
+    fresh = newest_entries(entries)
     kept = remove_entries(cache, fresh)
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def newest_entries(entries: DataFrame) -> DataFrame:
+    """One row per key, the newest."""
+    return topk(entries, ["entry_key"], [F.desc_nulls_last("cached_us")], 1).drop("rank")
+
+
 def eviction_order() -> Column:
     """Oldest first; an entry without a time counts as oldest; equal times by key."""
     return F.concat(order_hex(F.coalesce(F.col("cached_us"), F.lit(0))), F.col("entry_key"))
@@ -192,25 +198,23 @@ def _refilled(at: _Filling, max_entries: int) -> _Filling:
     return at
 
 
-def insert_all(cache: DataFrame, entries: DataFrame, max_entries: int = 1000, held_rows: int = 100_000) -> DataFrame:
-    """The table after its entries were inserted one by one, oldest first, each with eviction before it.
+def insert_changes(
+    cache: DataFrame, entries: DataFrame, max_entries: int = 1000, held_rows: int = 100_000
+) -> tuple[DataFrame, Column, Column]:
+    """What inserting ``entries`` one by one, oldest first, with eviction before each, does to a table.
 
-    Of entries with one key the newest counts. Entries count as newer than all the table holds, as they
-    are when they are made, whatever their times say; equal times go by key. ``cache`` holds one row
-    per key and is read several times when it gets full: pass a stored one. Which rows stay is found
-    by ranks: of lists while table, cap and what they need of the batch are below ``held_rows``, of
-    histograms in Spark beyond it.
+    Returns the entries, newest of each key; which of them stay; and which of the old rows that no entry
+    replaces stay. Entries count as newer than all the table holds, as they are when they are made,
+    whatever their times say; equal times go by key. ``cache`` holds one row per key and is read several
+    times when it gets full: pass a stored one. Which rows stay is found by ranks: of lists while table,
+    cap and what they need of the batch are below ``held_rows``, of histograms in Spark beyond it.
     """
     if max_entries < 1:
         raise ValueError("max_entries must be at least 1")
-    fresh = topk(entries, ["entry_key"], [F.desc_nulls_last("cached_us")], 1).drop("rank")
-    size = cache.count()
-    if not fresh.take(1):
-        return cache
-    fresh = written(fresh, "fresh")
-    inserts = fresh.count()
-    if size + inserts <= max_entries and size < max_entries:
-        return remove_entries(cache, fresh).unionByName(fresh, allowMissingColumns=True)
+    fresh = written(newest_entries(entries), "fresh")
+    size, inserts, every = cache.count(), fresh.count(), F.lit(True)
+    if not inserts or (size + inserts <= max_entries and size < max_entries):
+        return fresh, every, every
     order = eviction_order()
     old, new = cache.select("entry_key", order.alias("s")), fresh.select("entry_key", order.alias("s"))
     both = written(
@@ -226,9 +230,14 @@ def insert_all(cache: DataFrame, entries: DataFrame, max_entries: int = 1000, he
         rows = _Frames(olds, news)
     at = _filled(rows, size, inserts, max_entries)
     stays = F.lit(False) if at.gone == ALL_GONE else order > at.gone
-    kept = remove_entries(cache.filter(stays), fresh)
     last = smallest(fresh, order, at.evicted_inserts, inserts)
-    return kept.unionByName(fresh if last is None else fresh.filter(~last), allowMissingColumns=True)
+    return fresh, every if last is None else ~last, stays
+
+
+def insert_all(cache: DataFrame, entries: DataFrame, max_entries: int = 1000, held_rows: int = 100_000) -> DataFrame:
+    """The table after its entries were inserted as by :func:`insert_changes`."""
+    fresh, made, stays = insert_changes(cache, entries, max_entries, held_rows)
+    return remove_entries(cache.filter(stays), fresh).unionByName(fresh.filter(made), allowMissingColumns=True)
 
 
 def clear(cache: DataFrame) -> DataFrame:
@@ -264,59 +273,92 @@ def table_sizes(semantic: DataFrame, exact: DataFrame) -> DataFrame:
     )
 
 
-class VersionedTable:
-    """Answer table kept as immutable version folders below one shared path.
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or no rows while nothing was written to its path."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class KeyedTable:
+    """One row per key in Parquet folders by hash bucket: a batch rewrites only the buckets it touches.
 
-    A version is visible once its job committed (``_SUCCESS`` present), so
-    readers never see a half-written table and a retried batch rewrites its own
-    folder.  Works on any Hadoop file system.
+    A row names the batch that ``added`` it and the one that ``removed`` it, so the table can be read as
+    it stood before the newest batch, and a batch that runs again first takes back what it wrote. Rows
+    removed by earlier batches go when their bucket is next written. Writers take turns. Buckets are
+    swapped one after the other by Spark's dynamic overwrite: a frame read before a merge must not be
+    used after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                    found.append(int(name[1:]))
-        return sorted(found)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """A version, by default the newest; an empty table before the first."""
-        known = self.versions()
-        if version is None:
-            if not known:
-                return self.spark.createDataFrame([], self.schema)
-            version = known[-1]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
-
-    def before(self, version: int) -> DataFrame:
-        """Newest version older than ``version``: what a retried batch must see."""
-        older = [v for v in self.versions() if v < version]
-        return self.read(older[-1]) if older else self.spark.createDataFrame([], self.schema)
-
-    def prune(self, keep: int = 3) -> None:
-        """Drop all but the newest versions; readers and a retried batch use the last two."""
-        jvm = self.spark._jvm
-        for version in self.versions()[:-keep]:
-            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    def publish(self, df: DataFrame, version: int) -> None:
-        """Write a version in the table's own column order and types."""
-        fields = self.spark.createDataFrame([], self.schema).schema.fields
-        conformed = df.select(
-            *[
-                (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in fields
-            ]
+    def __init__(self, spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA, key: str = "entry_key", buckets: int = 16):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.fields = spark.createDataFrame([], schema).schema.fields
+
+    def _rows(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path, f"{self.schema}, _added long, _removed long, _of int, _bucket int")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _conformed(self, df: DataFrame) -> DataFrame:
+        """The table's own columns, order and types; columns that ``df`` lacks are NULL."""
+        return df.select(
+            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.fields]
+        )
+
+    def read(self) -> DataFrame:
+        """The table after the newest batch; empty before the first."""
+        return self._rows().filter("_removed IS NULL").select(*[f.name for f in self.fields])
+
+    def before(self, batch: int) -> DataFrame:
+        """The table as ``batch`` found it, be it the newest one or the next."""
+        seen = (F.col("_added") < batch) & (F.col("_removed").isNull() | (F.col("_removed") >= batch))
+        return self._rows().filter(seen).select(*[f.name for f in self.fields])
+
+    def merge(
+        self, batch: int, entries: DataFrame | None = None, removed: DataFrame | None = None, stale: Column | None = None
+    ) -> None:
+        """Put ``entries`` in (one row per key, in place of the old one) and take the keys of ``removed`` out.
+
+        An entry wins over a removal of its key. Old rows that are ``stale`` go from the buckets that are
+        written anyway. The table grows by no shuffle: only buckets with a change are read and written.
+        """
+        if entries is None:
+            entries = self.spark.createDataFrame([], self.schema)
+        new = self._conformed(entries).withColumns({"_is_new": F.lit(True), "_bucket": self._bucket()})
+        if removed is not None:
+            gone = removed.select(self.key).distinct().join(entries.select(self.key), self.key, "left_anti")
+            new = new.unionByName(gone.withColumns({"_is_new": F.lit(False), "_bucket": self._bucket()}), allowMissingColumns=True)
+        new, rows = written(new, "changes"), self._rows()
+        if not rows.filter(F.col("_of") != self.buckets).isEmpty():
+            raise ValueError(f"{self.path} does not have {self.buckets} buckets")
+        undone = rows.filter((F.col("_added") >= batch) | (F.col("_removed") >= batch))
+        # at most one row per bucket
+        touched = [r[0] for r in new.select("_bucket").union(undone.select("_bucket")).distinct().collect()]
+        if not touched:
+            return
+        old = rows.filter(F.col("_bucket").isin(touched) & (F.col("_removed").isNull() | (F.col("_removed") >= batch)))
+        old = old.join(new.select(self.key, F.lit(True).alias("_changed")), self.key, "left")
+        leaves = F.col("_changed").isNotNull() | (F.lit(False) if stale is None else F.coalesce(stale, F.lit(False)))
+        # what a first attempt added stays as a row nobody sees, so that no bucket is left without a file
+        old = old.withColumn("_removed", F.when(F.col("_added") >= batch, F.col("_added")).when(leaves, F.lit(batch)).cast("long"))
+        added = new.filter("_is_new").withColumns(
+            {"_added": F.lit(batch).cast("long"), "_removed": F.lit(None).cast("long"), "_of": F.lit(self.buckets)}
+        )
+        columns = [f.name for f in self.fields] + ["_added", "_removed", "_of", "_bucket"]
+        staged = written(old.select(*columns).unionByName(added.select(*columns)), "buckets")
+        (
+            staged.hint("rebalance", F.col("_bucket")).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        )
+
+    def clear(self) -> None:
+        """Start over, for a batch that runs again too."""
+        schema = self._rows().schema
+        (
+            self.spark.createDataFrame([], schema).write.mode("overwrite")
+            .option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(self.path)
         )
-        conformed.write.mode("overwrite").parquet(f"{self.path}/v{version}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +12,30 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.plugins import Plugins
 from ..operators import metrics
-from ..operators.admission import admitted_entries, judge_answers, store_entries
-from ..operators.store import VersionedTable, clear, refresh_entries, table_sizes, upsert
+from ..operators.admission import admitted_entries, judge_answers
+from ..operators.memo import ScoreTable
+from ..operators.store import KeyedTable, insert_changes, newest_entries, refresh_entries, table_sizes, upsert
 from .cascade import cascade, misses
 
 
 class AnswerCache:
-    """Both tiers, the decision log and the admission log below one shared path.
+    """Both tiers, kept model scores, the decision log and the admission log below one shared path.
 
     A batch decides against the tables as they stood before it; what it stores
     is visible to the next.  Everything a batch writes is keyed by its number,
-    so running a batch again replaces its own output and nothing else.
+    so running the newest batch again replaces its own output and nothing else.
+    Keyed entries leave once no request as old as the oldest of a batch can meet
+    them, when their bucket is written next.  ``buckets`` holds for the life of a path.
     """
 
+    #: Kept scores: type and how many, oldest out first.
+    SCORES = {
+        "classifier": ("struct<label: string, confidence: double>", 1024),
+        "embedder": ("array<float>", 1024),
+        "reranker": ("double", 1024),
+        "contradiction": ("double", 512),
+    }
+
     def __init__(
         self,
         spark: SparkSession,
@@ -32,12 +44,17 @@ class AnswerCache:
         plugins: Plugins = Plugins(),
         score_candidates: Callable[[DataFrame], DataFrame] | None = None,
         phrases: Sequence[str] = C.UNCACHEABLE_PHRASES,
+        buckets: int = 16,
     ):
         self.spark, self.path = spark, path.rstrip("/")
         self.config, self.plugins = config, plugins
         self.score_candidates, self.phrases = score_candidates, phrases
-        self.semantic = VersionedTable(spark, f"{self.path}/semantic")
-        self.exact = VersionedTable(spark, f"{self.path}/exact")
+        self.semantic = KeyedTable(spark, f"{self.path}/semantic", buckets=buckets)
+        self.exact = KeyedTable(spark, f"{self.path}/exact", buckets=buckets)
+        self.scores = {
+            name: ScoreTable(spark, f"{self.path}/scores/{name}", kind, size, buckets)
+            for name, (kind, size) in self.SCORES.items() if getattr(plugins, name) is not None
+        }
 
     def _stored(self, df: DataFrame, log: str, batch: int) -> DataFrame:
         target = f"{self.path}/{log}/batch={batch}"
@@ -45,7 +62,8 @@ class AnswerCache:
         return self.spark.read.parquet(target)
 
     def next_batch(self) -> int:
-        return max(self.exact.versions() + self.semantic.versions(), default=-1) + 1
+        last = self.decisions().agg(F.max("batch")).first()[0]
+        return 0 if last is None else last + 1
 
     def ask(self, requests: DataFrame, batch: int | None = None) -> DataFrame:
         """Decide a table of requests, store admitted answers, return the decisions."""
@@ -55,13 +73,12 @@ class AnswerCache:
             cascade(
                 requests, exact, semantic, self.config, self.plugins, self.score_candidates,
                 earlier_calls=self.calls_before(batch),
+                kept_scores={name: partial(table.score, batch=batch) for name, table in self.scores.items()},
             ),
             "decisions", batch,
         )
-        # keyed entries past their lifetime at the end of the batch are not carried on
-        now = decided.agg(F.max("at_us")).first()[0] or 0
-        alive = exact.filter(F.col("expires_us").isNull() | (F.col("expires_us") > now))
-        keyed = upsert(alive, refresh_entries(decided))
+        oldest = decided.agg(F.min("at_us")).first()[0] or 0
+        keyed = newest_entries(refresh_entries(decided))
         if self.plugins.judge is not None:
             judged = self._stored(
                 judge_answers(
@@ -69,12 +86,11 @@ class AnswerCache:
                 ),
                 "admissions", batch,
             )
-            fresh = admitted_entries(judged)
-            semantic = store_entries(semantic, fresh, self.config.max_entries)
+            fresh, made, stays = insert_changes(semantic, admitted_entries(judged), self.config.max_entries)
+            lost = semantic.filter(~stays).select("entry_key").union(fresh.filter(~made).select("entry_key"))
+            self.semantic.merge(batch, fresh.filter(made), lost)
             keyed = upsert(keyed, fresh)
-        self.semantic.publish(semantic, batch)
-        self.exact.publish(keyed, batch)
-        self.semantic.prune(), self.exact.prune()
+        self.exact.merge(batch, keyed, stale=F.col("expires_us") <= oldest)
         return decided
 
     def calls_before(self, batch: int) -> DataFrame:
@@ -106,8 +122,17 @@ class AnswerCache:
         """Hit rate and saved calls since the first batch."""
         return metrics.live_stats(self.decisions())
 
+    def full_stats(self) -> DataFrame:
+        """All counters, entries of both tiers and of the kept scores, and both percentages, as one row."""
+        events = self.decisions().select("source", "rewritten", F.lit(None).cast("string").alias("admission"), F.lit(None).cast("string").alias("held"))
+        judged = self.admissions().select("admission")
+        tables = {"semantic": self.semantic.read(), "exact": self.exact.read()} | {n: t.entries() for n, t in self.scores.items()}
+        events = events.unionByName(judged, allowMissingColumns=True)
+        for name, table in tables.items():
+            events = events.unionByName(table.select(F.lit(name).alias("held")), allowMissingColumns=True)
+        return metrics.full_stats(events, ("semantic", "exact", *self.SCORES))
+
     def clear(self) -> None:
-        """Start both tiers over; the logs stay."""
-        batch = self.next_batch()
-        self.semantic.publish(clear(self.semantic.read()), batch)
-        self.exact.publish(clear(self.exact.read()), batch)
+        """Start both tiers over; the logs and the kept scores stay."""
+        self.semantic.clear()
+        self.exact.clear()

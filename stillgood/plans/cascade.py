@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.plugins import Plugins, only_where, placeholder_answer
+from ..functions.plugins import Plugins, Scorer, only_where, placeholder_answer
 from ..functions.scores import (
-    dynamic_threshold, fail_safe_label, fast_accept, is_hit, pyfs, verify_pair,
+    dynamic_threshold, fail_safe_label, fast_accept, pyfs, verify_pair,
 )
 from ..functions.text import (
     cache_key, chat_messages, clip_relevance, lifetime_keywords, rewrite_applies, rewrite_prompt,
@@ -20,6 +21,7 @@ from ..operators.admission import admit_and_store
 from ..operators.feedback import settle_thresholds
 from ..operators.knn import knn_join, nearest_one
 from ..operators.lookup import asof_lookup, exact_lookup
+from ..operators.memo import memo_score
 from ..operators.ranking import topk
 from ..session import written
 
@@ -30,6 +32,17 @@ DECISION_COLUMNS = (
 )
 
 
+#: Adds a score column: (rows, input columns, scorer, name of the score).
+ScoreOnce = Callable[[DataFrame, list[str], Scorer, str], DataFrame]
+
+
+def _scored_once(df: DataFrame, scorer: Scorer, inputs: list[Column], out: str, mask: Column | None, once: ScoreOnce) -> DataFrame:
+    """``out`` by one model row per distinct input; rows outside the mask are one input, NULL, and get NULL."""
+    names = [f"_in{i}" for i in range(len(inputs))]
+    masked = [c if mask is None else F.when(mask, c) for c in inputs]
+    return once(df.withColumns(dict(zip(names, masked))), names, scorer, out).drop(*names)
+
+
 def resolve_context(
     requests: DataFrame, plugins: Plugins, signals=C.CONTEXT_SIGNALS, turns: int = 3, strict: bool = False
 ) -> DataFrame:
@@ -46,22 +59,25 @@ def resolve_context(
         return trimmed.withColumn("rewritten", F.lit(False))
     query, history = F.col("query"), F.col("history")
     if strict:
-        applies = F.coalesce(F.size(history), F.lit(0)) > 0
-        out = strip(only_where(applies, plugins.rewriter, rewrite_prompt_strict(query, history)))
+        applies, prompt = F.coalesce(F.size(history), F.lit(0)) > 0, rewrite_prompt_strict(query, history)
     else:
-        applies = rewrite_applies(query, history, signals)
-        out = only_where(applies, plugins.rewriter, rewrite_prompt(query, history, signals))
+        applies, prompt = rewrite_applies(query, history, signals), rewrite_prompt(query, history, signals)
+    said = _scored_once(trimmed, plugins.rewriter, [prompt], "_said", applies, memo_score)
+    out = F.when(applies, F.col("_said"))
     return (
-        trimmed.withColumn("_out", F.coalesce(out, query))
+        said.withColumn("_out", F.coalesce(strip(out) if strict else out, query)).drop("_said")
         .withColumn("rewritten", F.col("_out") != query)
         .withColumn("query", F.col("_out")).drop("_out")
     )
 
 
-def label_requests(requests: DataFrame, plugins: Plugins) -> DataFrame:
-    """Lifetime label and confidence; anything unlabelled is treated as volatile."""
+def label_requests(requests: DataFrame, plugins: Plugins, once: ScoreOnce = memo_score) -> DataFrame:
+    """Lifetime label and confidence; anything unlabelled is treated as volatile.
+
+    The classifier sees each distinct text once.
+    """
     if plugins.classifier is not None:
-        requests = requests.withColumn("_l", plugins.classifier(F.col("query")))
+        requests = once(requests, ["query"], plugins.classifier, "_l")
         requests = requests.withColumns(
             {"label": F.col("_l.label"), "confidence": F.col("_l.confidence")}
         ).drop("_l")
@@ -103,7 +119,7 @@ def semantic_candidates(
 
 
 def verify_candidates(
-    candidates: DataFrame, plugins: Plugins, config: C.CacheConfig
+    candidates: DataFrame, plugins: Plugins, config: C.CacheConfig, kept_scores: Mapping[str, ScoreOnce] = {}
 ) -> DataFrame:
     """One row per probe: nearest entry, best reranked entry and its checks.
 
@@ -118,12 +134,9 @@ def verify_candidates(
         nearest_similarity = F.max("similarity").over(Window.partitionBy("probe_id"))
         highest = config.quiet_threshold if config.fixed_threshold is None else config.fixed_threshold
         candidates = candidates.withColumn("_near", nearest_similarity)
-        undecided = F.col("_near") <= highest
-        score = (
-            F.lit(None).cast("double") if plugins.reranker is None
-            else only_where(undecided, plugins.reranker, q, cached)
-        )
-        candidates = candidates.withColumn("rerank_score", score).drop("_near")
+        candidates = _pair_scores(
+            candidates, "rerank_score", plugins.reranker, (q, cached), F.col("_near") <= highest, kept_scores.get("reranker")
+        ).drop("_near")
     nearest = F.struct("similarity", "cached_answer", "cached_category", "entry_key")
     kept = F.struct(*[c for c in candidates.columns if c != "probe_id"])
     best = candidates.groupBy("probe_id").agg(
@@ -131,15 +144,17 @@ def verify_candidates(
         F.max_by(kept, F.struct("rerank_score", -F.col("rank"))).alias("_b"),
     ).select("probe_id", "nearest", "_b.*")
     passes = F.coalesce(F.col("rerank_score") > config.rerank_threshold, F.lit(False))
+    relevance = (q, clip_relevance(F.col("cached_answer")))
+    if kept_scores.get("contradiction") and not {"logit_ab", "logit_ba"} & set(best.columns):
+        best = _both_logits(best, plugins.contradiction, passes, kept_scores["contradiction"])
     checks = {
         "logit_ab": (plugins.contradiction, (q, cached)),
         "logit_ba": (plugins.contradiction, (cached, q)),
-        "answer_relevance": (plugins.relevance, (q, clip_relevance(F.col("cached_answer")))),
+        "answer_relevance": (plugins.relevance, relevance),
     }
     for name, (scorer, inputs) in checks.items():
         if name not in best.columns:
-            value = F.lit(None).cast("double") if scorer is None else only_where(passes, scorer, *inputs)
-            best = best.withColumn(name, value)
+            best = _pair_scores(best, name, scorer, inputs, passes)
     pair = pyfs(F.col("logit_ab"), F.col("logit_ba"))
     return best.withColumn("_pair", pair).select(
         "probe_id", "nearest", "rerank_score", "answer_relevance",
@@ -148,6 +163,27 @@ def verify_candidates(
     )
 
 
+def _pair_scores(
+    df: DataFrame, out: str, scorer: Scorer | None, inputs: tuple[Column, ...], mask: Column, once: ScoreOnce | None = None
+) -> DataFrame:
+    if scorer is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    if once is None:
+        return df.withColumn(out, only_where(mask, scorer, *inputs))
+    return _scored_once(df, scorer, list(inputs), out, mask, once)
+
+
+def _both_logits(best: DataFrame, scorer: Scorer, mask: Column, once: ScoreOnce) -> DataFrame:
+    """Both directions in one look at the kept scores: a table is written once a batch."""
+    pairs = best.filter(mask).select(F.col("query").alias("_a"), F.col("cached_query").alias("_b"))
+    logits = once(pairs.union(pairs.select("_b", "_a")).distinct(), ["_a", "_b"], scorer, "_logit")
+    for out, a, b in (("logit_ab", "query", "cached_query"), ("logit_ba", "cached_query", "query")):
+        one = logits.select(F.col("_a").alias("_a_"), F.col("_b").alias("_b_"), F.col("_logit").alias(out))
+        same = F.col(a).eqNullSafe(F.col("_a_")) & F.col(b).eqNullSafe(F.col("_b_"))
+        best = best.join(one, same, "left").drop("_a_", "_b_").withColumn(out, F.when(mask, F.col(out)))
+    return best
+
+
 def cascade(
     requests: DataFrame,
     exact: DataFrame,
@@ -158,6 +194,7 @@ def cascade(
     exact_is_log: bool = False,
     signals=C.CONTEXT_SIGNALS,
     earlier_calls: DataFrame | None = None,
+    kept_scores: Mapping[str, ScoreOnce] = {},
 ) -> DataFrame:
     """One decision row per request, against a fixed state of both tiers.
 
@@ -167,7 +204,9 @@ def cascade(
     answer-table schema.  The threshold is ``fixed_threshold``, else follows the
     ``rate`` of the requests, else, with ``earlier_calls(at_us)`` (empty if there
     were none), the calls that this very cascade makes.  ``score_candidates`` may add score columns to the
-    candidate frame in place of the model plug-ins.
+    candidate frame in place of the model plug-ins; ``kept_scores`` maps a
+    plug-in (classifier, embedder, reranker, contradiction) to what asks it only for
+    inputs not scored before, see :class:`~stillgood.operators.memo.ScoreTable`.
 
     A volatile request touches neither tier.  Only requests still undecided
     after the exact tier are searched, and only the best reranked candidate of a
@@ -175,7 +214,8 @@ def cascade(
     the final join, so they are written once (``config.materialize``; always when
     a model produced them, so that no model runs twice).
     """
-    labelled = label_requests(resolve_context(requests, plugins, signals, config.history_turns), plugins)
+    resolved = resolve_context(requests, plugins, signals, config.history_turns)
+    labelled = label_requests(resolved, plugins, kept_scores.get("classifier", memo_score))
     keyed = labelled.withColumn("entry_key", cache_key(F.col("query")))
     lookup = asof_lookup if exact_is_log else exact_lookup
     volatile = F.col("label") == C.VOLATILE
@@ -195,6 +235,13 @@ def cascade(
     )
     if config.materialize or plugins.rewriter or plugins.classifier:
         looked = written(looked, "looked")
+    if plugins.embedder is not None:
+        # the vector stays with the request: its answer is stored under it
+        embed_once = kept_scores.get("embedder", memo_score)
+        looked = _scored_once(
+            looked.drop("embedding"), plugins.embedder, [F.col("query")], "embedding", F.col("undecided"), embed_once
+        )
+        looked, plugins = written(looked, "embedded"), replace(plugins, embedder=None)
     live = semantic
     if config.expire_semantic:
         newest = looked.agg(F.max("at_us").alias("now")).scalar()
@@ -202,7 +249,7 @@ def cascade(
     candidates = semantic_candidates(looked.filter("undecided"), live, plugins, config)
     if score_candidates is not None:
         candidates = score_candidates(candidates)
-    verified = verify_candidates(candidates, plugins, config)
+    verified = verify_candidates(candidates, plugins, config, kept_scores)
     joined = looked.join(verified, "probe_id", "left")
     if config.fixed_threshold is not None:
         threshold = F.lit(config.fixed_threshold)
@@ -330,7 +377,3 @@ def store_misses(
 ) -> tuple[DataFrame, DataFrame]:
     """Judge the fresh answers of a decided batch and store those admitted."""
     return admit_and_store(misses(decisions), semantic, plugins.judge, config, phrases)
-
-
-def hits(decisions: DataFrame) -> DataFrame:
-    return decisions.filter(is_hit(F.col("source")))

@@ -350,8 +350,8 @@ def exact_lookup_snapshot(spark, sf_dir):
 
 def _stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document answers as a table that was written before."""
-    stored = store.VersionedTable(spark, scratch_path(spark, "cache"))
-    stored.publish(X.document_cache(spark, sf_dir), 0)
+    stored = store.KeyedTable(spark, scratch_path(spark, "cache"))
+    stored.merge(0, X.document_cache(spark, sf_dir))
     return stored.read()
 
 
@@ -406,6 +406,16 @@ def memo_score_join(spark, sf_dir):
     return scored.select("doc_id", "score")
 
 
+@register
+def memo_score_batches(spark, sf_dir):
+    """The same scores from a kept table: texts of the first batch are not scored again in the second."""
+    docs = X.table(spark, sf_dir, "documents")
+    scorer = lambda t: F.round(F.length(t) / (F.length(F.regexp_replace(t, " ", "")) + 1), 6)
+    kept = memo.ScoreTable(spark, scratch_path(spark, "scores"), capacity=10**9)
+    kept.score(docs.filter("lang = 'en'"), ["text"], scorer, batch=0)
+    return kept.score(docs, ["text"], scorer, batch=1).select("doc_id", "score")
+
+
 @register
 def label_vs_prediction(spark, sf_dir):
     truth = X.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("truth"))
@@ -609,10 +619,11 @@ def evict_oldest(spark, sf_dir):
 @register
 def cache_clear(spark, sf_dir):
     """Entries of the stored table before and after clearing it."""
-    stored = store.VersionedTable(spark, scratch_path(spark, "cache"))
-    stored.publish(X.document_cache(spark, sf_dir), 0)
-    stored.publish(store.clear(stored.read()), 1)
-    before, after = (stored.read(v).agg(F.count("*").alias("entries")) for v in (0, 1))
+    stored = store.KeyedTable(spark, scratch_path(spark, "cache"))
+    stored.merge(0, X.document_cache(spark, sf_dir))
+    before = written(stored.read().agg(F.count("*").alias("entries")), "sizes")
+    stored.clear()
+    after = stored.read().agg(F.count("*").alias("entries"))
     return before.withColumn("version", F.lit(0)).unionByName(after.withColumn("version", F.lit(1)))
 
 
@@ -771,6 +782,25 @@ def stream_rate(spark, sf_dir):
     return streams.latest_updates(spark, f"{path}/rows", ["window_us"])
 
 
+@register
+def stream_rate_exact(spark, sf_dir):
+    """The trailing hourly rate of every event, from four micro-batches in time order."""
+    events = X.events(spark, sf_dir).select(
+        F.col("event_id").alias("row_id"), "at_us", F.col("k").between(50, 97).alias("is_call")
+    )
+    path = scratch_path(spark, "rate")
+    events.limit(0).write.parquet(f"{path}/log")
+    span = events.agg(F.min("at_us").alias("first"), F.max("at_us").alias("last")).first()
+    if span["first"] is None:
+        return events.select(F.col("row_id").alias("event_id"), F.lit(0).cast("long").alias("rate"))
+    part = F.least(F.lit(3), F.floor((F.col("at_us") - span["first"]) * 4 / (span["last"] - span["first"] + 1)))
+    for number in range(4):
+        events.filter(part == number).write.mode("append").parquet(f"{path}/log")
+        log = streams.file_stream(spark, f"{path}/log", _ddl(events), files_per_batch=10**9)
+        streams.rate_batches(log, path, f"{path}/checkpoint", seconds=3600).awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(F.col("row_id").alias("event_id"), "rate")
+
+
 # -- learning ----------------------------------------------------------------
 
 @register

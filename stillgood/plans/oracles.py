@@ -483,6 +483,9 @@ ORACLES["admit_and_store"] = f"""WITH RECURSIVE {_PAIRS_JUDGED}, {ENTRIES}, old
     SELECT entry_key, category, cached_us, expires_us FROM ended JOIN (SELECT entry_key, category, cached_us, expires_us, pos FROM old
       UNION ALL SELECT entry_key, category, cached_us, expires_us, pos FROM fresh) USING (pos)"""
 
+ORACLES["memo_score_batches"] = ORACLES["memo_score_join"]
+ORACLES["stream_rate_exact"] = ORACLES["api_rate_60s"]
+
 _HALF_HOUR = 1_800_000_000
 _BAND = "CASE WHEN {n} > 10 THEN 0.35::DOUBLE WHEN {n} < 3 THEN 0.45::DOUBLE ELSE 0.40::DOUBLE END"
 

@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scores import epoch_us
+from ..operators.rates import MICROS, api_rate
 from ..operators.replay import NEVER, replay_sorted, ttl_replay
-from ..operators.store import VersionedTable
+from ..operators.store import KeyedTable, read_or_empty
 from ..plans.answer_cache import AnswerCache
 from ..session import written
 
@@ -83,13 +84,13 @@ def ttl_replay_batches(
 ) -> StreamingQuery:
     """The replay per micro-batch through the batch operator, for streams with hot keys.
 
-    The last store of each key is carried in a versioned table and enters the
+    The last store of each key is carried in a keyed table and enters the
     next batch as that key's first request, so a key of any size is split as in
     the batch replay.  Rows land in ``path/rows``; a retried batch rewrites its own.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = VersionedTable(batch.sparkSession, f"{path}/state", "key string, at_us long, expires_us long")
+        state = KeyedTable(batch.sparkSession, f"{path}/state", "key string, at_us long, expires_us long", "key")
         last = state.before(batch_id)
         carried = last.join(batch.select("key").distinct(), "key", "left_semi").select(
             F.lit(None).cast("long").alias("row_id"), "key", "at_us",
@@ -108,8 +109,7 @@ def ttl_replay_batches(
         stores = replayed.filter("NOT hit").groupBy("key").agg(
             F.max("at_us").alias("at_us"), F.max_by("expires_us", "at_us").alias("expires_us")
         )
-        state.publish(last.join(stores, "key", "left_anti").unionByName(stores), batch_id)
-        state.prune()
+        state.merge(batch_id, stores)
 
     return (
         log.writeStream.foreachBatch(step)
@@ -137,6 +137,34 @@ def rate_stream(
     )
 
 
+def rate_batches(log: DataFrame, path: str, checkpoint: str, seconds: int = 60, max_group_rows: int = 1_000_000) -> StreamingQuery:
+    """The exact trailing rate of every request of ``log(row_id, at_us, is_call)``, per micro-batch.
+
+    A batch meets the calls of earlier ones that are still within ``seconds`` of its oldest request, one
+    row per microsecond that had any, and is counted as by the batch operator.  Batches must arrive in
+    time order: a late call changes no rate that was given before.  Rows land in ``path/rows``, calls in
+    ``path/calls``; a retried batch rewrites its own.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("row_id", F.col("at_us").cast("long"), F.col("is_call").cast("long").alias("calls"))
+        oldest = rows.agg(F.min("at_us")).first()[0]
+        made = read_or_empty(batch.sparkSession, f"{path}/calls", "at_us long, calls long, batch long")
+        near = made.filter((F.col("batch") < batch_id) & (F.col("at_us") > F.lit(oldest) - seconds * MICROS))
+        both = rows.withColumn("_earlier", F.lit(False)).unionByName(
+            near.select(F.lit(None).cast("long").alias("row_id"), "at_us", "calls", F.lit(True).alias("_earlier"))
+        )
+        rated = api_rate(both, F.col("calls"), "at_us", seconds, max_group_rows)
+        rated.filter("NOT _earlier").select("row_id", "at_us", "rate").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        calls = rows.filter("calls > 0 AND at_us IS NOT NULL").groupBy("at_us").agg(F.sum("calls").alias("calls"))
+        calls.write.mode("overwrite").parquet(f"{path}/calls/batch={batch_id}")
+
+    return (
+        log.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append rows to Parquet and stop once the available input is processed."""
     return (

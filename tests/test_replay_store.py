@@ -101,16 +101,6 @@ def test_upsert_replaces_by_key(spark):
     assert store.clear(cache).count() == 0
 
 
-def test_versioned_table(spark, tmp_path):
-    table = store.VersionedTable(spark, str(tmp_path / "t"), "id long")
-    assert table.versions() == [] and table.read().count() == 0
-    table.publish(spark.range(3), 0)
-    table.publish(spark.range(5), 2)
-    (tmp_path / "t" / "v3").mkdir()  # an unfinished write is not a version
-    assert table.versions() == [0, 2]
-    assert (table.read().count(), table.before(2).count(), table.before(0).count()) == (5, 3, 0)
-
-
 def test_replay_keeps_other_columns_as_they_are(spark):
     big = 9007199254740993  # not a double
     rows = [(i, "a", i * 10, 25, big if i % 2 else None) for i in range(6)]
