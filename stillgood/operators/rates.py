@@ -10,15 +10,27 @@ from .ranking import bin_of, largest_group
 MICROS = 1_000_000
 
 
-def _binned(df: DataFrame, at: str, width: int) -> DataFrame:
-    """Each call also goes to the next bin: a look-back of one width spans two bins."""
-    own = bin_of(F.col(at), width)
-    bins = F.when(F.col("_calls") > 0, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn("_own", own).withColumn("_bin", F.explode(bins))
+def _trailing(df: DataFrame, at: str, n: str, reach: int, block: int, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over rows whose ``at`` is 1 to ``reach`` below a row's own.
 
-
-def _trailing(width: int):
-    return Window.partitionBy("_bin").orderBy("_t").rangeBetween(-width + 1, -1)
+    A row counts for what comes after it and is taken off again ``reach + 1`` later, in the block that
+    this falls into; a block starts from what still counts when it begins.  So each sum is a running one,
+    however many rows lie within reach.  ``block`` is more than ``reach``.
+    """
+    own, until = bin_of(F.col(at), block), F.col(at) + F.lit(reach + 1)
+    enters = F.struct(own.alias("_block"), F.col(at).alias("_at"), F.col(n).alias("_in"), F.lit(0).cast("long").alias("_out"), F.lit(0).cast("long").alias("_held"), F.lit(True).alias("_own"))
+    later = bin_of(until, block)
+    leaves = F.struct(
+        later.alias("_block"), until.alias("_at"), F.lit(0).cast("long").alias("_in"), F.col(n).alias("_out"),
+        F.when(later > own, F.col(n)).otherwise(F.lit(0)).alias("_held"), F.lit(False).alias("_own"),
+    )
+    marks = df.withColumn("_mark", F.explode(F.when(F.col(n) > 0, F.array(enters, leaves)).otherwise(F.array(enters)))).select("*", "_mark.*").drop("_mark")
+    along = Window.partitionBy("_block").orderBy("_at")
+    start = Window.unboundedPreceding
+    held = F.sum("_held").over(along.rowsBetween(start, Window.unboundedFollowing))
+    came, left = F.sum("_in").over(along.rangeBetween(start, -1)), F.sum("_out").over(along.rangeBetween(start, 0))
+    counted = marks.withColumn(out, held + F.coalesce(came, F.lit(0)) - left)
+    return counted.filter("_own").drop("_block", "_at", "_in", "_out", "_held", "_own")
 
 
 def api_rate(
@@ -38,10 +50,7 @@ def api_rate(
     untimed = requests.filter(F.col(at_us).isNull()).withColumn("rate", F.lit(0).cast("long"))
     log = requests.filter(F.col(at_us).isNotNull()).withColumn("_t", F.col(at_us)).withColumn("_calls", is_call.cast("long"))
     if largest_group(log, bin_of(F.col("_t"), width)) <= max_group_rows:
-        counted = _binned(log, "_t", width).withColumn(
-            "rate", F.coalesce(F.sum("_calls").over(_trailing(width)), F.lit(0))
-        )
-        return counted.filter("_bin = _own").drop("_t", "_calls", "_own", "_bin").unionByName(untimed)
+        return _trailing(log, "_t", "_calls", width - 1, width, "rate").drop("_t", "_calls").unionByName(untimed)
     rates = _folded_rates(log.groupBy("_t").agg(F.sum("_calls").alias("n")), width, max_group_rows)
     return log.join(rates, "_t").drop("_t", "_calls").unionByName(untimed)
 
@@ -67,12 +76,5 @@ def _folded_rates(instants: DataFrame, width: int, bound: int) -> DataFrame:
         .withColumn("_slice", bin_of(F.col("_t"), slice_us))
     )
     totals = instants.groupBy(bin_of(F.col("_t"), slice_us).alias("_slice")).agg(F.sum("n").alias("n"))
-    block = bin_of(F.col("_slice"), max(parts, bound))
-    earlier = Window.partitionBy("_block").orderBy("_slice").rangeBetween(-parts, -1)
-    between = (
-        totals.withColumn("_own", block)
-        .withColumn("_block", F.explode(F.array("_own", F.col("_own") + 1)))
-        .withColumn("between", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .filter("_block = _own").select("_slice", "between")
-    )
+    between = _trailing(totals, "_slice", "n", parts, parts + 1, "between").select("_slice", "between")
     return edges.join(between, "_slice").select("_t", (F.col("edge") + F.col("between")).alias("rate"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,19 @@ def test_rate_whole_and_folded(spark, bound):
     assert got == want
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 40])
+def test_rate_is_a_running_sum(spark, bound):
+    """No window adds up its look-back again for every row: all frames begin at the start of their block."""
+    base = 1_700_000_000_000_000
+    rows = [(i, base + (i // 3) * 7_000_000 + i % 3, None if i % 11 == 0 else i % 2 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, at_us long, is_call boolean")
+    rated = rates.api_rate(df, F.col("is_call"), max_group_rows=bound)
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", rated._jdf.queryExecution().analyzed().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    want = {i: sum(bool(c) and 0 < t - u < 60_000_000 for _, u, c in rows) for i, t, _ in rows}
+    assert {r.id: r.rate for r in rated.collect()} == want
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 10])
 def test_asof_whole_and_sliced(spark, bound):
     random.seed(7)
