@@ -11,8 +11,9 @@ with similarity rounded to six decimals and ties broken by entry key:
 * ``probes``: the same cells, but only the ``nprobe`` nearest; approximate.  With ``target_recall``
   the depth is the smallest at which measured requests find that share of their exact neighbours.
 
-Pairs never leave a task: a tile of entries meets a tile of requests as one
-matrix product and only the k best per request come out.
+Pairs never leave a task: tiles of entries meet tiles of requests in single precision, what may win is
+computed in double precision, and only the k best per request come out.  A request is sent once to a
+bundle of neighbouring cells, with the list of those it visits.
 """
 
 from __future__ import annotations
@@ -39,38 +40,66 @@ def _key_array(values) -> np.ndarray:
     return np.array(values, dtype=object)
 
 
-def _top(requests: np.ndarray, entries: np.ndarray, skip: np.ndarray, k: int, tile: int):
-    """Best k entry positions and scaled similarities per request row.
+def _places(keys, wanted) -> np.ndarray:
+    """Position of each wanted key among the keys, or -1."""
+    where = {key: i for i, key in enumerate(keys)}
+    return np.array([where.get(s, -1) for s in wanted], dtype=np.int64)
 
-    Entries are in key order, so a smaller position wins a tie.  ``skip`` holds
-    one position per request to leave out, or -1.
+
+class _Best:
+    """Best k entry positions and scaled similarities of some requests, met by one block of entries after another.
+
+    Entries are in key order, so a smaller position wins a tie.  ``skip`` holds one position per request
+    to leave out, or -1.  Products are taken in single precision; only what its error leaves a chance to
+    be among the k best is computed in double precision and merged.
     """
-    n = len(entries)
-    packed_best = np.full((len(requests), 0), EMPTY, dtype=np.int64)
-    for start in range(0, n, tile):
-        block = entries[start:start + tile]
-        scaled = np.rint(requests @ block.T * SCALE).astype(np.int64)
-        packed = scaled * n + (n - 1 - np.arange(start, start + len(block)))
-        inside = (skip >= start) & (skip < start + len(block))
-        packed[np.nonzero(inside)[0], skip[inside] - start] = EMPTY
-        packed_best = np.concatenate([packed_best, packed], axis=1)
-        if packed_best.shape[1] > k:
-            packed_best = -np.partition(-packed_best, k - 1, axis=1)[:, :k]
-    packed_best = -np.sort(-packed_best, axis=1)
-    scaled = np.floor_divide(packed_best, max(n, 1))
-    position = n - 1 - (packed_best - scaled * n)
-    return position, scaled, packed_best != EMPTY
-
-
-def _matches(req_ids: np.ndarray, requests, skip_keys, keys, entries, k, tile):
-    """Flat (req_id, entry_key, similarity) arrays for one request block."""
-    skip = np.full(len(requests), -1, dtype=np.int64)
-    if skip_keys is not None and len(keys):
-        where = {key: i for i, key in enumerate(keys)}
-        skip = np.array([where.get(s, -1) for s in skip_keys], dtype=np.int64)
-    position, scaled, found = _top(requests, entries, skip, k, tile)
-    rows, _ = np.nonzero(found)
-    return req_ids[rows], keys[position[found]], scaled[found] / SCALE
+
+    def __init__(self, requests: np.ndarray, skip: np.ndarray, k: int, n: int):
+        self.requests, self.single, self.skip, self.k, self.n = requests, requests.astype(np.float32), skip, k, n
+        self.best = np.full((len(requests), k), EMPTY, dtype=np.int64)
+        self.floor = np.full(len(requests), -np.inf, dtype=np.float32)
+        # a sum of d products of unit vectors, and rounding to SCALE
+        self.error = (requests.shape[1] + 8) * 2.0**-22 + 2.0 / SCALE
+
+    def meet(self, entries: np.ndarray, positions: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Put the entries at ``positions`` to the requests ``asked`` (all by default)."""
+        single = entries.astype(np.float32)
+        for start in range(0, len(self.best) if asked is None else len(asked), BLOCK):
+            rows = np.arange(start, min(start + BLOCK, len(self.best))) if asked is None else asked[start:start + BLOCK]
+            similar = self.single[rows] @ single.T
+            # NaN has always counted like any number
+            odd = np.isnan(similar)
+            if odd.any():
+                similar[odd] = np.inf
+            floor = self.floor[rows]
+            new = np.isneginf(floor)
+            if new.any() and len(entries) > self.k + 1:
+                # one of these may be skipped, so k of them are sure
+                kth = np.partition(similar[new], -self.k - 1, axis=1)[:, -self.k - 1]
+                floor[new] = np.where(np.isfinite(kth), kth - self.error, -np.inf)
+            at, column = np.nonzero(similar >= floor[:, None])
+            if len(at):
+                self._merge(rows, at, entries[column], positions[column])
+
+    def _merge(self, rows: np.ndarray, at: np.ndarray, entries: np.ndarray, positions: np.ndarray) -> None:
+        touched, at = np.unique(at, return_inverse=True)
+        rows = rows[touched]
+        scaled = np.rint(np.einsum("ij,ij->i", self.requests[rows[at]], entries) * SCALE).astype(np.int64)
+        packed = scaled * self.n + (self.n - 1 - positions)
+        packed[self.skip[rows[at]] == positions] = EMPTY
+        both = np.concatenate([self.best[rows].ravel(), packed])
+        owner = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        order = np.lexsort((-both, owner))
+        first = np.searchsorted(owner[order], np.arange(len(rows)))
+        best = both[order][first[:, None] + np.arange(self.k)]
+        self.best[rows] = best
+        full = best[:, -1] != EMPTY
+        self.floor[rows[full]] = np.floor_divide(best[full, -1], self.n) / SCALE - self.error
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, scaled similarities, and which of them there are; best first."""
+        scaled = np.floor_divide(self.best, max(self.n, 1))
+        return self.n - 1 - (self.best - scaled * self.n), scaled, self.best != EMPTY
 
 
 def _types(requests: DataFrame, entries: DataFrame) -> tuple[str, str]:
@@ -91,13 +120,23 @@ def _emit(schema: pa.Schema, ids, keys, similarity) -> pa.RecordBatch:
     )
 
 
-def _arrow_schema(requests: DataFrame, entries: DataFrame) -> pa.Schema:
+def _runs(sorted_values: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct values, and the others that go with each."""
+    values, first = np.unique(sorted_values, return_index=True)
+    return values, np.split(others, first[1:])
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def _arrow_schema(requests: DataFrame, entries: DataFrame) -> pa.Schema:
     return pa.schema(
         [
-            ("req_id", to_arrow_type(requests.schema["req_id"].dataType)),
-            ("entry_key", to_arrow_type(entries.schema["entry_key"].dataType)),
+            ("req_id", _arrow_type(requests, "req_id")),
+            ("entry_key", _arrow_type(entries, "entry_key")),
             ("similarity", pa.float64()),
         ]
     )
@@ -151,6 +190,8 @@ def knn_join(
     neighbours (1.0) take the exact search, since a sample cannot promise them.
     """
     req, ent = _requests(requests), _entries(entries)
+    # the work of a request has little to do with the bytes it takes in a file
+    req = req.repartition(2 * req.sparkSession.sparkContext.defaultParallelism, "req_id")
     if method in ("auto", "broadcast"):
         table = _fits(ent, max_broadcast_bytes)
         if table is not None:
@@ -210,25 +251,26 @@ def _broadcast_join(req: DataFrame, ent: DataFrame, table: pa.Table, k: int, til
         if not len(keys):
             return
         where = {key: i for i, key in enumerate(keys)}
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                vectors = unit_rows(list_matrix(part.column("embedding")))
-                skip = np.array(
-                    [where.get(s, -1) for s in part.column("skip_key").to_pylist()], dtype=np.int64
-                )
-                position, scaled, found = _top(vectors, matrix, skip, k, tile)
-                rows, columns = np.nonzero(found)
-                ids = part.column("req_id").take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(columns + 1, pa.int32()),
-                        pa.array(keys[position[found]].tolist(), schema.field(1).type),
-                        pa.array(scaled[found] / SCALE, pa.float64()),
-                    ],
-                    schema=ranked,
-                )
+        for part in batches:
+            if not part.num_rows:
+                continue
+            vectors = unit_rows(list_matrix(part.column("embedding")))
+            skip = np.array([where.get(s, -1) for s in part.column("skip_key").to_pylist()], dtype=np.int64)
+            best = _Best(vectors, skip, k, len(keys))
+            for start in range(0, len(keys), tile):
+                block = matrix[start:start + tile]
+                best.meet(block, np.arange(start, start + len(block)))
+            position, scaled, found = best.found()
+            rows, columns = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("req_id").take(pa.array(rows)),
+                    pa.array(columns + 1, pa.int32()),
+                    pa.array(keys[position[found]].tolist(), schema.field(1).type),
+                    pa.array(scaled[found] / SCALE, pa.float64()),
+                ],
+                schema=ranked,
+            )
 
     return req.mapInArrow(match, out)
 
@@ -257,6 +299,13 @@ class _Cells:
             .agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
             .collect()
         }
+        # neighbouring cells share a bundle: a request is sent once to each bundle, not to each cell
+        self.bundles, held = {}, 0
+        for i, cell in enumerate(sorted(self.stats)):
+            size = self.stats[cell][0]
+            if not i or held + size > 4 * tile:
+                bundle, held = cell, 0
+            self.bundles[cell], held = bundle, held + size
 
     def _assign(self) -> DataFrame:
         pivots = self.pivots
@@ -284,38 +333,39 @@ class _Cells:
         return self.ent.mapInArrow(assign, out)
 
     def _probe(self, req: DataFrame, choose) -> DataFrame:
-        """One row per request and visited cell; ``choose`` returns a mask matrix."""
-        pivots, stats = self.pivots, self.stats
+        """One row per request and bundle of visited cells; ``choose`` returns a mask matrix."""
+        pivots, stats, bundles = self.pivots, self.stats, self.bundles
+        kept = req.schema["embedding"].dataType.simpleString()
         schema = pa.schema(
             [
-                self.schema.field(0), ("embedding", pa.list_(pa.float64())),
-                ("skip_key", self.schema.field(1).type), ("cell", pa.int32()),
+                self.schema.field(0), ("embedding", _arrow_type(req, "embedding")),
+                ("skip_key", self.schema.field(1).type), ("bundle", pa.int32()), ("cells", pa.list_(pa.int32())),
             ]
         )
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = np.array(sorted(stats), dtype=np.int64)
+            of = np.array([bundles[c] for c in cells], dtype=np.int64)
             for batch in batches:
                 for start in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(start, BLOCK)
                     vectors = unit_rows(list_matrix(part.column("embedding")))
                     angle = np.arccos(np.clip(vectors @ pivots.value[cells].T, -1, 1))
                     rows, columns = np.nonzero(choose(part, cells, angle))
-                    picked = pa.array(rows)
+                    first = np.nonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(of[columns], prepend=-1) != 0))[0]
+                    picked = pa.array(rows[first])
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("req_id").take(picked),
-                            _lists(vectors[rows]),
+                            part.column("embedding").take(picked).cast(schema.field(1).type),
                             part.column("skip_key").cast(schema.field(2).type).take(picked),
-                            pa.array(cells[columns], pa.int32()),
+                            pa.array(of[columns[first]], pa.int32()),
+                            pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), pa.array(cells[columns], pa.int32())),
                         ],
                         schema=schema,
                     )
 
-        out = (
-            f"req_id {self.req_type}, embedding array<double>, "
-            f"skip_key {self.key_type}, cell int"
-        )
+        out = f"req_id {self.req_type}, embedding {kept}, skip_key {self.key_type}, bundle int, cells array<int>"
         return req.mapInArrow(probe, out)
 
     def _home(self, nprobe: int):
@@ -334,18 +384,20 @@ class _Cells:
         return choose
 
     def _match(self, probes: DataFrame) -> DataFrame:
-        """Tile the probed cells on both sides and keep the k best per request and tile."""
+        """Tile the probed bundles on both sides and keep the k best per request and tile."""
         spark = self.req.sparkSession
-        asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
-        plan = [
-            (c, ceil(self.stats[c][0] / self.tile), ceil(n / (4 * self.tile))) for c, n in asked.items()
-        ]
+        sizes: dict[int, int] = {}
+        for cell, bundle in self.bundles.items():
+            sizes[bundle] = sizes.get(bundle, 0) + self.stats[cell][0]
+        asked = {r["bundle"]: r["count"] for r in probes.groupBy("bundle").count().collect()}
+        plan = [(b, ceil(sizes[b] / (4 * self.tile)), ceil(n / (2 * self.tile))) for b, n in asked.items()]
         plan_df = F.broadcast(
-            spark.createDataFrame(plan, "cell int, entry_tiles int, request_tiles int")
+            spark.createDataFrame(plan, "bundle int, entry_tiles int, request_tiles int")
         )
+        of = F.broadcast(spark.createDataFrame(sorted(self.bundles.items()), "cell int, bundle int"))
 
         def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-            sized = df.join(plan_df, "cell")
+            sized = df.join(plan_df, "bundle")
             mine = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
             return (
                 sized.withColumn(own[:-1], mine)
@@ -355,27 +407,32 @@ class _Cells:
 
         left = spread(probes, "req_id", "request_tiles", "entry_tiles")
         right = spread(
-            self.assigned.select("entry_key", "embedding", "cell"),
+            self.assigned.select("entry_key", "embedding", "cell").join(of, "cell"),
             "entry_key", "entry_tiles", "request_tiles",
         )
-        k, tile, schema = self.k, self.tile, self.schema
+        k, schema = self.k, self.schema
 
         def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
             if not asked.num_rows or not held.num_rows:
                 return pa.Table.from_batches([], schema)
             held = held.sort_by("entry_key")
             keys, matrix = _key_array(held["entry_key"].to_pylist()), list_matrix(held["embedding"])
-            out = []
-            for start in range(0, asked.num_rows, BLOCK):
-                part = asked.slice(start, BLOCK)
-                found = _matches(
-                    _key_array(part["req_id"].to_pylist()), list_matrix(part["embedding"]),
-                    part["skip_key"].to_pylist(), keys, matrix, k, tile,
-                )
-                out.append(_emit(schema, *found))
-            return pa.Table.from_batches(out, schema)
-
-        tile_keys = ["cell", "request_tile", "entry_tile"]
+            cell = held["cell"].to_numpy()
+            best = _Best(unit_rows(list_matrix(asked["embedding"])), _places(keys, asked["skip_key"].to_pylist()), k, len(keys))
+            visits = asked["cells"].combine_chunks()
+            visitors = np.repeat(np.arange(asked.num_rows), visits.value_lengths().to_numpy(zero_copy_only=False))
+            visited = visits.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(visited, kind="stable")
+            for c, mine in zip(*_runs(visited[order], visitors[order])):
+                positions = np.nonzero(cell == c)[0]
+                if len(positions):
+                    best.meet(matrix[positions], positions, mine)
+            position, scaled, found = best.found()
+            rows, _ = np.nonzero(found)
+            ids = _key_array(asked["req_id"].to_pylist())
+            return pa.Table.from_batches([_emit(schema, ids[rows], keys[position[found]], scaled[found] / SCALE)], schema)
+
+        tile_keys = ["bundle", "request_tile", "entry_tile"]
         out = f"req_id {self.req_type}, entry_key {self.key_type}, similarity double"
         return left.groupBy(*tile_keys).cogroup(right.groupBy(*tile_keys)).applyInArrow(meet, out)
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stillgood.operators import knn
 from stillgood.operators.knn import knn_join, nearest_one, probe_depth
 
 
@@ -96,3 +97,28 @@ def test_recall_target_is_reached(spark, target, every):
     want = brute(vectors, vectors, 5, skip=range(500))
     found = sum(len({k for k, _ in got[i]} & {k for k, _ in want[i]}) for i in want)
     assert found >= target * 5 * len(want)
+
+
+def test_a_request_is_sent_once_to_neighbouring_cells(spark):
+    vectors = np.random.default_rng(3).normal(size=(120, 12))
+    req, ent = frames(spark, vectors, vectors, skip=True)
+    cells = knn._Cells(knn._requests(req), knn._entries(ent), 5, 8192, 16)
+    sent = cells._probe(cells.req, lambda part, names, angle: np.ones(angle.shape, bool)).collect()
+    assert len(cells.stats) > 1 and len(sent) == 120
+    assert all(sorted(r.cells) == sorted(cells.stats) for r in sent)
+
+
+def test_near_ties_are_settled_in_double_precision():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    entries = unit(base + 2e-3 * rng.normal(size=(700, 16)))
+    requests, skip = unit(base + 2e-3 * rng.normal(size=(40, 16))), np.arange(40)
+    best = knn._Best(requests, skip, 5, 700)
+    for part in np.array_split(rng.permutation(700), 6):
+        best.meet(entries[np.sort(part)], np.sort(part))
+    position, scaled, found = best.found()
+    exact = np.rint(np.einsum("ij,kj->ik", requests, entries) * knn.SCALE).astype(int)
+    exact[np.arange(40), skip] = -knn.SCALE - 1
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    assert found.all() and (scaled == np.take_along_axis(exact, want, axis=1)).all() and (position == want).all()
