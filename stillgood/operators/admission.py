@@ -55,7 +55,10 @@ def judge_answers(
 
 
 def admitted_entries(judged: DataFrame, lifetimes=C.LIVE_LIFETIMES) -> DataFrame:
-    """Cache entries for admitted answers; repeats of a key keep the latest."""
+    """Cache entries for admitted answers; repeats of a key keep the latest.
+
+    Entries take ``vector_id`` along where ``judged`` has it in place of ``embedding``.
+    """
     kept = judged.filter("admit_to_cache").select(
         cache_key(F.col("query")).alias("entry_key"),
         "query",
@@ -63,7 +66,8 @@ def admitted_entries(judged: DataFrame, lifetimes=C.LIVE_LIFETIMES) -> DataFrame
         "category",
         F.col("at_us").alias("cached_us"),
         expires_us(F.col("at_us"), F.col("category"), lifetimes).alias("expires_us"),
-        F.col("embedding") if "embedding" in judged.columns
+        F.col("vector_id") if "vector_id" in judged.columns
+        else F.col("embedding") if "embedding" in judged.columns
         else F.lit(None).cast("array<float>").alias("embedding"),
     )
     return topk(kept, ["entry_key"], [F.desc("cached_us"), F.desc("query")], 1).drop("rank")

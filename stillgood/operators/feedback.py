@@ -99,6 +99,30 @@ def settle_thresholds(
     counts first. At worst, when every slice hands on another ending each time, there are as many
     rounds as slices; a silence as long as the window, or more than enough calls for sure, ends that.
     """
+    return with_thresholds(requests, at_us, settled_instants(requests, at_us, goes_upstream, config, earlier_calls, slice_us), config)
+
+
+def with_thresholds(requests: DataFrame, at_us: str, settled: DataFrame | None, config: C.CacheConfig = C.CacheConfig()) -> DataFrame:
+    """Adds ``threshold`` from ``settled(at, threshold)``: the quiet one where no instant settles it."""
+    if settled is None:
+        return requests.withColumn("threshold", F.lit(config.quiet_threshold))
+    decided = settled.select(F.col("at").alias("_at"), "threshold")
+    joined = requests.join(decided, F.col(at_us).cast("long") == F.col("_at"), "left").drop("_at")
+    return joined.withColumn("threshold", F.coalesce("threshold", F.lit(config.quiet_threshold)))
+
+
+def settled_instants(
+    requests: DataFrame,
+    at_us: str,
+    goes_upstream: Callable[[Column], Column],
+    config: C.CacheConfig = C.CacheConfig(),
+    earlier_calls: DataFrame | None = None,
+    slice_us: int | None = None,
+) -> DataFrame | None:
+    """The instants of :func:`settle_thresholds`, ``(at, threshold)``; None if there are none.
+
+    ``requests`` need no columns but those that ``goes_upstream`` and the time take.
+    """
     asked = requests.filter(F.col(at_us).isNotNull())
     counts = [F.count_if(goes_upstream(F.lit(t))).alias(f"n{i}") for i, t in enumerate(_bands(config))]
     instants = asked.groupBy(F.col(at_us).cast("long").alias("at")).agg(*counts)
@@ -112,7 +136,7 @@ def settle_thresholds(
     span = instants.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).first()
     thresholds = F.element_at(F.array(*map(F.lit, _bands(config))), F.col("band") + 1)
     if not span["n"]:
-        return requests.withColumn("threshold", F.lit(config.quiet_threshold))
+        return None
     if slice_us is None:
         parts = max(1, min(MAX_SLICES, -(-span["n"] // SLICE_INSTANTS)))
         slice_us = -(-(span["hi"] - span["lo"] + 1) // parts)
@@ -139,9 +163,7 @@ def settle_thresholds(
         if mine:
             kept = walk.filter(F.col("slice").isin(mine)) if len(mine) < len(newest) else walk
             settled = kept if settled is None else settled.unionByName(kept)
-    decided = settled.select(F.col("at").alias("_at"), thresholds.alias("threshold"))
-    joined = requests.join(decided, F.col(at_us).cast("long") == F.col("_at"), "left").drop("_at")
-    return joined.withColumn("threshold", F.coalesce("threshold", F.lit(config.quiet_threshold)))
+    return settled.select("at", thresholds.alias("threshold"))
 
 
 def _differs(now: list, was: list, part: int, low: int, slice_us: int, window: int) -> bool:

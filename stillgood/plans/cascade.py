@@ -18,7 +18,7 @@ from ..functions.text import (
     rewrite_prompt_strict, strip, trim_history,
 )
 from ..operators.admission import admit_and_store
-from ..operators.feedback import settle_thresholds
+from ..operators.feedback import settled_instants, with_thresholds
 from ..operators.knn import knn_join, nearest_one
 from ..operators.lookup import asof_lookup, exact_lookup
 from ..operators.memo import memo_score
@@ -90,24 +90,43 @@ def label_requests(requests: DataFrame, plugins: Plugins, once: ScoreOnce = memo
     ).drop("_l")
 
 
-def semantic_candidates(
-    requests: DataFrame, semantic: DataFrame, plugins: Plugins, config: C.CacheConfig
-) -> DataFrame:
+def vector_id(embedding: Column) -> Column:
+    """128 bits that stand for a vector; NULL for none."""
+    digest = F.concat(F.hex(F.xxhash64(embedding)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), embedding)))
+    # the hash passes over missing elements
+    gaps = F.exists(embedding, lambda x: x.isNull())
+    return F.when(gaps, F.md5(F.to_json(F.struct(embedding)))).when(embedding.isNotNull(), digest)
+
+
+def vectors_apart(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with ``vector_id`` in place of ``embedding``, and each vector once, written.
+
+    Requests repeat and so do their vectors: what is joined and written per request carries the id alone.
+    """
+    vectors = requests.select(vector_id(F.col("embedding")).alias("vector_id"), "embedding").filter("vector_id IS NOT NULL")
+    return requests.withColumn("vector_id", vector_id(F.col("embedding"))).drop("embedding"), written(vectors.distinct(), "vectors")
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, keys: tuple[str, ...] = ("vector_id",)) -> DataFrame:
+    """``rows`` with ``embedding`` in place of ``vector_id``; Spark leaves the join out where nobody asks for it."""
+    return rows.join(vectors.dropDuplicates(list(keys)), list(keys), "left").drop("vector_id")
+
+
+def semantic_candidates(requests: DataFrame, vectors: DataFrame, semantic: DataFrame, config: C.CacheConfig) -> DataFrame:
     """Top-k entries per distinct request text, with the entry's own columns.
 
-    Requests repeat, so vectors are embedded and searched once per
-    (query, skipped entry) and the result is keyed by ``probe_id``.
+    The result is keyed by ``probe_id``, one per (query, skipped entry). Texts share vectors too, so
+    each (vector, skipped entry) is searched once.
     """
-    keys = ["query"] + [c for c in ("skip_key",) if c in requests.columns]
-    probes = requests.select("probe_id", *keys, *[c for c in ("embedding",) if c in requests.columns])
-    probes = topk(probes, ["probe_id"], [F.col("query")], 1).drop("rank")
-    if plugins.embedder is not None:
-        probes = probes.withColumn("embedding", plugins.embedder(F.col("query")))
+    skip = [c for c in ("skip_key",) if c in requests.columns]
+    probes = requests.groupBy("probe_id", "query", *skip).agg(F.min("vector_id").alias("vector_id"))
+    search = F.md5(F.to_json(F.struct("vector_id", *skip)))
+    probes = written(probes.filter("vector_id IS NOT NULL").withColumn("search_id", search), "probes")
     found = knn_join(
-        probes.withColumnRenamed("probe_id", "req_id"), semantic, config.k,
-        max_broadcast_bytes=config.max_broadcast_bytes, tile_rows=config.tile_rows,
+        probes.select(F.col("search_id").alias("req_id"), "vector_id", *skip).distinct().join(vectors, "vector_id"),
+        semantic, config.k, max_broadcast_bytes=config.max_broadcast_bytes, tile_rows=config.tile_rows,
         max_pivots=config.max_pivots,
-    ).withColumnRenamed("req_id", "probe_id")
+    ).withColumnRenamed("req_id", "search_id")
     entry = semantic.select(
         "entry_key",
         F.col("query").alias("cached_query"),
@@ -115,7 +134,7 @@ def semantic_candidates(
         F.coalesce("category", F.lit(C.STATIC)).alias("cached_category"),
         *[F.col(c).alias(f"entry_{c}") for c in semantic.columns if c.startswith("x_")],
     )
-    return found.join(entry, "entry_key").join(probes.select("probe_id", *keys), "probe_id")
+    return found.join(entry, "entry_key").join(probes.drop("vector_id"), "search_id").drop("search_id")
 
 
 def verify_candidates(
@@ -214,6 +233,26 @@ def cascade(
     the final join, so they are written once (``config.materialize``; always when
     a model produced them, so that no model runs twice).
     """
+    return with_vectors(*decide(
+        requests, exact, semantic, config, plugins, score_candidates, exact_is_log, signals, earlier_calls, kept_scores
+    ))
+
+
+def decide(
+    requests: DataFrame,
+    exact: DataFrame,
+    semantic: DataFrame,
+    config: C.CacheConfig = C.CacheConfig(),
+    plugins: Plugins = Plugins(),
+    score_candidates: Callable[[DataFrame], DataFrame] | None = None,
+    exact_is_log: bool = False,
+    signals=C.CONTEXT_SIGNALS,
+    earlier_calls: DataFrame | None = None,
+    kept_scores: Mapping[str, ScoreOnce] = {},
+) -> tuple[DataFrame, DataFrame]:
+    """The decisions of :func:`cascade` with ``vector_id`` in place of ``embedding``, and the vectors."""
+    if plugins.embedder is None:
+        requests, vectors = vectors_apart(requests)
     resolved = resolve_context(requests, plugins, signals, config.history_turns)
     labelled = label_requests(resolved, plugins, kept_scores.get("classifier", memo_score))
     keyed = labelled.withColumn("entry_key", cache_key(F.col("query")))
@@ -241,31 +280,35 @@ def cascade(
         looked = _scored_once(
             looked.drop("embedding"), plugins.embedder, [F.col("query")], "embedding", F.col("undecided"), embed_once
         )
-        looked, plugins = written(looked, "embedded"), replace(plugins, embedder=None)
+        looked, vectors = vectors_apart(written(looked, "embedded"))
+        plugins = replace(plugins, embedder=None)
     live = semantic
     if config.expire_semantic:
         newest = looked.agg(F.max("at_us").alias("now")).scalar()
         live = semantic.filter(F.col("expires_us").isNull() | (F.col("expires_us") > newest))
-    candidates = semantic_candidates(looked.filter("undecided"), live, plugins, config)
+    candidates = semantic_candidates(looked.filter("undecided"), vectors, live, config)
     if score_candidates is not None:
         candidates = score_candidates(candidates)
     verified = verify_candidates(candidates, plugins, config, kept_scores)
-    joined = looked.join(verified, "probe_id", "left")
+    threshold = F.lit(config.quiet_threshold)
     if config.fixed_threshold is not None:
         threshold = F.lit(config.fixed_threshold)
-    elif "rate" in joined.columns:
+    elif "rate" in looked.columns:
         threshold = dynamic_threshold(F.coalesce("rate", F.lit(0)), config)
     elif earlier_calls is not None:
+        # one row per probe; the timeline needs no more of a request than whether it may become a call
+        verified = written(verified, "verified")
         fits = verify_pair(F.col("rerank_score"), F.col("nu"), F.col("answer_relevance"), config)
-        asks = joined.withColumns({"_open": F.col("undecided") & ~fits, "_volatile": volatile})
-        joined = settle_thresholds(
-            written(asks, "verified"), "at_us",
-            lambda t: F.col("_volatile") | (F.col("_open") & ~fast_accept(F.col("nearest.similarity"), t)),
+        checked = verified.select("probe_id", fits.alias("_fits"), F.col("nearest.similarity").alias("_near"))
+        asks = looked.select("at_us", "probe_id", "undecided", volatile.alias("_volatile")).join(checked, "probe_id", "left")
+        open_ = F.col("undecided") & ~F.coalesce("_fits", F.lit(False))
+        settled = settled_instants(
+            written(asks.select("at_us", "_volatile", open_.alias("_open"), "_near"), "asks"), "at_us",
+            lambda t: F.col("_volatile") | (F.col("_open") & ~fast_accept(F.col("_near"), t)),
             config, earlier_calls,
         )
-        threshold = F.col("threshold")
-    else:
-        threshold = F.lit(config.quiet_threshold)
+        looked, threshold = with_thresholds(looked, "at_us", settled, config), F.col("threshold")
+    joined = looked.join(verified, "probe_id", "left")
     source = (
         F.when(volatile, F.lit(C.GEMINI_VOLATILE))
         .when(F.col("exact_hit"), F.lit(C.REDIS_HIT))
@@ -277,7 +320,7 @@ def cascade(
         .otherwise(F.lit(C.GEMINI_API))
     )
     decided = joined.withColumns({"source": source, "threshold": F.when(F.col("undecided"), threshold)})
-    return _decision_rows(decided, plugins)
+    return _decision_rows(decided, plugins), vectors
 
 
 def _decision_rows(decided: DataFrame, plugins: Plugins) -> DataFrame:
@@ -301,7 +344,7 @@ def _decision_rows(decided: DataFrame, plugins: Plugins) -> DataFrame:
         values[c].alias(c) if c in values else F.col(c)
         for c in DECISION_COLUMNS
     ]
-    extra = [c for c in ("query_key", "label", "embedding") if c in decided.columns]
+    extra = ["query_key", "label", "vector_id"]
     return decided.select(*kept, *extra)
 
 

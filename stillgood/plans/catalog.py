@@ -713,12 +713,11 @@ def cascade_stream(spark, sf_dir):
     The threshold of each request follows the calls of the half hour before it, of both batches.
     """
     path = scratch_path(spark, "cascade")
-    requests = X.event_requests(spark, sf_dir).drop("rate")
+    # events are dealt before they get their vectors, and alike both times, so both passes have the same number of files
+    requests = X.event_requests(spark, sf_dir, spark.sparkContext.defaultParallelism).drop("rate")
     files = 0
     for part in range(2):
         late = requests.withColumn("at_us", F.col("at_us") + part * X.MINUTE_US)
-        # the same hash split both times, so both passes have the same number of files
-        late = late.repartition(spark.sparkContext.defaultParallelism, "req_id")
         late.write.mode("append").parquet(f"{path}/requests")
         files = files or len(spark.read.parquet(f"{path}/requests").inputFiles())
     source = streams.file_stream(spark, f"{path}/requests", _ddl(late), files_per_batch=files)

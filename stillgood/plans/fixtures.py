@@ -181,9 +181,10 @@ def event_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of the flagship cascade: every event, with its user's vector."""
+def event_requests(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Requests of the flagship cascade: every event, with its user's vector; dealt by user into ``parts``, if given."""
     e = with_rate(decisions(spark, sf_dir))
+    e = e if parts is None else e.repartition(parts, "user_id")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
     own = cache_key(F.concat(F.lit("vec "), F.col("user_id").cast("string")))
     return e.join(v, "user_id").select(

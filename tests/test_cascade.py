@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from stillgood import config as C
 from stillgood.functions.plugins import Plugins, batch_model, only_where
 from stillgood.functions.text import cache_key
+from stillgood.operators.knn import knn_join
 from stillgood.plans.answer_cache import AnswerCache
 from stillgood.plans.cascade import cascade, prototype_cascade, resolve_context, store_misses
 from stillgood.plans.evaluation import evaluation_rows, write_evaluation
@@ -226,3 +227,46 @@ def test_populate_then_probe_and_report(spark, tmp_path):
     wrong = io.read_csv(spark, paths["wrong_hits"]).collect()
     assert len(wrong) == sum(r.cache_hit for r in got.values()) > 0
     assert {(r.similarity_to_gt, r.is_wrong_hit) for r in wrong} == {("0.7071", "false")}
+
+
+def test_requests_of_one_vector_are_searched_once(spark, monkeypatch):
+    """Other words, same vector and skipped entry: one search, whose result every text gets."""
+    from stillgood.plans import cascade as module
+
+    searched = []
+
+    def search(requests, *args, **options):
+        searched.append(requests.count())
+        return knn_join(requests, *args, **options)
+
+    monkeypatch.setattr(module, "knn_join", search)
+    same = [(i, f"France, capital {i % 3}", 10, "Static", 0.9, [0.99, 0.05, 0.0], None) for i in range(9)]
+    other = [(9, "mars", 10, "Static", 0.9, [0.0, 1.0, 0.0], None), (10, "no vector", 10, "Static", 0.9, None, None)]
+    out = cascade(spark.createDataFrame(same + other, REQUEST), exact(spark), semantic(spark), C.CacheConfig(), plugins()).collect()
+    assert searched == [2]
+    assert {r.req_id: r.answer for r in out} == {**{i: "Paris" for i in range(9)}, 9: "small", 10: "[LLM placeholder for: no vector]"}
+    assert {r.req_id: r.embedding for r in out} == {r[0]: r[5] for r in same + other}
+
+
+def test_logs_name_vectors_and_keep_each_once(spark, tmp_path):
+    rows = [(i, f"text {i % 2}", i, "Static", 0.9, [1.0, float(i % 2), 0.0], None) for i in range(6)]
+    rows += [(6, "gap", 6, "Static", 0.9, None, None)]
+    cache = AnswerCache(spark, str(tmp_path / "cache"), plugins=Plugins(judge=judge))
+    asked = cache.ask(spark.createDataFrame(rows, REQUEST))
+    want = {r[0]: r[5] for r in rows}
+    assert {r.req_id: r.embedding for r in asked.collect()} == want
+    assert {r.req_id: r.embedding for r in cache.decisions().collect()} == want
+    for log in ("decisions", "admissions"):
+        assert "embedding" not in spark.read.parquet(str(tmp_path / "cache" / log)).columns
+    assert spark.read.parquet(str(tmp_path / "cache" / "vectors")).count() == 2
+    assert {r.query: r.embedding for r in cache.semantic.read().collect()} == {"text 0": [1.0, 0.0, 0.0], "text 1": [1.0, 1.0, 0.0], "gap": None}
+    plan = cache.decisions().select("req_id", "source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_vector_ids(spark):
+    from stillgood.plans.cascade import vector_id
+
+    vectors = [[1.0, 2.0], [2.0, 1.0], [1.0, None, 2.0], [1.0, 2.0, None], [None, 1.0, 2.0], [], [0.0], [0.0, 0.0], None]
+    ids = [r.v for r in spark.createDataFrame([(v,) for v in vectors], "e array<float>").select(vector_id(F.col("e")).alias("v")).collect()]
+    assert ids[-1] is None and len(set(ids)) == len(vectors)
