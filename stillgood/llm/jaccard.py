@@ -26,6 +26,8 @@ from .common import STEP, broadcast_if_small, components, hashed_words, mixed
 #: Shingles that get a frequency rank, and how often a task must see one to name it. Ranks only
 #: order prefixes; any order gives the same links.
 RANKED, SEEN_OFTEN, FLUSH_SHINGLES = 524_288, 2, 6_000_000
+#: Shingles that are counted, and texts that are signed, at a time.
+COUNTED, SIGNED = 500_000, 500
 #: Groups of a list that are compared pair by pair; sets of a tile; columns of one matrix product.
 FEW, TILE, COLUMNS = 16, 512, 2_048
 SMALL_IDS = 500_000
@@ -49,12 +51,15 @@ def _frequent(n: int):
         seen, held = np.empty(FLUSH_SHINGLES, np.int64), 0
 
         def out():
-            found = seen[:held]
+            found, start = seen[:held], 0
             found.sort()
-            again = found[1:][found[1:] == found[:-1]]
-            values, counts = np.unique(again, return_counts=True)
-            often = counts + 1 >= SEEN_OFTEN
-            yield pa.record_batch({"shingle": pa.array(values[often]), "n": pa.array(counts[often].astype(np.int64) + 1)})
+            while start < held:
+                # a part ends with the last copy of a shingle
+                end = int(np.searchsorted(found, found[min(start + COUNTED, held) - 1], side="right"))
+                part, start = found[start:end], end
+                values, counts = np.unique(part[1:][part[1:] == part[:-1]], return_counts=True)
+                often = counts + 1 >= SEEN_OFTEN
+                yield pa.record_batch({"shingle": pa.array(values[often]), "n": pa.array(counts[often].astype(np.int64) + 1)})
 
         for batch in batches:
             for h in hashed_words(batch.column("text")):
@@ -75,20 +80,24 @@ def _frequent(n: int):
 def _signed(n: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
     """Size, digest and prefix of every text's set."""
 
+    def signed(batch):
+        sizes, digests, prefixes = [], [], []
+        for h in hashed_words(batch.column("text")):
+            s = shingles(h, n)
+            sizes.append(len(s))
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            often = np.zeros(len(s), np.int64)
+            if len(ranked):
+                at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+                often = np.where(ranked[at] == s, rank[at], 0)
+            prefixes.append(s[np.lexsort((s, often))[: len(s) + 1 - -(-percent * len(s) // 100)]] if len(s) else s)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
+        return pa.record_batch({"id": batch.column("id"), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": lists})
+
     def run(batches):
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for h in hashed_words(batch.column("text")):
-                s = shingles(h, n)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                often = np.zeros(len(s), np.int64)
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-                    often = np.where(ranked[at] == s, rank[at], 0)
-                prefixes.append(s[np.lexsort((s, often))][: len(s) + 1 - -(-percent * len(s) // 100)] if len(s) else s)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.record_batch({"id": batch.column("id"), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": lists})
+            for start in range(0, batch.num_rows, SIGNED):
+                yield signed(batch.slice(start, SIGNED))
 
     return run
 

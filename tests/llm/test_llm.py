@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -478,3 +479,16 @@ def test_passages_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and passages.repeated_passages(no_docs).count() == 0
     by_id = {r.id: r for r in got}
     assert by_id[7].component_id == 6 and by_id[6].spans and by_id[1].component_id == 1 and by_id[None].component_id is None
+
+
+def test_signing_and_counting_go_by_pieces(monkeypatch):
+    texts = pa.array([" ".join(f"w{(i * 7 + j) % 50}" for j in range(i % 40)) for i in range(1_200)])
+    batch, none = pa.record_batch({"id": pa.array(range(1_200)), "text": texts}), np.zeros(0, np.int64)
+    signed = list(jaccard._signed(5, 80, none, none)(iter([batch])))
+    assert max(b.num_rows for b in signed) <= jaccard.SIGNED
+    assert [i for b in signed for i in b.column("id").to_pylist()] == list(range(1_200))
+    want = Counter(int(x) for h in common.hashed_words(texts) for x in jaccard.shingles(h, 5))
+    for part in (1, 3, jaccard.COUNTED):
+        monkeypatch.setattr(jaccard, "COUNTED", part)
+        rows = [pair for b in jaccard._frequent(5)(iter([batch])) for pair in zip(*(b.column(c).to_pylist() for c in ("shingle", "n")))]
+        assert len(rows) == len(dict(rows)) and dict(rows) == {k: n for k, n in want.items() if n > 1}
