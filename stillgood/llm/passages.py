@@ -28,6 +28,8 @@ PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
 #: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
 #: may be broadcast.
 TILE, COLUMNS, SMALL_IDS = 256, 2_048, 20_000
+#: Bits per key of the map of repeated keys, and its bits at most (64 MB), as powers of two.
+KEY_BITS, MAP_BITS = 4, 29
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the ``n``-word shingles in the order of the words; none below ``n`` words."""
@@ -93,8 +95,30 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
         yield key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)
 
 
-def _windows(passage: int, n: int, bands: int, whole: bool = True):
-    """Intervals of all texts; not ``whole``: their keys only."""
+def key_map(keys: DataFrame, most: int = MAP_BITS) -> tuple[np.ndarray, int]:
+    """One bit for each place that some key of ``keys`` (written) hashes to, and the mask that gives the place.
+
+    Keys are spread evenly, so their own bits do. A fuller map only lets more keys pass that are not there.
+    """
+    bits = min(most, max(15, int(keys.count()).bit_length() + KEY_BITS))
+    place = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit((1 << bits) - 1))
+    # Spark numbers bitmaps of 4 KB from 1, for values from 1
+    parts = (keys.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("at"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toArrow())
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    for at, part in zip(parts.column("at").to_pylist(), parts.column("bits")):
+        found[(at - 1) * 4096 : at * 4096] = np.frombuffer(part.as_buffer(), np.uint8)
+    return found, (1 << bits) - 1
+
+
+def may_hold(found: np.ndarray, mask: int, key: np.ndarray) -> np.ndarray:
+    """Whether a key may be one of those that the map was made of."""
+    place = (key.view(np.uint64) >> np.uint64(1)) & np.uint64(mask)
+    return (found[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _windows(passage: int, n: int, bands: int, wanted=None):
+    """Keys of the intervals of all texts; with ``wanted``, a broadcast map of keys, all of the intervals it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +133,12 @@ def _windows(passage: int, n: int, bands: int, whole: bool = True):
                     if lengths.max() < passage:
                         continue
                     for key, digest, place, start, count in intervals(shingle_hashes(h, n), lengths, passage, n, bands):
-                        rest = {"digest": pa.array(digest), "id": ids.take(pa.array(place)), "start": pa.array(start), "n": pa.array(count)} if whole else {}
-                        yield pa.record_batch({"key": pa.array(key), **rest})
+                        if wanted is None:
+                            yield pa.record_batch({"key": pa.array(key)})
+                            continue
+                        keep = np.flatnonzero(may_hold(*wanted.value, key))
+                        yield pa.record_batch({"key": pa.array(key[keep]), "digest": pa.array(digest[keep]), "id": ids.take(pa.array(place[keep])),
+                                               "start": pa.array(start[keep]), "n": pa.array(count[keep])})
 
     return run
 
@@ -242,9 +270,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def with_wanted(wanted: DataFrame) -> DataFrame:
         return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
 
-    windows = known.mapInArrow(_windows(passage, n, bands), f"key long, digest long, id {kind}, start int, n int")
-    signed = known.mapInArrow(_windows(passage, n, bands, whole=False), "key long")
+    signed = known.mapInArrow(_windows(passage, n, bands), "key long")
     keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
+    # most keys come once: their intervals leave no task
+    wanted = docs.sparkSession.sparkContext.broadcast(key_map(keys))
+    windows = known.mapInArrow(_windows(passage, n, bands, wanted), f"key long, digest long, id {kind}, start int, n int")
     met = written(windows.join(keys, "key"), "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("id", "start", "n"))), "classes")
     # word for word: every member hangs on one of its class, whichever comes first

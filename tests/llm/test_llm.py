@@ -492,3 +492,16 @@ def test_signing_and_counting_go_by_pieces(monkeypatch):
         monkeypatch.setattr(jaccard, "COUNTED", part)
         rows = [pair for b in jaccard._frequent(5)(iter([batch])) for pair in zip(*(b.column(c).to_pylist() for c in ("shingle", "n")))]
         assert len(rows) == len(dict(rows)) and dict(rows) == {k: n for k, n in want.items() if n > 1}
+
+
+def test_key_map_holds_all_its_keys_and_few_others(spark):
+    rng = np.random.default_rng(5)
+    keys, others = (rng.integers(-(1 << 63), (1 << 63) - 1, 3_000) for _ in range(2))
+    keys[:4] = [0, 1, -1, -(1 << 63)]
+    frame = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    found, mask = passages.key_map(frame)
+    assert passages.may_hold(found, mask, keys).all() and passages.may_hold(found, mask, others).mean() < 0.15
+    found, mask = passages.key_map(frame, most=15)
+    assert mask == (1 << 15) - 1 and passages.may_hold(found, mask, keys).all()
+    found, mask = passages.key_map(frame.limit(0))
+    assert not passages.may_hold(found, mask, others).any()
