@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import in_small_batches
+
 #: Characters of text after which a task begins a new block; bounds the memory of a block.
 BLOCK_CHARS = 32_000_000
 #: Words whose ids a task holds before it sends them back, and documents in one step of gathering ids.
@@ -203,7 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     ids stand for, looked up in the token table as ``decode`` does.
     """
     usual = usual or pattern
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
+    rows = in_small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.spark_partition_id().alias("part")))
     id_type = rows.schema["id"].dataType.simpleString()
     found = rows.select("text", "part").mapInArrow(_block_words(pattern, usual), "block long, code int, word string")
     merged = found.repartition("word").sortWithinPartitions("word").mapInArrow(_merge_words(ranks, pattern), "block long, words int, codes binary")

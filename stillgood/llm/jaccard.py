@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import in_small_batches, written
 from .common import STEP, broadcast_if_small, components, hashed_words, mixed
 
 #: Shingles that get a frequency rank, and how often a task must see one to name it. Ranks only
@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     linked where any of them is; a null id links with nothing and has no component. An empty table
     gives no rows; other columns are not read. Lists of shingles are 64-bit hashes.
     """
-    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    docs = in_small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     kind = docs.schema["id"].dataType.simpleString()
     top = (
         docs.select("text").mapInArrow(_frequent(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))

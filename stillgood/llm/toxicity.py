@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import in_small_batches, written
 from .common import broadcast_if_small
 
 TOKEN = re.compile(r"\w+")
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .agg((F.max(toxic) > 0).cast("int").alias("toxic")).where(F.crc32(F.col("id").cast("string")) % held_out_modulus != held_out)
     )
     marks = broadcast_if_small(written(marks, "labels"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks, "id")
+    rows = in_small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marks, "id"))
     sizes = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "te
                 spans.append([{"start": h[1], "end": h[2], "probability": float(x)} for h, x in zip(hits, p) if x >= min_marginal])
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array(scores, pa.float64()), "spans": pa.array(spans, kind)})
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = in_small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     id_type = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {id_type}, score double, spans array<struct<start: int, end: int, probability: double>>")
 
@@ -308,5 +308,5 @@ def without_toxic(docs: DataFrame, model: Field, text: str = "text", threshold:
                 keep.append(model.score(model.marginals(n, hits)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    rows = in_small_batches(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))))
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -505,3 +505,25 @@ def test_key_map_holds_all_its_keys_and_few_others(spark):
     assert mask == (1 << 15) - 1 and passages.may_hold(found, mask, keys).all()
     found, mask = passages.key_map(frame.limit(0))
     assert not passages.may_hold(found, mask, others).any()
+
+
+@pytest.mark.parametrize("operator", [
+    lambda docs: toxicity.score(docs, toxicity.Field()), lambda docs: toxicity.without_toxic(docs, toxicity.Field()),
+    lambda docs: bpe.encode(docs, {bytes([i]): i for i in range(256)}, public_tokenizers.PATTERN), lambda docs: jaccard.jaccard_components(docs.limit(5))])
+def test_long_texts_reach_python_in_small_batches(spark, operator):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 20000) AS text")
+
+    def sizes(batches):
+        yield from (pa.record_batch({"bytes": pa.array([b.nbytes], pa.int64())}) for b in batches)
+
+    try:
+        operator(docs)
+        got = docs.mapInArrow(sizes, "bytes long").toArrow().column("bytes").to_pylist()
+        assert sum(got) > 20_000_000 and max(got) < 2_200_000
+        spark.conf.set(setting, "500000")  # a session's own setting stays
+        operator(docs)
+        assert spark.conf.get(setting) == "500000"
+    finally:
+        spark.conf.unset(setting)
