@@ -6,9 +6,10 @@ a passage matter, and for passages of one length they are the runs of the slidin
 the windows of two hash functions overlap, an interval of passages shares two min-hashes: its
 signature. Intervals of equal signature are joined and verified.
 
-Equal intervals collapse before the join, so a passage that many documents repeat word for word is
-one member of its list. Lists whose members those repeats connect already are done; the others meet
-tile by tile, and only links that connect leave a task.
+The first pair alone finds every word-for-word repeat, as equal passages have equal min-hashes. What
+those repeats connect is known before all pairs are gone through, so that only the intervals of lists
+that still hold several components leave a task. Equal intervals are one member of their list; members
+meet tile by tile, and only links that connect leave a task.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import in_small_batches, written
 from .common import STEP, TOGETHER, broadcast_if_small, components, encoded, mixed, prefix_sums, word_hashes
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
 PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
-#: Members of a list that meet in one task; columns of one matrix product; ids with their intervals that
-#: may be broadcast.
-TILE, COLUMNS, SMALL_IDS = 256, 2_048, 20_000
+#: Members of a list that meet in one task; columns of one matrix product; ids with their intervals, and
+#: with their component, that may be broadcast.
+TILE, COLUMNS, SMALL_IDS, SMALL_LABELS = 256, 2_048, 20_000, 500_000
 #: Bits per key of the map of repeated keys, and its bits at most (64 MB), as powers of two.
 KEY_BITS, MAP_BITS = 4, 29
 
@@ -117,8 +118,8 @@ def may_hold(found: np.ndarray, mask: int, key: np.ndarray) -> np.ndarray:
     return (found[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _windows(passage: int, n: int, bands: int, wanted=None):
-    """Keys of the intervals of all texts; with ``wanted``, a broadcast map of keys, all of the intervals it may hold."""
+def _windows(passage: int, n: int, bands: int, wanted=None, also: tuple[str, ...] = ()):
+    """Keys of the intervals of all texts, with the columns ``also`` of their rows; with ``wanted``, a broadcast map of keys, all of the intervals it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,17 +129,16 @@ def _windows(passage: int, n: int, bands: int, wanted=None):
                 size += len(texts[-1])
                 if size > TOGETHER or row == batch.num_rows:
                     h, lengths = word_hashes(texts)
-                    ids = batch.column("id").slice(low, row - low)
+                    rows = batch.slice(low, row - low)
                     texts, size, low = [], 0, row
                     if lengths.max() < passage:
                         continue
                     for key, digest, place, start, count in intervals(shingle_hashes(h, n), lengths, passage, n, bands):
-                        if wanted is None:
-                            yield pa.record_batch({"key": pa.array(key)})
-                            continue
-                        keep = np.flatnonzero(may_hold(*wanted.value, key))
-                        yield pa.record_batch({"key": pa.array(key[keep]), "digest": pa.array(digest[keep]), "id": ids.take(pa.array(place[keep])),
-                                               "start": pa.array(start[keep]), "n": pa.array(count[keep])})
+                        keep = slice(None) if wanted is None else np.flatnonzero(may_hold(*wanted.value, key))
+                        found = {"key": pa.array(key[keep])} | {c: rows.column(c).take(pa.array(place[keep])) for c in also}
+                        if wanted is not None:
+                            found |= {"digest": pa.array(digest[keep]), "start": pa.array(start[keep]), "n": pa.array(count[keep])}
+                        yield pa.record_batch(found)
 
     return run
 
@@ -264,17 +264,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if width < 1:
         raise ValueError("a passage needs at least one shingle")
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    known = docs.where("id IS NOT NULL AND text IS NOT NULL")
+    known = in_small_batches(docs.where("id IS NOT NULL AND text IS NOT NULL"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def with_wanted(wanted: DataFrame) -> DataFrame:
         return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
 
-    signed = known.mapInArrow(_windows(passage, n, bands), "key long")
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    signed = known.select("text").mapInArrow(_windows(passage, n, 1), "key long")
     keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     # most keys come once: their intervals leave no task
-    wanted = docs.sparkSession.sparkContext.broadcast(key_map(keys))
-    windows = known.mapInArrow(_windows(passage, n, bands, wanted), f"key long, digest long, id {kind}, start int, n int")
+    windows = known.mapInArrow(_windows(passage, n, 1, broadcast(key_map(keys)), ("id",)), f"key long, id {kind}, digest long, start int, n int")
     met = written(windows.join(keys, "key"), "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("id", "start", "n"))), "classes")
     # word for word: every member hangs on one of its class, whichever comes first
@@ -282,19 +282,22 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stop = F.col("start") + F.col("n") - 1 + passage
     whole = met.join(again, ["key", "digest"]).select("id", "low", "start", stop.alias("stop")).distinct()
     # intervals that are equal in part: passage by passage, for one member of each class
-    several = classes.where("key % 2 <> 0").groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    several = classes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     parted = classes.join(several, "key").groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     single = written(with_wanted(parted).mapInArrow(_passages(width, n), f"digest long, id {kind}, start int").distinct(), "passages")
     twice = single.groupBy("digest").agg(F.count("*").alias("places"), F.min("id").alias("low")).where("places > 1").select("digest", "low")
     part = single.join(twice, "digest").select("id", "low", "start", (F.col("start") + passage).alias("stop"))
     exact = written(whole.unionByName(part), "exact")
     connected = written(components(exact.select("id", "low").distinct(), "id", "low"), "connected")
-    # lists that still hold several components: verify their members
-    members = classes.select("key", "id", "start", "n").join(connected.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = written(members, "members")
-    open_lists = (members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-                  .where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    left = written(members.join(written(open_lists, "lists"), "key"), "left")
+    # near passages: lists of all pairs that still hold several components, one member of each class
+    moved = broadcast_if_small(written(connected.where("node <> component").withColumnRenamed("node", "id"), "moved"), SMALL_LABELS)
+    labelled = known.join(moved, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    signed = labelled.select("component", "text").mapInArrow(_windows(passage, n, bands, also=("component",)), f"key long, component {kind}")
+    open_keys = written(signed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "open")
+    windows = labelled.mapInArrow(_windows(passage, n, bands, broadcast(key_map(open_keys)), ("id", "component")), f"key long, id {kind}, component {kind}, digest long, start int, n int")
+    members = written(windows.join(open_keys, "key").groupBy("key", "digest").agg(F.first(F.struct("id", "start", "n", "component")).alias("one")).select("key", "one.*"), "members")
+    lists = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    left = written(members.join(lists, "key"), "left")
     wanted = left.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     contexts = written(with_wanted(wanted).mapInArrow(_contexts(width, n), f"id {kind}, start int, n int, shingles array<bigint>"), "contexts")
     tile = F.pmod(F.xxhash64("id", "start", F.lit(7)), "tiles").cast("int")

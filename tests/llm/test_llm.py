@@ -527,3 +527,21 @@ def test_long_texts_reach_python_in_small_batches(spark, operator):
         assert spark.conf.get(setting) == "500000"
     finally:
         spark.conf.unset(setting)
+
+
+def test_passages_repeated_word_for_word_leave_no_list_open(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in draw.integers(0, 10**9, n)]
+    shared, written, seen = some(60), passages.written, {}
+    rows = [(i, " ".join([*some(70), *shared, *some(i)])) for i in range(30)]
+
+    def watched(df, name="stage"):
+        seen[name] = df = written(df, name)
+        return df
+
+    monkeypatch.setattr(passages, "written", watched)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), passage=50, n=5, bands=8).collect()
+    assert {(r["component_id"], tuple(map(tuple, r["spans"]))) for r in got} == {(0, ((70, 130),))}
+    # repeats are grouped by the first pair only, and what they connect is not verified again
+    assert seen["met"].count() and not seen["met"].where("key % 2 = 0").count()
+    assert not seen["members"].count() and not seen["left"].count()
