@@ -7,9 +7,11 @@ the windows of two hash functions overlap, an interval of passages shares two mi
 signature. Intervals of equal signature are joined and verified.
 
 The first pair alone finds every word-for-word repeat, as equal passages have equal min-hashes. What
-those repeats connect is known before all pairs are gone through, so that only the intervals of lists
-that still hold several components leave a task. Equal intervals are one member of their list; members
-meet tile by tile, and only links that connect leave a task.
+those repeats connect is known before all pairs are gone through. A passage alike to one of another
+component shares most of its shingles with it, so a passage with too many shingles that only its own
+component holds has no partner and meets nobody: first a part of the shingles is asked, then, of what
+is left, all of them. Equal intervals, and single passages of equal sets, are one member of their list;
+members meet tile by tile, and only links that connect leave a task.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
 #: Members of a list that meet in one task; columns of one matrix product; ids with their intervals, and
 #: with their component, that may be broadcast.
 TILE, COLUMNS, SMALL_IDS, SMALL_LABELS = 256, 2_048, 20_000, 500_000
+#: So many in 256 shingles are asked first; passages whose repeated shingles are sought at a time; pairs of a
+#: list that are compared at once, without their numbers of equal shingles.
+PART, AT_ONCE, FEW = 102, 10_000, 3
 #: Bits per key of the map of repeated keys, and its bits at most (64 MB), as powers of two.
 KEY_BITS, MAP_BITS = 4, 29
 
@@ -61,25 +66,29 @@ def passage_digests(sums: np.ndarray, back: np.ndarray, start: np.ndarray, stop:
     return mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
-def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per band ``(key, digest, text, start, n)``: in a text ``n`` passages from ``start`` on share the signature ``key``.
-
-    ``s`` are the shingles of texts of ``lengths`` words laid end to end; passages across texts are
-    left out. ``digest`` stands for the shingles of the interval. Keys of the first band are odd. A
-    text that holds a passage twice is split into single passages.
-    """
-    width, first = passage - n + 1, np.cumsum(lengths) - lengths
+def placed(lengths: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start within it and place among all words of every passage of texts of ``lengths`` words laid end to end."""
     counts = np.maximum(lengths - passage + 1, 0)
     text = np.repeat(np.arange(len(lengths)), counts)
     begin = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = first[text] + begin
+    return text, begin, (np.cumsum(lengths) - lengths)[text] + begin
+
+
+def intervals(s: np.ndarray, text: np.ndarray, at: np.ndarray, width: int, bands: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per band ``(key, first, n)``: the ``n`` passages from the one numbered ``first`` on share the signature ``key``.
+
+    Passages are given by their ``text`` and their place ``at`` among the shingles ``s``; those of one
+    interval follow one another. Keys of the first band are odd. A text that holds a passage twice is
+    split into single passages.
+    """
     sums, back = prefix_sums(s)
     single = passage_digests(sums, back, at, at + width) ^ mixed(text.astype(np.uint64))
-    new = begin == 0
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
     ordered = np.sort(single)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if len(twice):
-        split = np.zeros(len(lengths), bool)
+        split = np.zeros(text.max() + 1, bool)
         split[text[twice[np.searchsorted(twice, single).clip(max=len(twice) - 1)] == single]] = True
         new |= split[text]
     seeds = mixed(np.arange(1, 4 * bands + 1, dtype=np.uint64)).reshape(bands, 2, 2)
@@ -88,12 +97,48 @@ def intervals(s: np.ndarray, lengths: np.ndarray, passage: int, n: int, bands: i
         one, two = (window_minima((((s ^ low) * (odd | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), width)[at] for low, odd in seeds[band])
         fresh = new.copy()
         fresh[1:] |= (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        start = np.flatnonzero(fresh)
-        count = np.diff(np.r_[start, len(at)])
-        both = one[start].astype(np.uint64) << np.uint64(32) | two[start]
+        first = np.flatnonzero(fresh)
+        both = one[first].astype(np.uint64) << np.uint64(32) | two[first]
         key = mixed(both ^ seeds[band, 0, 0]) & ~np.uint64(1) | np.uint64(band == 0)
-        digest = passage_digests(sums, back, at[start], at[start] + count + width - 1)
-        yield key.view(np.int64), digest.view(np.int64), text[start], begin[start].astype(np.int32), count.astype(np.int32)
+        yield key.view(np.int64), first, np.diff(np.r_[first, len(at)])
+
+
+def repeats_within(s: np.ndarray) -> np.ndarray:
+    """How many places later each shingle comes again; beyond the end if never."""
+    by = np.argsort(s, kind="stable")
+    same = s[by[1:]] == s[by[:-1]]
+    gap = np.full(len(s), 2 * len(s))
+    gap[by[:-1][same]] = (by[1:] - by[:-1])[same]
+    return gap
+
+
+def _last(gap: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Places of the shingles of some passages at a time, and whether each does not come again within its passage."""
+    for low in range(0, len(at), AT_ONCE):
+        some = at[low : low + AT_ONCE]
+        inside = some[:, None] + np.arange(width)
+        yield slice(low, low + AT_ONCE), inside, gap[inside] + inside >= some[:, None] + width
+
+
+def partnered(gap: np.ndarray, lone: np.ndarray, at: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """Whether a passage may be alike to one of another component, which holds no shingle that is ``lone``.
+
+    Of the different shingles of a passage at most 100 - ``percent`` in 100 may be missing in such a partner.
+    """
+    within = lambda mark: (lambda total: total[at + width] - total[at])(np.r_[0, np.cumsum(mark)])
+    missing, size = within(lone), np.full(len(at), width)
+    again = np.flatnonzero(within(gap < width))
+    for some, inside, last in _last(gap, at[again], width):
+        missing[again[some]], size[again[some]] = (lone[inside] & last).sum(1), last.sum(1)
+    return 100 * missing <= (100 - percent) * size
+
+
+def set_digests(s: np.ndarray, gap: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the different shingles of every passage, in whatever order and however often they come."""
+    each, out = mixed(s ^ STEP), np.zeros(len(at), np.uint64)
+    for some, inside, last in _last(gap, at, width):
+        out[some] = np.where(last, each[inside], np.uint64(0)).sum(1)
+    return mixed(out)
 
 
 def key_map(keys: DataFrame, most: int = MAP_BITS) -> tuple[np.ndarray, int]:
@@ -118,44 +163,126 @@ def may_hold(found: np.ndarray, mask: int, key: np.ndarray) -> np.ndarray:
     return (found[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _windows(passage: int, n: int, bands: int, wanted=None, also: tuple[str, ...] = ()):
-    """Keys of the intervals of all texts, with the columns ``also`` of their rows; with ``wanted``, a broadcast map of keys, all of the intervals it may hold."""
+def once(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of rows that differ, the first of each."""
+    both = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        both = mixed(both * STEP + column.view(np.uint64))
+    return np.unique(both, return_index=True)[1]
+
+
+def _together(batches: Iterator[pa.RecordBatch], passage: int, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows whose texts are hashed together, their shingles end to end, and their numbers of words; the longest has a passage."""
+    for batch in batches:
+        texts, size, low = [], 0, 0
+        for row, text in enumerate(batch.column("text"), 1):
+            texts.append(encoded(text.as_py()))
+            size += len(texts[-1])
+            if size > TOGETHER or row == batch.num_rows:
+                h, lengths = word_hashes(texts)
+                rows = batch.slice(low, row - low)
+                texts, size, low = [], 0, row
+                if lengths.max() >= passage:
+                    yield rows, shingle_hashes(h, n), lengths
+
+
+def _windows(passage: int, n: int, wanted=None):
+    """Keys of the first pair of all intervals; with ``wanted``, a broadcast map of keys, all of the intervals it may hold."""
+    width = passage - n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, size, low = [], 0, 0
-            for row, text in enumerate(batch.column("text"), 1):
-                texts.append(encoded(text.as_py()))
-                size += len(texts[-1])
-                if size > TOGETHER or row == batch.num_rows:
-                    h, lengths = word_hashes(texts)
-                    rows = batch.slice(low, row - low)
-                    texts, size, low = [], 0, row
-                    if lengths.max() < passage:
-                        continue
-                    for key, digest, place, start, count in intervals(shingle_hashes(h, n), lengths, passage, n, bands):
-                        keep = slice(None) if wanted is None else np.flatnonzero(may_hold(*wanted.value, key))
-                        found = {"key": pa.array(key[keep])} | {c: rows.column(c).take(pa.array(place[keep])) for c in also}
-                        if wanted is not None:
-                            found |= {"digest": pa.array(digest[keep]), "start": pa.array(start[keep]), "n": pa.array(count[keep])}
-                        yield pa.record_batch(found)
+        for rows, s, lengths in _together(batches, passage, n):
+            text, begin, at = placed(lengths, passage)
+            for key, first, count in intervals(s, text, at, width, 1):
+                if wanted is None:
+                    yield pa.record_batch({"key": pa.array(key)})
+                    continue
+                keep = may_hold(*wanted.value, key)
+                key, first, count = key[keep], first[keep], count[keep]
+                digest = passage_digests(*prefix_sums(s), at[first], at[first] + count + width - 1)
+                yield pa.record_batch({
+                    "key": pa.array(key), "id": rows.column("id").take(pa.array(text[first])), "digest": pa.array(digest.view(np.int64)),
+                    "start": pa.array(begin[first].astype(np.int32)), "n": pa.array(count.astype(np.int32))})
 
     return run
 
 
-def _contexts(width: int, n: int):
-    """Shingles of the wanted intervals of each text."""
+def _asked(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(56)) < PART  # bits that are no part of a place in a map
+
+
+def _first_asked(passage: int, n: int):
+    """``PART`` in 256 shingles of texts that have a passage, with the component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, s, lengths in _together(batches, passage, n):
+            size = np.where(lengths >= passage, lengths, 0)
+            text = np.repeat(np.arange(len(lengths)), lengths)[: len(s)]
+            # shingles across two texts only let more passages pass
+            keep = np.flatnonzero(_asked(s) & (size[text] > 0))
+            yield pa.record_batch({"key": pa.array(s[keep].view(np.int64)), "component": rows.column("component").take(pa.array(text[keep]))})
+
+    return run
+
+
+def _stretches(passage: int, n: int, percent: int, common):
+    """Parts of texts whose passages may have a partner, by the shingles that were asked first; ``common`` is the map of those of several components."""
+    width = passage - n + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, s, lengths in _together(batches, passage, n):
+            text, begin, at = placed(lengths, passage)
+            keep = np.flatnonzero(partnered(repeats_within(s), _asked(s) & ~may_hold(*common.value, s), at, width, percent))
+            if not len(keep):
+                continue
+            text, begin, at = text[keep], begin[keep], at[keep]
+            first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)])
+            stop = at[np.r_[first[1:], len(at)] - 1] + width
+            row = pa.array(text[first])
+            yield pa.record_batch({
+                "id": rows.column("id").take(row), "component": rows.column("component").take(row), "start": pa.array(begin[first].astype(np.int32)),
+                "shingles": pa.array([s[x:y].view(np.int64) for x, y in zip(at[first], stop)], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _signed(width: int, percent: int, bands: int, common, others, wanted=None):
+    """Keys and components of the intervals of all stretches; with ``wanted``, all of the intervals that this map of keys may hold.
+
+    Passages without a partner by all their shingles are left out; ``common`` and ``others`` are the maps of
+    those of several components, asked first and second.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                s = sequence(part.column("text")[0].as_py(), n).view(np.int64)
-                wanted = [w for w in part.column("wanted")[0].as_py() if w["start"] + w["n"] + width - 1 <= len(s)]
-                lists = [s[w["start"] : w["start"] + w["n"] + width - 1] for w in wanted]
+            lists = batch.column("shingles")
+            if not len(lists):
+                continue
+            s, size = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+            row, begin, at = placed(size, width)
+            gap = repeats_within(s)
+            lone = ~np.where(_asked(s), may_hold(*common.value, s), may_hold(*others.value, s))
+            keep = np.flatnonzero(partnered(gap, lone, at, width, percent))
+            if not len(keep):
+                continue
+            row, begin, at = row[keep], begin[keep] + batch.column("start").to_numpy()[row[keep]], at[keep]
+            sums, names = prefix_sums(s), batch.column("component").dictionary_encode()
+            label = names.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+            for key, first, count in intervals(s, row, at, width, bands):
+                if wanted is None:
+                    some = once(key, label[row[first]])
+                    yield pa.record_batch({"key": pa.array(key[some]), "component": names.take(pa.array(row[first[some]])).dictionary_decode()})
+                    continue
+                keep = may_hold(*wanted.value, key)
+                key, first, count = key[keep], first[keep], count[keep]
+                digest, one = passage_digests(*sums, at[first], at[first] + count + width - 1), count == 1
+                digest[one] = set_digests(s, gap, at[first[one]], width)
+                some = once(key, digest, label[row[first]])
+                key, first, count, digest = key[some], first[some], count[some], digest[some]
+                parts = [s[x:y].view(np.int64) for x, y in zip(at[first], at[first] + count + width - 1)]
                 yield pa.record_batch({
-                    "id": part.column("id").take(pa.array([0] * len(wanted), pa.int32())), "start": pa.array([w["start"] for w in wanted], pa.int32()),
-                    "n": pa.array([w["n"] for w in wanted], pa.int32()), "shingles": pa.array(lists, pa.list_(pa.int64()))})
+                    "key": pa.array(key), "component": names.take(pa.array(row[first])).dictionary_decode(), "id": batch.column("id").take(pa.array(row[first])),
+                    "digest": pa.array(digest.view(np.int64)), "start": pa.array(begin[first].astype(np.int32)), "shingles": pa.array(parts, pa.list_(pa.int64()))})
 
     return run
 
@@ -178,13 +305,7 @@ def _passages(width: int, n: int):
 
 def distinct_counts(s: np.ndarray, width: int) -> np.ndarray:
     """Distinct shingles of every window of ``width``: those that do not come again within it."""
-    by = np.argsort(s, kind="stable")
-    same = s[by[1:]] == s[by[:-1]]
-    gap = np.full(len(s), len(s) + width)
-    gap[by[:-1][same]] = (by[1:] - by[:-1])[same]
-    starts = np.arange(len(s) - width + 1)
-    inside = starts[:, None] + np.arange(width)
-    return ((gap[inside] + inside) >= (starts + width)[:, None]).sum(1)
+    return np.concatenate([last.sum(1) for _, _, last in _last(repeats_within(s), np.arange(len(s) - width + 1), width)])
 
 
 def alike(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> bool:
@@ -203,48 +324,71 @@ def alike(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> bool:
     return bool((both * (100 + percent) >= 2 * percent * width).any())
 
 
-def _shared(lists: pa.ListArray) -> np.ndarray:
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Number of equal shingles of every two lists."""
-    size = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(size)), size)
-    _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[column] > 1
     row, column = row[keep], (np.cumsum(count > 1) - 1)[column[keep]]
     by = np.argsort(column, kind="stable")
-    row, column, both = row[by], column[by], np.zeros((len(size), len(size)), np.float32)
+    row, column, both = row[by], column[by], np.zeros((len(sets), len(sets)), np.float32)
     for start in range(0, int((count > 1).sum()), COLUMNS):
         low, high = np.searchsorted(column, [start, start + COLUMNS])
-        some = np.zeros((len(size), COLUMNS), np.float32)
+        some = np.zeros((len(sets), min(COLUMNS, column[-1] + 1 - start)), np.float32)
         some[row[low:high], column[low:high] - start] = 1
         both += some @ some.T
     return both
 
 
-def _tile(width: int, percent: int):
-    """Edges between components that verified passages of one list, or of one pair of its tiles, connect."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        component = table.column("component").combine_chunks().dictionary_encode()
-        label, names = component.indices.to_numpy(zero_copy_only=False).astype(np.int64), component.dictionary
-        lists = table.column("shingles").combine_chunks()
-        sets = [x.values.to_numpy() for x in lists]
+def connecting(sets: list[np.ndarray], label: np.ndarray, tile: np.ndarray | None, width: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels that verified passages of one list, or of one pair of its tiles, connect; ``tile`` only for two different ones."""
+    apart = label[:, None] != label[None, :]
+    if tile is not None:  # each of the two tiles also meets itself elsewhere
+        apart &= tile[:, None] != tile[None, :]
+    if np.count_nonzero(apart) > 2 * FEW:
         # two passages alike share this part of their sizes, so must the intervals around them
         least = np.array([width if len(np.unique(x)) == len(x) else distinct_counts(x, width).min() for x in sets])
-        close = _shared(lists) * (100 + percent) >= percent * (least[:, None] + least[None, :])
-        tile = table.column("tile").to_numpy()
-        if table.column("i")[0] != table.column("j")[0]:  # each of the two tiles also meets itself elsewhere
-            close &= tile[:, None] != tile[None, :]
-        edges = []
-        for i, j in np.argwhere(np.tril(close & (label[:, None] != label[None, :]), -1)):
-            if label[i] != label[j] and alike(sets[i], sets[j], width, percent):
-                edges.append((label[i], label[j]))
-                label[label == label[i]] = label[j]
-        a, b = (pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1))
-        yield pa.record_batch({"a": names.take(a), "b": names.take(b)})
+        apart &= _shared(sets) * (100 + percent) >= percent * (least[:, None] + least[None, :])
+    edges, label = [], label.copy()
+    for i, j in np.argwhere(np.tril(apart, -1)):
+        if label[i] != label[j] and alike(sets[i], sets[j], width, percent):
+            edges.append((label[i], label[j]))
+            label[label == label[i]] = label[j]
+    return edges
+
+
+def _tile(width: int, percent: int):
+    """Edges between components that verified passages connect; the rows come sorted by list and pair of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _then_none(batches):
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None])
+            if not table.num_rows:
+                continue
+            now = table.combine_chunks().to_batches()[0]
+            lists, component = now.column("shingles"), now.column("component").dictionary_encode()
+            flat, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+            label, names = component.indices.to_numpy(zero_copy_only=False).astype(np.int64), component.dictionary
+            key, low, high, tile = (now.column(c).to_numpy() for c in ("key", "i", "j", "tile"))
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            if batch is not None:  # the last list may go on
+                held = now.slice(first[-1])
+            edges = []
+            for x, y in zip(first, first[1:] if batch is not None else [*first[1:], len(key)]):
+                if y - x > 1:
+                    edges += connecting([flat[cut[k] : cut[k + 1]] for k in range(x, y)], label[x:y], tile[x:y] if low[x] != high[x] else None, width, percent)
+            a, b = (pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1))
+            yield pa.record_batch({"a": names.take(a), "b": names.take(b)})
 
     return run
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, n: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """``(id, component_id, spans)`` per row of ``docs``.
 
@@ -271,40 +415,52 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
 
     broadcast = docs.sparkSession.sparkContext.broadcast
-    signed = known.select("text").mapInArrow(_windows(passage, n, 1), "key long")
+    signed = known.select("text").mapInArrow(_windows(passage, n), "key long")
     keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     # most keys come once: their intervals leave no task
-    windows = known.mapInArrow(_windows(passage, n, 1, broadcast(key_map(keys)), ("id",)), f"key long, id {kind}, digest long, start int, n int")
+    windows = known.mapInArrow(_windows(passage, n, broadcast(key_map(keys))), f"key long, id {kind}, digest long, start int, n int")
     met = written(windows.join(keys, "key"), "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("id", "start", "n"))), "classes")
     # word for word: every member hangs on one of its class, whichever comes first
     again = classes.where("rows > 1").select("key", "digest", F.col("id").alias("low"))
     stop = F.col("start") + F.col("n") - 1 + passage
-    whole = met.join(again, ["key", "digest"]).select("id", "low", "start", stop.alias("stop")).distinct()
+    whole = met.join(again, ["key", "digest"]).select("id", "low", "start", stop.alias("stop"))
     # intervals that are equal in part: passage by passage, for one member of each class
     several = classes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     parted = classes.join(several, "key").groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
-    single = written(with_wanted(parted).mapInArrow(_passages(width, n), f"digest long, id {kind}, start int").distinct(), "passages")
-    twice = single.groupBy("digest").agg(F.count("*").alias("places"), F.min("id").alias("low")).where("places > 1").select("digest", "low")
-    part = single.join(twice, "digest").select("id", "low", "start", (F.col("start") + passage).alias("stop"))
+    single = written(with_wanted(parted).mapInArrow(_passages(width, n), f"digest long, id {kind}, start int"), "passages")
+    # rows that share an id may hold one place several times
+    places = single.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"))
+    twice = written(places.where("low <> high OR first <> last").select("digest", "low"), "twice")
+    part = single.join(broadcast_if_small(twice, SMALL_LABELS), "digest").select("id", "low", "start", (F.col("start") + passage).alias("stop"))
     exact = written(whole.unionByName(part), "exact")
     connected = written(components(exact.select("id", "low").distinct(), "id", "low"), "connected")
-    # near passages: lists of all pairs that still hold several components, one member of each class
+    # near passages: what may have a partner in another component, by some of the shingles, then by all
     moved = broadcast_if_small(written(connected.where("node <> component").withColumnRenamed("node", "id"), "moved"), SMALL_LABELS)
     labelled = known.join(moved, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    signed = labelled.select("component", "text").mapInArrow(_windows(passage, n, bands, also=("component",)), f"key long, component {kind}")
-    open_keys = written(signed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "open")
-    windows = labelled.mapInArrow(_windows(passage, n, bands, broadcast(key_map(open_keys)), ("id", "component")), f"key long, id {kind}, component {kind}, digest long, start int, n int")
-    members = written(windows.join(open_keys, "key").groupBy("key", "digest").agg(F.first(F.struct("id", "start", "n", "component")).alias("one")).select("key", "one.*"), "members")
-    lists = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    left = written(members.join(lists, "key"), "left")
-    wanted = left.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
-    contexts = written(with_wanted(wanted).mapInArrow(_contexts(width, n), f"id {kind}, start int, n int, shingles array<bigint>"), "contexts")
+
+    def in_several(rows: DataFrame, name: str):
+        found = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        return broadcast(key_map(written(found.select("key"), name)))
+
+    keyed = f"key long, component {kind}"
+    common = in_several(labelled.select("component", "text").mapInArrow(_first_asked(passage, n), keyed), "common")
+    stretches = written(labelled.mapInArrow(_stretches(passage, n, percent, common), f"id {kind}, component {kind}, start int, shingles array<bigint>"), "stretches")
+    rest = stretches.select("component", F.explode("shingles").alias("key")).where(F.shiftrightunsigned("key", 56) >= PART)
+    others = in_several(rest, "others")
+    # lists of all pairs that hold several components, one member of each class
+    open_keys = in_several(stretches.mapInArrow(_signed(width, percent, bands, common, others), keyed), "open")
+    signed = stretches.mapInArrow(_signed(width, percent, bands, common, others, open_keys), f"{keyed}, id {kind}, digest long, start int, shingles array<bigint>")
+    left = written(signed, "left")
+    members = written(left.groupBy("key", "digest").agg(F.first(F.struct("id", "start", "component", "shingles")).alias("one"), F.min("component").alias("low"), F.max("component").alias("high"))
+                      .select("key", "digest", "one.*", "low", "high"), "members")
+    equal = left.join(members.where("low <> high").select("key", "digest", "low"), ["key", "digest"]).select(F.col("low").alias("a"), F.col("component").alias("b")).where("a <> b")
+    lists = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "tiles")
     tile = F.pmod(F.xxhash64("id", "start", F.lit(7)), "tiles").cast("int")
-    dealt = (left.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("key", "id", "start", "n", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-             .join(contexts, ["id", "start", "n"]))
-    near = written(dealt.groupBy("key", "i", "j").applyInArrow(_tile(width, percent), f"a {kind}, b {kind}").distinct(), "near")
+    dealt = (members.join(lists, "key").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("key", "component", "shingles", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    by = ["key", "i", "j"]
+    near = written(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_tile(width, percent), f"a {kind}, b {kind}").unionByName(equal).distinct(), "near")
     merged = components(near).select(F.col("node").alias("component"), F.col("component").alias("root"))
     every = connected.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(connected, "node", "left_anti").select("node", F.col("node").alias("component")))
     found = every.join(merged, "component", "left").select(F.col("node").alias("id"), F.coalesce("root", "component").alias("component"))
