@@ -28,9 +28,9 @@ from .common import STEP, TOGETHER, broadcast_if_small, components, encoded, mix
 
 #: Words of a passage and of a shingle, percent of shared shingles, pairs of hash functions.
 PASSAGE, SHINGLE, PERCENT, BANDS = 50, 5, 80, 8
-#: Members of a list that meet in one task; columns of one matrix product; ids with their intervals, and
-#: with their component, that may be broadcast.
-TILE, COLUMNS, SMALL_IDS, SMALL_LABELS = 256, 2_048, 20_000, 500_000
+#: Members of a list that meet in one task; columns of one matrix product; ids with their component,
+#: and digests with an id, that may be broadcast.
+TILE, COLUMNS, SMALL_LABELS = 256, 2_048, 500_000
 #: So many in 256 shingles are asked first; passages whose repeated shingles are sought at a time; pairs of a
 #: list that are compared at once, without their numbers of equal shingles.
 PART, AT_ONCE, FEW = 102, 10_000, 3
@@ -48,10 +48,6 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def sequence(text: str | None, n: int) -> np.ndarray:
-    return shingle_hashes(word_hashes([encoded(text)])[0], n)
-
-
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of every window of ``width``; a run of one value is a compact window's interval of starts."""
     low, size = values, 1
@@ -287,18 +283,22 @@ def _signed(width: int, percent: int, bands: int, common, others, wanted=None):
     return run
 
 
-def _passages(width: int, n: int):
-    """Digest of every passage of the wanted intervals of each text."""
+def _passages(passage: int, n: int, owners, places):
+    """Digest of every passage of the intervals of the first pair that two broadcast maps may hold: one of ids, one of ids and starts."""
+    width = passage - n + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                s = sequence(batch.column("text")[row].as_py(), n)
-                wanted = [np.arange(w["start"], w["start"] + w["n"]) for w in batch.column("wanted")[row].as_py()]
-                start = np.unique(np.concatenate(wanted))
-                start = start[start + width <= len(s)]
-                ids = batch.column("id").take(pa.array(np.full(len(start), row)))
-                yield pa.record_batch({"digest": pa.array(passage_digests(*prefix_sums(s), start, start + width).view(np.int64)), "id": ids, "start": pa.array(start.astype(np.int32))})
+            yield batch.take(pa.array(np.flatnonzero(may_hold(*owners.value, batch.column("owner").to_numpy()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, s, lengths in _together(wanted(batches), passage, n):
+            text, begin, at = placed(lengths, passage)
+            owner = rows.column("owner").to_numpy()
+            for _, first, count in intervals(s, text, at, width, 1):
+                keep = np.repeat(may_hold(*places.value, owner[text[first]] ^ (begin[first] << 1)), count)
+                found = passage_digests(*prefix_sums(s), at[keep], at[keep] + width)
+                yield pa.record_batch({"digest": pa.array(found.view(np.int64)), "id": rows.column("id").take(pa.array(text[keep])), "start": pa.array(begin[keep].astype(np.int32))})
 
     return run
 
@@ -411,15 +411,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     known = in_small_batches(docs.where("id IS NOT NULL AND text IS NOT NULL"))
     kind = docs.schema["id"].dataType.simpleString()
 
-    def with_wanted(wanted: DataFrame) -> DataFrame:
-        return known.join(broadcast_if_small(written(wanted, "wanted"), SMALL_IDS), "id")
-
     broadcast = docs.sparkSession.sparkContext.broadcast
     signed = known.select("text").mapInArrow(_windows(passage, n), "key long")
     keys = written(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     # most keys come once: their intervals leave no task
     windows = known.mapInArrow(_windows(passage, n, broadcast(key_map(keys))), f"key long, id {kind}, digest long, start int, n int")
-    met = written(windows.join(keys, "key"), "met")
+    met = written(windows, "met")
     classes = written(met.groupBy("key", "digest").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("id", "start", "n"))), "classes")
     # word for word: every member hangs on one of its class, whichever comes first
     again = classes.where("rows > 1").select("key", "digest", F.col("id").alias("low"))
@@ -427,11 +424,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     whole = met.join(again, ["key", "digest"]).select("id", "low", "start", stop.alias("stop"))
     # intervals that are equal in part: passage by passage, for one member of each class
     several = classes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    parted = classes.join(several, "key").groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
-    single = written(with_wanted(parted).mapInArrow(_passages(width, n), f"digest long, id {kind}, start int"), "passages")
+    owner = F.xxhash64("id")
+    place = owner.bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 1))
+    parted = written(classes.join(several, "key").select(owner.alias("owner"), place.alias("key")), "wanted")
+    owners, places = (broadcast(key_map(parted.select(F.col(c).alias("key")))) for c in ("owner", "key"))
+    single = written(known.withColumn("owner", owner).mapInArrow(_passages(passage, n, owners, places), f"digest long, id {kind}, start int"), "passages")
     # rows that share an id may hold one place several times
-    places = single.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"))
-    twice = written(places.where("low <> high OR first <> last").select("digest", "low"), "twice")
+    repeats = single.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"))
+    twice = written(repeats.where("low <> high OR first <> last").select("digest", "low"), "twice")
     part = single.join(broadcast_if_small(twice, SMALL_LABELS), "digest").select("id", "low", "start", (F.col("start") + passage).alias("stop"))
     exact = written(whole.unionByName(part), "exact")
     connected = written(components(exact.select("id", "low").distinct(), "id", "low"), "connected")
@@ -473,12 +473,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def merge_ranges(ranges):
     """Ascending ranges ``(start, stop)`` with those that touch or overlap made one."""
     none = F.array().cast("array<struct<start:int,stop:int>>")
+    nothing = F.struct(none.alias("done"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+
+    def closed(state):
+        last = F.struct(state["start"].alias("start"), state["stop"].alias("stop"))
+        return F.when(state["stop"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last)))
 
-    def add(done, r):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-        apart = F.concat(done, F.array(F.struct(r["start"].alias("start"), r["stop"].alias("stop"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] >= r["start"]), joined).otherwise(apart)
+    def add(state, r):
+        longer = F.struct(state["done"].alias("done"), state["start"].alias("start"), F.greatest(state["stop"], r["stop"]).alias("stop"))
+        apart = F.struct(closed(state).alias("done"), r["start"].alias("start"), r["stop"].alias("stop"))
+        return F.when(r["start"] <= state["stop"], longer).otherwise(apart)
 
-    return F.aggregate(ranges, none, add)
+    return F.aggregate(ranges, nothing, add, closed)

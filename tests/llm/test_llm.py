@@ -545,3 +545,48 @@ def test_passages_repeated_word_for_word_leave_no_list_open(spark, monkeypatch):
     # repeats are grouped by the first pair only, and what they connect is not verified again
     assert seen["met"].count() and not seen["met"].where("key % 2 = 0").count()
     assert not seen["members"].count() and not seen["left"].count()
+
+
+def test_passages_that_share_a_short_line_have_no_partner(spark, monkeypatch):
+    """A line of 35 words in other contexts connects nothing, so its passages are not even signed."""
+    draw = np.random.default_rng(9)
+    some = lambda n: [f"w{x}" for x in draw.integers(0, 10**9, n)]
+    line, kept, seen = some(35), passages.written, {}
+    rows = [(i, " ".join([*some(60), *line, *some(60)])) for i in range(60)]
+
+    def watched(df, name="stage"):
+        seen[name] = df = kept(df, name)
+        return df
+
+    monkeypatch.setattr(passages, "written", watched)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.id and not r.spans for r in got)
+    # before, these lists of 60 components were verified
+    assert not seen["left"].count() and not seen["members"].count()
+
+
+def test_passages_of_repeated_words_equal_brute_force(spark):
+    """Sets of few shingles: equal ones of other sequences, near ones, and those that lack too many."""
+    draw = np.random.default_rng(4)
+    rows = [(i, " ".join(w for k in draw.integers(0, 6, 4) for w in [f"w{k}"] * int(draw.integers(3, 30)))) for i in range(60)]
+    rows += [(100 + i, " ".join([f"w{i % 3}"] * k + [f"w{i % 3 + 1}"] * (50 - k))) for i, k in enumerate((20, 25, 30, 35, 6, 44))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marked, root = plain_passages(rows, 50, 5, 80)
+    assert {r.id: r.component_id for r in got} == root
+    assert all({x for s in r.spans for x in range(s.start, s.stop)} == marked[r.id] for r in got)
+
+
+def test_a_passage_alike_to_another_is_never_left_out():
+    draw, width = np.random.default_rng(6), 46
+    for wide in (12, 40, 5_000):
+        a = draw.integers(0, wide, 300).astype(np.uint64)
+        b = a.copy()
+        b[draw.random(300) < 0.06] += np.uint64(wide)
+        at = np.arange(300 - width + 1)
+        for lone in (~np.isin(a, b), ~np.isin(a, b) & (draw.random(300) < 0.4)):
+            kept = passages.partnered(passages.repeats_within(a), lone, at, width, 80)
+            sets = [[set(s[x : x + width].tolist()) for x in at] for s in (a, b)]
+            near = np.array([any(100 * len(x & y) >= 80 * len(x | y) for y in sets[1]) for x in sets[0]])
+            assert (kept | ~near).all() and near.any()
+        digests = passages.set_digests(a, passages.repeats_within(a), at, width)
+        assert len(set(digests.tolist())) == len({frozenset(x) for x in sets[0]})
