@@ -113,6 +113,59 @@ def test_class_probabilities_sum_to_one_and_beat_unigrams(spark):
     assert held.s > held.b
 
 
+def test_rare_words_are_clustered_by_their_own_contexts(spark):
+    """Beyond the most frequent words too: same ending, other neighbours."""
+    rng = np.random.default_rng(4)
+    texts = [f"f{i} f{i} f{i} f{i} f{i} f{i}" for i in range(brown.FREQUENT)]
+    for i in range(300):
+        few = [f"p{i}zzz", f"q{i}zzz"]
+        for x, y in [(f"x{i % 20}", f"y{i % 20}")] * 9 + [few] * 3:
+            texts += [f"left{rng.integers(9)} {x} right{rng.integers(9)}", f"north{rng.integers(9)} {y} south{rng.integers(9)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = brown.fit(docs, F.lit(True))
+    c = model.classes(brown.word_codes([" ".join(f"{x}{i}zzz" for x in "pq" for i in range(300)).encode()])[0])
+    assert not {*c[:300].tolist()} & {*c[300:].tolist()}
+    fitting, swapped = [[("left1 p7zzz right2", 1), ("north3 q8zzz south4", 2)], [("north3 p7zzz south4", 1), ("left1 q8zzz right2", 2)]]
+    total = [brown.score(spark.createDataFrame(x, "text string, doc_id long"), model, counts).agg(F.sum("score").alias("s")).first().s for x in (fitting, swapped)]
+    assert total[0] > total[1] + 0.5
+
+
+def test_exchange_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(0)
+    size, k = 30, 5
+    tokens, old = rng.integers(0, size, 400), rng.integers(0, k, size)
+
+    def grid(place):
+        out = np.zeros((k, k))
+        np.add.at(out, (place[np.roll(tokens, 1)], place[tokens]), 1)
+        return out
+
+    entries = np.zeros((size, 2 * k + 1))
+    for a, b in zip(np.roll(tokens, 1), tokens):
+        if a == b:
+            entries[b, 2 * k] += 1
+        else:
+            entries[b, old[a]] += 1
+            entries[a, k + old[b]] += 1
+    word, key = np.nonzero(entries)
+    gain = brown.gains(size, word, key, entries[word, key].astype(int), old, grid(old))
+    for w in range(size):
+        for c in range(k):
+            place = np.r_[old[:w], c, old[w + 1 :]]
+            assert abs(brown.likelihood(grid(place)) - brown.likelihood(grid(old)) - gain[w, c] + gain[w, old[w]]) < 1e-9
+
+
+def test_static_function_holds_every_class():
+    rng = np.random.default_rng(0)
+    words = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    classes, part = rng.integers(0, brown.CLASSES, len(words)), brown.part_of(words, 3)
+    parts = [brown.static_function(words[part == p], classes[part == p]) for p in range(3)]
+    units = brown.Units(np.zeros(1, np.uint64))
+    held = brown.Classes(units, np.zeros(units.size, np.int64), (*((seed, v.tobytes()) for seed, v in parts),))
+    assert (held(words) == classes).all()
+    assert (held(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2)) == 0).mean() > 0.99
+
+
 def test_urls(spark):
     rules = (urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "bad.net", "/"))
     pages = [
