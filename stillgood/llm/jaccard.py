@@ -4,12 +4,17 @@ Equal sets become one class, classes of equal size and prefix one group. A prefi
 shingles of a set: two sets that reach the threshold share one of them, and passages that many
 documents repeat come last. Pairs of single groups that meet in few lists are counted, bounded by
 what their prefixes share, and verified. Lists, and groups with several members, are not spread
-into pairs: they join into clusters, whose sets meet tile by tile in matrix products. Only links
-that connect are kept, so no step grows with the square of a group of copies.
+into pairs: they join into clusters, whose sets of like size meet tile by tile in matrix products.
+Only links that connect are kept, so no step grows with the square of a group of copies.
+
+How rare a shingle is need not be known: any order that all texts share gives the same links. Tasks
+get a map of levels, counted by hash; shingles whose lists turn out long without a level get one,
+and the texts that began with them are signed again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,13 @@ from pyspark.sql import functions as F
 from ..session import in_small_batches, written
 from .common import STEP, broadcast_if_small, components, hashed_words, mixed
 
-#: Shingles that get a frequency rank, and how often a task must see one to name it. Ranks only
-#: order prefixes; any order gives the same links.
-RANKED, SEEN_OFTEN, FLUSH_SHINGLES = 524_288, 2, 6_000_000
+#: How often a task must see a shingle to name it, and shingles that it holds.
+SEEN_OFTEN, FLUSH_SHINGLES = 2, 6_000_000
+#: Cells of a map of levels at most (a byte each), and of a part of it. Shingles that share cells
+#: take the higher level.
+CELLS, PART_CELLS = 1 << 24, 1 << 16
+#: Times that levels are mended, and the share of groups that must still be in long lists for it.
+MENDED, STILL_LONG = 4, 0.01
 #: Shingles that are counted, and texts that are signed, at a time.
 COUNTED, SIGNED = 500_000, 500
 #: Groups of a list that are compared pair by pair; sets of a tile; columns of one matrix product.
@@ -77,8 +86,72 @@ def _frequent(n: int):
     return run
 
 
-def _signed(n: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
-    """Size, digest and prefix of every text's set."""
+def level_of(n) -> np.ndarray:
+    return np.minimum(np.round(8 * np.log2(np.maximum(n, 1))), 255).astype(np.uint8)
+
+
+def levels_at(first: np.ndarray, second: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """Level of each shingle: the lower one of its cells in two maps of equal size."""
+    if not len(first):
+        return np.zeros(len(shingle), np.uint8)
+    mask = len(first) - 1
+    return np.minimum(first[shingle & mask], second[(shingle >> 32) & mask])
+
+
+def _array(x) -> np.ndarray:
+    """``x``, or what it has broadcast."""
+    return x if isinstance(x, np.ndarray) else x.value
+
+
+def _cells(size: int):
+    def run(batches):
+        for batch in batches:
+            s, level = batch.column("shingle").to_numpy(), level_of(batch.column("n").to_numpy())
+            at, level = np.r_[s & (size - 1), size + ((s >> 32) & (size - 1))], np.r_[level, level]
+            order = np.argsort(at)
+            at, level = at[order], level[order]
+            edges = np.searchsorted(at, np.arange(0, 2 * size + 1, PART_CELLS))
+            some = [(i, slice(low, high)) for i, (low, high) in enumerate(zip(edges, edges[1:])) if low < high]
+            yield pa.record_batch({
+                "part": pa.array([i for i, _ in some], pa.int32()), "at": pa.array([(at[x] % PART_CELLS).astype(np.uint16).tobytes() for _, x in some], pa.binary()),
+                "level": pa.array([level[x].tobytes() for _, x in some], pa.binary())})
+
+    return run
+
+
+def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells, part = np.zeros(PART_CELLS, np.uint8), None
+    for batch in batches:
+        part = batch.column("part")[0].as_py()
+        for at, level in zip(batch.column("at"), batch.column("level")):
+            np.maximum.at(cells, np.frombuffer(at.as_py(), np.uint16), np.frombuffer(level.as_py(), np.uint8))
+    yield pa.record_batch({"part": pa.array([part], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
+
+
+def _levels(seen: DataFrame) -> tuple:
+    """Two broadcast maps of levels of ``(shingle, n)`` (written before)."""
+    size = PART_CELLS
+    rows = seen.count()
+    while size < min(CELLS, 4 * rows):
+        size *= 2
+    levels = np.zeros(2 * size, np.uint8)
+    for r in seen.mapInArrow(_cells(size), "part int, at binary, level binary").groupBy("part").applyInArrow(_highest, "part int, cells binary").toLocalIterator():
+        levels[r.part * PART_CELLS : (r.part + 1) * PART_CELLS] = np.frombuffer(r.cells, np.uint8)
+    return tuple(seen.sparkSession.sparkContext.broadcast(x) for x in np.split(levels, 2))
+
+
+def _without_level(first, second):
+    """Long lists whose shingle counts as rarer than that."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(levels_at(_array(first), _array(second), batch.column("shingle").to_numpy()) < level_of(FEW + 1)))
+
+    return run
+
+
+def _signed(n: int, percent: int, first, second):
+    """Size, digest and prefix of every text's set, by two maps of levels or their broadcasts."""
 
     def signed(batch):
         sizes, digests, prefixes = [], [], []
@@ -86,11 +159,9 @@ def _signed(n: int, percent: int, ranked: np.ndarray, rank: np.ndarray):
             s = shingles(h, n)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            often = np.zeros(len(s), np.int64)
-            if len(ranked):
-                at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-                often = np.where(ranked[at] == s, rank[at], 0)
-            prefixes.append(s[np.lexsort((s, often))[: len(s) + 1 - -(-percent * len(s) // 100)]] if len(s) else s)
+            # sorted already, so a stable sort by level is one by level and shingle
+            order = np.argsort(levels_at(_array(first), _array(second), s), kind="stable")
+            prefixes.append(s[order[: len(s) + 1 - -(-percent * len(s) // 100)]] if len(s) else s)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
         return pa.record_batch({"id": batch.column("id"), "n": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": lists})
 
@@ -124,44 +195,82 @@ def local_components(links: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Views of the lists of a column."""
+    edges = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), edges[1:-1] - edges[0]) if len(column) else []
+
+
 def _tile(percent: int):
     """Links among the sets of one pair of tiles, as edges to the smallest set of each local component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        order = pc.sort_indices(table.column("id"))
-        ids, lists = table.column("id").take(order), table.column("shingles").take(order).combine_chunks()
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        row, (_, column, count) = np.repeat(np.arange(len(size)), size), np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = count >= 2
-        keep = shared[column]
-        row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
-        by = np.argsort(column, kind="stable")
-        row, column, both = row[by], column[by], np.zeros((len(size), len(size)), np.float32)
-        for start in range(0, int(shared.sum()), COLUMNS):
-            low, high = np.searchsorted(column, [start, start + COLUMNS])
+        held = list(batches)
+        ids, sets = pa.concat_arrays([b.column("id") for b in held]), [x for b in held for x in _lists(b.column("shingles"))]
+        order = pc.sort_indices(ids)
+        ids, sets, size = ids.take(order), [sets[i] for i in order.to_pylist()], np.array([len(sets[i]) for i in order.to_pylist()], np.int64)
+        flat = np.concatenate(sets)
+        flat.sort()
+        shared = flat[:-1][flat[1:] == flat[:-1]]
+        shared = shared[np.r_[True, shared[1:] != shared[:-1]][: len(shared)]]
+        del flat
+        # columns of shared shingles, then rows: one number each
+        keys = []
+        for row, x in enumerate(sets if len(shared) else []):
+            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+            keys.append(at[shared[at] == x] * len(sets) + row)
+        keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+        keys.sort()
+        both = np.zeros((len(size), len(size)), np.float32)
+        for start in range(0, len(shared), COLUMNS):
+            low, high = np.searchsorted(keys, [start * len(sets), (start + COLUMNS) * len(sets)])
             some = np.zeros((len(size), COLUMNS), np.float32)
-            some[row[low:high], column[low:high] - start] = 1
+            some[keys[low:high] % len(sets), keys[low:high] // len(sets) - start] = 1
             both += some @ some.T
         links = (100 * both.astype(np.int64) >= percent * (size[:, None] + size[None, :] - both.astype(np.int64))) & (both > 0)
         np.fill_diagonal(links, False)
         root = local_components(links)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.record_batch({"a": ids.take(pa.array(moved)).combine_chunks(), "b": ids.take(pa.array(root[moved])).combine_chunks()})
+        yield pa.record_batch({"a": ids.take(pa.array(moved)), "b": ids.take(pa.array(root[moved]))})
 
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def _grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of classes, their places in lists, and the lists that several groups are in."""
+    members = classes.select("cid", "n", "prefix", F.xxhash64("prefix").alias("p"))
+    groups = written(members.groupBy("n", "p").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
+    entries = groups.select("gid", "n", (F.col("members") > 1).alias("more"), F.explode("prefix").alias("shingle"))
+    return groups, entries, written(entries.groupBy("shingle").agg(F.count("*").alias("m"), F.min("gid").alias("low")).where("m > 1"), "lists")
+
+
+def _mended(docs: DataFrame, classes: DataFrame, seen: DataFrame, levels, n: int, percent: int):
+    """Classes, groups, entries and lists, once hardly a long list is of a shingle that counts as rare."""
+    kind = classes.schema["cid"].dataType.simpleString()
+    for left in range(MENDED, -1, -1):
+        groups, entries, lists = _grouped(classes)
+        long = lists.where(F.col("m") > FEW).select("shingle", F.col("m").alias("n"))
+        found = written(long.mapInArrow(_without_level(*levels), "shingle long, n long"), "unleveled")
+        if not left or (found.agg(F.sum("n")).first()[0] or 0) <= STILL_LONG * groups.count():
+            return classes, groups, entries, lists
+        seen = written(seen.unionByName(found).groupBy("shingle").agg(F.max("n").alias("n")), "seen")
+        levels = _levels(seen)
+        # other prefixes stay: they hold none of these shingles
+        hit = groups.select("n", F.xxhash64("prefix").alias("p"), F.explode("prefix").alias("shingle")).join(found.select("shingle"), "shingle").select("n", "p").distinct()
+        hit = broadcast_if_small(written(hit, "hit"))
+        keyed = classes.withColumn("p", F.xxhash64("prefix"))
+        anew = written(keyed.join(hit, ["n", "p"], "left_semi").select(F.col("cid").alias("id"), "digest"), "anew")
+        texts = docs.join(broadcast_if_small(written(anew.select("id").distinct(), "ids"), SMALL_IDS), "id")
+        signed = texts.mapInArrow(_signed(n, percent, *levels), f"id {kind}, n long, digest binary, prefix array<bigint>").join(anew, ["id", "digest"]).dropDuplicates(["id", "digest"])
+        classes = written(keyed.join(hit, ["n", "p"], "left_anti").drop("p").unionByName(signed.withColumnRenamed("id", "cid")), "classes")
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, entries: DataFrame, lists: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``(a, b)`` between classes that connect all that are linked."""
     kind = classes.schema["cid"].dataType.simpleString()
-    members = classes.select("cid", "n", "prefix", F.xxhash64("prefix").alias("p"))
-    grouped = members.groupBy("n", "p").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    groups = written(grouped, "groups")
     several = written(
-        members.select("cid", "n", "p").join(groups.where("members > 1").select("n", "p", "gid"), ["n", "p"]).select(F.col("cid").alias("a"), F.col("gid").alias("b")), "several")
-    entries = groups.select("gid", "n", (F.col("members") > 1).alias("more"), F.explode("prefix").alias("shingle"))
-    lists = written(entries.groupBy("shingle").agg(F.count("*").alias("m"), F.min("gid").alias("low")).where("m > 1"), "lists")
+        classes.select("cid", "n", F.xxhash64("prefix").alias("p")).join(groups.where("members > 1").select("n", F.xxhash64("prefix").alias("p"), "gid"), ["n", "p"])
+        .select(F.col("cid").alias("a"), F.col("gid").alias("b")), "several")
     met = written(entries.join(lists, "shingle"), "met")
     long = met.where(F.col("m") > FEW)
     in_long = long.groupBy("gid").agg(F.count("*").alias("longs"))
@@ -183,8 +292,17 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
     # long lists, groups of several and pairs that touch them: clusters
     together = long.where("gid <> low").select(F.col("gid").alias("a"), F.col("low").alias("b")).distinct().unionByName(several.where("a <> b")).unionByName(pairs.where("more").select("a", "b"))
     clusters = components(together)
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = written(clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", "tiles", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int").alias("tile")), "tiles")
+    # sets of a large cluster meet those of like size only: a band holds sizes that may link, or the next one does
+    width = 1.000001 * max(math.log(100 / percent), 0.01)
+    large = clusters.groupBy("component").count().where(F.col("count") > TILE).select("component", F.lit(True).alias("large"))
+    banded = (
+        clusters.join(classes.groupBy(F.col("cid").alias("node")).agg(F.min("n").alias("low"), F.max("n").alias("high")), "node").join(large, "component", "left")
+        .select("node", "component", F.explode(F.when(F.col("large"), F.sequence(F.floor(F.log("low") / width), F.floor(F.log("high") / width))).otherwise(F.array(F.lit(0).cast("long")))).alias("band"))
+    )
+    banded = written(banded, "bands")
+    sizes = written(banded.groupBy("component", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "sizes")
+    tiled = banded.join(sizes, ["component", "band"]).select(F.col("node").alias("id"), "component", "band", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int").alias("tile"))
+    tiled = written(tiled, "tiles")
     alone = pairs.where("NOT more")
     needed = written(tiled.select("id").unionByName(alone.select(F.col("a").alias("id"))).unionByName(alone.select(F.col("b").alias("id"))).distinct(), "needed")
     texts = docs.join(broadcast_if_small(needed, SMALL_IDS), "id")
@@ -194,11 +312,14 @@ def _links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
         alone.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         .where(shared * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
     )
-    dealt = (
-        tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("id", "component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sets, "id")
-    )
-    return checked.unionByName(dealt.groupBy("component", "i", "j").applyInArrow(_tile(percent), f"a {kind}, b {kind}"))
+    # (band, step) is the band of the smaller sets and whether the others' band is the next one
+    to = [
+        tiled.join(sizes.select("component", (F.col("band") - step).alias("band"), "tiles"), ["component", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("id", "component", F.least("band", F.col("band") + step).alias("band"), F.lit(abs(step)).alias("step"), first.alias("i"), second.alias("j"))
+        for step, first, second in ((0, F.least("tile", "other"), F.greatest("tile", "other")), (1, F.col("tile"), F.col("other")), (-1, F.col("other"), F.col("tile")))
+    ]
+    dealt = to[0].unionByName(to[1]).unionByName(to[2]).join(sets, "id")
+    return checked.unionByName(dealt.groupBy("component", "band", "step", "i", "j").applyInArrow(_tile(percent), f"a {kind}, b {kind}"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -212,16 +333,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     docs = in_small_batches(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
     kind = docs.schema["id"].dataType.simpleString()
-    top = (
-        docs.select("text").mapInArrow(_frequent(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle").limit(RANKED).toArrow()
-    )
-    ranked, rank = top.column("shingle").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(ranked)
-    signed = written(docs.mapInArrow(_signed(n, percent, ranked[order], rank[order]), f"id {kind}, n long, digest binary, prefix array<bigint>"), "signed")
+    seen = written(docs.select("text").mapInArrow(_frequent(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "seen")
+    levels = _levels(seen)
+    signed = written(docs.mapInArrow(_signed(n, percent, *levels), f"id {kind}, n long, digest binary, prefix array<bigint>"), "signed")
     classes = written(
         signed.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "n").agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix")), "classes")
-    found = components(_links(docs, classes, n, percent))
+    found = components(_links(docs, *_mended(docs, classes, seen, levels, n, percent), n, percent))
     of_class = classes.select("digest", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
     return (
         signed.select("id", "n", "digest").join(of_class, "digest", "left")

@@ -504,6 +504,35 @@ def test_passages_equal_brute_force(spark):
         assert all(x.stop < y.start for x, y in zip(r.spans, r.spans[1:]))
 
 
+@pytest.mark.parametrize("seen", [2, 10**9])
+def test_shared_passages_tie_no_cluster(spark, monkeypatch, seen):
+    """Also those that no task sees often: their long lists give them a level, and texts are signed again."""
+    monkeypatch.setattr(jaccard, "SEEN_OFTEN", seen)
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    kept = {}
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name="stage": kept.setdefault(name, []).append(out := written(df, name)) or out)
+    rng = np.random.default_rng(6)
+    passages_ = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(3)]
+    rows = [(i, f"{' '.join(f'w{x}' for x in rng.integers(0, 10**6, 40))} {passages_[i % 3]}") for i in range(90)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 90, 10)]
+    got = {r.id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == plain_jaccard(rows, 4, 85) and sum(i != c for i, c in got.items()) == 9
+    # without levels all 99 texts are one cluster
+    assert kept["tiles"][-1].count() <= 20
+
+
+def test_sets_of_a_cluster_meet_sets_of_like_size(spark, monkeypatch):
+    """A large cluster of sets of 5 to 400 words that share a beginning, some of them linked at the very threshold."""
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    line = [f"w{i}" for i in range(403)]
+    sizes = [17, 20, 23, 27, 32, 5, 6, 7, 60, 70, 83, 97, 115, 200, 236, 277, 326, 340, 400]
+    rows = [(i, " ".join(line[: k + 3])) for i, k in enumerate(sizes)]
+    got = {r.id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == plain_jaccard(rows, 4, 85)
+
+
 def test_registered_passages_equal_brute_force(spark):
     """Pairs whose only passage in common has 50 to 52 words, one in its middle changed."""
     rng = np.random.default_rng(8)
